@@ -8,19 +8,10 @@ from shellfield.functions.constants import BINDING_DISTANCE, NEIGHBOUR_RADIUS, P
 from shellfield.functions.geometry import linear_weight
 from shellfield.operators import spatial
 from shellfield.queries import views as v
+from shellfield.queries.base import Registry
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name, sql=None):
-    def keep(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return keep
+registry = Registry()
+query = registry.query
 
 
 @query(

@@ -1,9 +1,9 @@
 """All registered queries and their SQL checks."""
 
-from shellfield.queries import distance
+from shellfield.queries import distance, structure
 
 QUERIES = {}
 ORACLES = {}
-for module in (distance,):
-    QUERIES.update(module.QUERIES)
-    ORACLES.update(module.ORACLES)
+for module in (distance, structure):
+    QUERIES.update(module.registry.queries)
+    ORACLES.update(module.registry.oracles)
