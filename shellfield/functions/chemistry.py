@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 from shellfield.functions import constants as k
 from shellfield.functions import fixed
 from shellfield.functions.scalars import atom_key, power
+from shellfield.session import small_table
 
 # Bit positions in ``flags``: the pharmacophore flags first, then these.
 COUNTED = ["atomC", "atomO", "atomN", "hDonorAtoms", "hAcceptorAtoms"]
 BITS = {name: bit for bit, name in enumerate(k.VOLSITE_FLAGS + COUNTED)}
 
-# A property file is broadcast up to this many rows, beyond that it is joined by shuffle.
-PROPERTY_ROWS_LIMIT = 100_000
-
 
 def radius_of(element: Column) -> Column:
     radii = F.create_map(*[F.lit(v) for name, row in k.ELEMENTS.items() for v in (name, row[0])])
@@ -35,11 +33,6 @@ def element_counter(element: Column, atom: Column) -> Column:
     return mask.otherwise(0)
 
 
-def small_table(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(PROPERTY_ROWS_LIMIT + 1).count() <= PROPERTY_ROWS_LIMIT else df
-
-
 def with_pharmacophore(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
     """Adds ``volsite_mask``: the property file's row if there is one, else the rules."""
     spark = atoms.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellfield.functions.geometry import XYZ, cell, cells_touched, distance
-from shellfield.session import stage
+from shellfield.session import small_table, stage
 
 CELL = ("cell_x", "cell_y", "cell_z")
 
@@ -48,7 +48,7 @@ def spread(rows: DataFrame, reach: float | str, edge: float, coords: Sequence[st
     return out
 
 
-def _join(points, rows, on, reach, edge, coords, how, extra=None):
+def _join(points, rows, on, reach, edge, coords, how, hit):
     near = spread(rows, reach, edge, coords)
     limit = F.col(f"a_{reach}") if isinstance(reach, str) else F.lit(float(reach))
     d = distance([F.col(c) for c in coords], [F.col(f"a_{c}") for c in coords])
@@ -56,8 +56,9 @@ def _join(points, rows, on, reach, edge, coords, how, extra=None):
     test = F.lit(True)
     for name in place:
         test = test & (points[name] == near[f"a_{name}"])
-    hit = extra(d, limit) if extra else d <= limit
-    joined = points.join(near, test & hit, how)
+    # Always a sort-merge join: it spills, AQE can split its hot cells, and on the
+    # wide pair conditions it measured faster than a broadcast hash join.
+    joined = points.join(near.hint("merge"), test & hit(d, limit), how)
     return joined, d, [f"a_{name}" for name in place]
 
 
@@ -65,15 +66,24 @@ def pairs(
     points: DataFrame,
     rows: DataFrame,
     on: Sequence[str],
-    radius: float,
+    radius: float | str,
     how: str = "inner",
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
+    no_further_than: str | None = None,
 ) -> DataFrame:
-    """All (point, row) pairs of one key with ``d <= radius``; row columns get ``a_`` names."""
-    edge = edge or radius
+    """All (point, row) pairs of one key with ``d <= radius``; row columns get ``a_`` names.
+
+    ``radius`` is a number or the name of a row column. ``no_further_than`` names a
+    point column with a closer limit of its own.
+    """
+    edge = edge or float(radius)
     placed = points if CELL[0] in points.columns else with_cell(points, edge, coords)
-    joined, d, keys = _join(placed, rows, on, radius, edge, coords, how)
+
+    def hit(d, limit):
+        return (d <= limit) & (d <= F.col(no_further_than) + F.lit(1e-9)) if no_further_than else d <= limit
+
+    joined, d, keys = _join(placed, rows, on, radius, edge, coords, how, hit)
     return joined.withColumn("d", d).drop(*keys)
 
 
@@ -81,7 +91,7 @@ def aggregate_within(
     points: DataFrame,
     rows: DataFrame,
     on: Sequence[str],
-    radius: float,
+    radius: float | str,
     aggregates: Sequence[Column],
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
@@ -166,11 +176,8 @@ def nearest_within(
     by = list(dict.fromkeys([*on, *coords]))
     first = F.min(F.struct(order, *attributes)).alias("first")
     sites = rows.groupBy(*by).agg(first).select(*by, "first.*")
-    near = pairs(points, sites, on, radius, "left", edge, coords)
-    usable = F.col("d").isNotNull()
-    if closer_than:
-        usable = usable & (F.col("d") <= F.col(closer_than) + F.lit(1e-9))
-    best = F.min(F.when(usable, F.struct("d", f"a_{order}", *[f"a_{c}" for c in attributes])))
+    near = pairs(points, sites, on, radius, "left", edge, coords, closer_than)
+    best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", f"a_{order}", *[f"a_{c}" for c in attributes])))
     kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *CELL])]
     found = near.groupBy(*kept).agg(best.alias("best"))
     out = found.select(
@@ -195,12 +202,12 @@ def nearest(
     Search rings double: the first round settles all points with a row within
     ``radius``, later rounds see only what is left. Never pairs a whole key.
     """
-    keyed = rows.select(*on).distinct()
+    keyed = small_table(rows.select(*on).distinct())
     open_points = points.join(keyed, list(on), "left_semi").select(points.columns)
-    found = nearest_within(
-        points.join(keyed, list(on), "left_anti").select(points.columns), rows.limit(0), on, radius, order,
-        attributes, coords=coords,
-    )
+    types = {c: rows.schema[c].dataType for c in [order, *attributes]}
+    nothing = {"nearest_d": F.lit(None).cast("double")}
+    nothing |= {f"nearest_{c}": F.lit(None).cast(t) for c, t in types.items()}
+    found = points.join(keyed, list(on), "left_anti").select(points.columns).withColumns(nothing)
     while True:
         ring = stage(nearest_within(open_points, rows, on, radius, order, attributes, coords=coords), "ring")
         found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellfield.functions.scalars import hash_below, hash_order, percentage
+from shellfield.session import fetched
 
 # Leading hex digits of the row hash that form a bucket: 65,536 buckets per class.
 BUCKET_DIGITS = 4
@@ -35,7 +36,7 @@ def class_weights(df: DataFrame, label: str = "class") -> DataFrame:
 
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "class", name: str = "weight") -> DataFrame:
     """Every row with its class weight. ``weights`` should come from the training part only."""
-    return df.join(weights.select(label, F.col("weight").alias(name)), label, "left")
+    return df.join(fetched(weights.select(label, F.col("weight").alias(name))), label, "left")
 
 
 def group_split(df: DataFrame, group: str = "file_name", share: float = 0.2, seed: str = "0") -> DataFrame:
@@ -51,7 +52,8 @@ def hash_cut(
 
     ``wanted`` may use ``n``, the class size. Rows are counted per hash bucket
     first; only the one bucket per class in which the cut falls, about 1/65,536
-    of its rows, is then sorted. ``key`` must identify a row.
+    of its rows, is then sorted. ``key`` must identify a row. The rows themselves
+    are never shuffled: what is joined to them has one row per class.
     """
     order = hash_order(seed, *[_q(c) for c in key])
     rows = df.filter(_q(label).isNotNull()).select(_q(label).alias(label), order.alias("_h"), *[_q(c) for c in key])
@@ -62,7 +64,7 @@ def hash_cut(
     found = counts.withColumn("_before", F.coalesce(F.sum("c").over(before), F.lit(0))).join(sizes, label)
     found = found.filter((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("c")))
     found = found.select(label, "_b", (F.col("_want") - F.col("_before")).alias("_left"))
-    edge = rows.join(found, [label, "_b"])
+    edge = rows.join(fetched(found), [label, "_b"])
     place = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key))
     last = edge.withColumn("_place", place).filter(F.col("_place") == F.col("_left"))
     return last.select(label, F.struct("_h", *key).alias("_cut"))
@@ -70,7 +72,7 @@ def hash_cut(
 
 def _chosen(df: DataFrame, label: str, key: Sequence[str], wanted: Column, seed: str) -> DataFrame:
     """Adds ``_chosen``: whether the row is among the first ``wanted`` of its class."""
-    cuts = hash_cut(df, label, key, wanted, seed)
+    cuts = fetched(hash_cut(df, label, key, wanted, seed))
     mine = F.struct(hash_order(seed, *[_q(c) for c in key]).alias("_h"), *[_q(c) for c in key])
     out = df.join(cuts, label, "left")
     return out.withColumn("_chosen", F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop("_cut")
@@ -99,6 +101,6 @@ def upsample(df: DataFrame, key: Sequence[str], label: str = "class", seed: str
     counts = df.filter(_q(label).isNotNull()).groupBy(label).count().withColumnRenamed("count", "n")
     largest = counts.agg(F.max("n")).first()[0] or 0
     out = _chosen(df, label, key, F.lit(largest) % F.col("n"), seed)
-    out = out.join(counts, label)
+    out = out.join(fetched(counts), label)
     times = F.floor(F.lit(largest) / F.col("n")).cast("int") + F.col("_chosen").cast("int")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_chosen", "n")

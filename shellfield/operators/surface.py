@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shellfield.functions import constants as k
 from shellfield.functions.chemistry import radius_of
-from shellfield.functions.geometry import XYZ, distance, golden_turn, spiral_height, unit_normal
+from shellfield.functions.geometry import XYZ, golden_turn, spiral_height, unit_normal
 from shellfield.operators.spatial import not_covered
 
 EXPOSED_FIRST = 1.0
@@ -22,10 +22,9 @@ def heavy_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def _normals(points: DataFrame) -> DataFrame:
-    """Outward unit normals and the distance ``source_d`` to the own atom."""
     here, centre = [F.col(c) for c in XYZ], [F.col(f"c{c}") for c in XYZ]
     normal = dict(zip([f"n{c}" for c in XYZ], unit_normal(here, centre)))
-    return points.withColumns({**normal, "source_d": distance(here, centre)}).drop(*[f"c{c}" for c in XYZ])
+    return points.withColumns(normal).drop(*[f"c{c}" for c in XYZ])
 
 
 def shell(

@@ -36,6 +36,29 @@ class Settings:
     edge: float = 7.5
 
 
+def _surroundings(points: DataFrame, atoms: DataFrame, ligands: DataFrame, s: Settings) -> DataFrame:
+    """Protrusion, label and distance of the closest atom, from one join with atoms and ligands together."""
+
+    def side(rows, reach, own):
+        sites = spatial.collapse_copies(rows, ON)
+        return sites.withColumns({"reach": F.lit(float(reach)), "own": F.lit(own)})
+
+    around = side(atoms, s.protrusion_radius, True).unionByName(side(ligands, s.binding_distance, False))
+    own = F.col("a_own")
+    return spatial.aggregate_within(
+        points,
+        around,
+        ON,
+        "reach",
+        [
+            F.coalesce(F.sum(F.when(own, F.col("a_copies"))), F.lit(0)).alias("protrusion.protrusion"),
+            F.coalesce(F.max(F.when(~own, 1)), F.lit(0)).alias("class"),
+            F.min(F.when(own, F.col("d"))).alias("closest"),
+        ],
+        s.edge,
+    )
+
+
 def describe_points(
     points: DataFrame,
     atoms: DataFrame,
@@ -47,20 +70,22 @@ def describe_points(
 ) -> DataFrame:
     """Nearest residue, protrusion, label and features of given points, in export order.
 
-    All joins run on the partitioning of the points' cells, so nothing but the
+    Points that may lie far from any atom need ``anywhere``. All joins run on the partitioning of the points' cells, so nothing but the
     atoms moves between them. The widest step comes last.
     """
     s = settings
-    reach = k.MAX_RADIUS + s.probe_radius
     residue = ["chain_id", "residue_number", "residue_name"]
     if anywhere:
         points = spatial.nearest(points, atoms, ON, s.neighbour_radius, ORDER, residue)
+        points = points.drop("nearest_d", f"nearest_{ORDER}")
     points = points if spatial.CELL[0] in points.columns else spatial.with_cell(points, s.edge)
+    points = _surroundings(points, atoms, ligands, s)
     if not anywhere:
-        points = spatial.nearest_within(points, atoms, ON, reach, ORDER, residue, s.edge, closer_than="source_d")
-    points = points.drop("nearest_d", f"nearest_{ORDER}", "source_d")
-    points = spatial.count_within(points, atoms, ON, s.protrusion_radius, "protrusion.protrusion", s.edge)
-    points = spatial.within_flag(points, ligands, ON, s.binding_distance, "class", s.edge)
+        # The own atom is never further away than this.
+        reach = k.MAX_RADIUS + s.probe_radius + 0.1
+        points = spatial.nearest_within(points, atoms, ON, reach, ORDER, residue, s.edge, closer_than="closest")
+        points = points.drop("nearest_d", f"nearest_{ORDER}")
+    points = points.drop("closest")
     encoded = encode_atoms(atoms, atom_table, volsite, s.atom_table_power, s.atom_table_keep_sign)
     points = neighbourhood_features(points, encoded, ON, s.neighbour_radius, s.edge)
     points = points.withColumns(
@@ -96,7 +121,7 @@ def extract_features(
         return describe_points(points, atoms, ligands, s, atom_table, volsite, anywhere=True)
     shells = shell(atoms, ON, ORDER, s.probe_radius, s.point_density, s.corrected_shell)
     points = surface_points(atoms, ON, ORDER, edge=s.edge, points=spatial.with_cell(shells, s.edge))
-    points = points.select(*ON, "source", "k", "x", "y", "z", "source_d", *spatial.CELL)
+    points = points.select(*ON, "source", "k", "x", "y", "z", *spatial.CELL)
     return describe_points(points, atoms, ligands, s, atom_table, volsite)
 
 

@@ -77,7 +77,7 @@ def protrusion_count(spark, sf):
       select *, row_number() over (partition by id order by d, atom_id) as rn from pairs) where rn = 1""",
 )
 def nearest_atom(spark, sf):
-    found = spatial.nearest(v.points(spark, sf), v.atoms(spark, sf), ["f"], 1.5, "id", [])
+    found = spatial.nearest(v.points(spark, sf), v.atoms(spark, sf), ["f"], 3.0, "id", [])
     return found.select("id", "f", "nearest_id", F.round("nearest_d", 6).alias("nearest_d"))
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shellfield.functions.scalars import any_missing
-from shellfield.operators import cleaning, profile, scoring
+from shellfield.operators import cleaning, profile
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
 
@@ -119,15 +118,25 @@ def null_profile(spark, sf):
     return profile.null_profile(doc_points(spark, sf))
 
 
+_DOC_COLUMNS = "doc_id file_name chain_id residue_number residue_name neighbours size class".split()
+_EVENT_COLUMNS = "event_id ts user_id event_type value props".split()
+
+
+def _missing_in(table, columns):
+    return " union all ".join(f"select '{c}' as c from {table} having count(*) > count({c})" for c in columns)
+
+
 @query(
     "null_columns_equal",
-    """select 'class,size' as left_columns, '' as right_columns, 'class,size' as only_left, '' as only_right, false as same
-    from documents d left join labels l using (doc_id) group by all having count(*) > count(quality)""",
+    f"""with {_POINTS}, l as ({_missing_in("points", _DOC_COLUMNS)}), r as ({_missing_in("events", _EVENT_COLUMNS)})
+    select coalesce((select string_agg(c, ',' order by c) from l), '') as left_columns,
+    coalesce((select string_agg(c, ',' order by c) from r), '') as right_columns,
+    coalesce((select string_agg(c, ',' order by c) from l where c not in (select c from r)), '') as only_left,
+    coalesce((select string_agg(c, ',' order by c) from r where c not in (select c from l)), '') as only_right,
+    not exists (select c from l except select c from r) and not exists (select c from r except select c from l) as same""",
 )
 def null_columns_equal(spark, sf):
-    points = doc_points(spark, sf)
-    events = v.table(spark, sf, "events")
-    return profile.null_columns_equal(points, events)
+    return profile.null_columns_equal(doc_points(spark, sf), v.table(spark, sf, "events"))
 
 
 @query("rows_any_null", f"with {_POINTS} select * from points where {_BAD}")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators are designed for.
 #  - Broadcasts are chosen from measured shuffle sizes only; the static estimate
@@ -66,3 +67,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# A table is broadcast up to this many rows, beyond that it is joined by shuffle.
+SMALL_ROWS = 100_000
+
+
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows that it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def fetched(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Like ``small_table``, but a small result is kept as a local table and not computed again."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

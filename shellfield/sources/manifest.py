@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellfield.functions.scalars import base_name, feature_file, folder, normalise_path, resolve, strip
+from shellfield.session import small_table
 from shellfield.sources.lines import read_lines
 
 # What starts a line that lists nothing.
@@ -49,7 +50,7 @@ def missing_files(manifest: DataFrame, files: DataFrame, key: str = "entry_path"
 def listed_only(features: DataFrame, manifest: DataFrame, file_name: str = "file_name") -> DataFrame:
     """Rows of the structures that a manifest lists."""
     names = manifest.select(F.col("base_name").alias(file_name)).distinct()
-    return features.join(names, file_name, "left_semi")
+    return features.join(small_table(names), file_name, "left_semi")
 
 
 def not_yet_done(manifest: DataFrame, valid_files: DataFrame, output_name: str = "base_name") -> DataFrame:

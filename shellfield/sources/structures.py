@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shellfield.functions.constants import RECORD_LAYOUT
 from shellfield.functions.scalars import strip
+from shellfield.session import small_table
 from shellfield.sources.lines import read_lines
 
 # Record names, by line prefix.
@@ -85,4 +86,4 @@ def read_listed(spark: SparkSession, manifest: DataFrame, folder: str, glob: str
     """Records of the structures below ``folder`` that a manifest lists."""
     lines = read_lines(spark, folder, glob)
     names = manifest.select(F.col("base_name").alias("file_name")).distinct()
-    return parse_records(lines.join(names, "file_name", "left_semi"))
+    return parse_records(lines.join(small_table(names), "file_name", "left_semi"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from shellfield import schemas
 from shellfield.functions import constants as k
 from shellfield.functions.scalars import feature_file, strip
-from shellfield.session import scratch_path
+from shellfield.session import fetched, scratch_path, small_table
 from shellfield.sources.lines import listing, read_lines
 
 # A feature file, or one part of a feature file written as a folder.
@@ -20,6 +20,9 @@ FEATURE_PATH = r"([^/=]*_features\.csv)(?:/part-[^/]*)?$"
 # More header variants than this among one set of files are an error, not drift.
 MAX_HEADERS = 100
 
+# Files whose headers are kept on the driver; more files are joined by shuffle.
+MAX_FETCHED = 20_000
+
 
 def property_scan(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
     """Property CSV with blanks after commas; keys trimmed, only ``columns`` read."""
@@ -77,10 +80,17 @@ def _feature_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """First line of every file, as text and as an array of column names."""
-    first = lines.groupBy("path").agg(F.min_by("line", "line_no").alias("header"))
-    names = F.transform(F.split(F.col("header"), ","), lambda c: F.btrim(c, F.lit(' "\r')))
-    return first.select("path", "header", names.alias("names"))
+    """First line of every file, as text and as an array of column names.
+
+    The first line's number is a plain minimum, which hashes; carrying the line
+    itself through the aggregation would sort all lines.
+    """
+    opening = lines.filter(F.col("line_no.block") == 0)
+    first = opening.groupBy("path").agg(F.min("line_no.row").alias("first"))
+    first = small_table(first.select(F.col("path").alias("first_path"), "first"))
+    found = opening.join(first, (F.col("path") == F.col("first_path")) & (F.col("line_no.row") == F.col("first")))
+    names = F.transform(F.split(F.col("line"), ","), lambda c: F.btrim(c, F.lit(' "\r')))
+    return found.select("path", F.col("line").alias("header"), names.alias("names"))
 
 
 def _lacking(required: Sequence[str]) -> Column:
@@ -105,7 +115,7 @@ def combine_features(
     reader would match several header orders by position.
     """
     lines = _feature_lines(spark, folder)
-    headers = _headers(lines)
+    headers = fetched(_headers(lines), MAX_FETCHED)
     variants = [r[0] for r in headers.select("names").distinct().limit(MAX_HEADERS + 1).collect()]
     if len(variants) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers below {folder}")
@@ -118,7 +128,8 @@ def combine_features(
         table = table.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
         return nan_to_null(table.select(*[F.col(f"`{f.name}`") for f in schema.fields]))
     width = max((len(v) for v in variants), default=1)
-    rows = lines.join(headers.filter(F.size(_lacking(required)) == 0), "path")
+    usable = headers.filter(F.size(_lacking(required)) == 0)
+    rows = lines.join(usable, "path")
     rows = rows.filter((F.col("line") != F.col("header")) & (strip(F.col("line")) != ""))
     rows = rows.withColumn("cells", F.from_csv("line", ", ".join(f"c{i} string" for i in range(width))))
     values = F.slice(F.array(*[F.col(f"cells.c{i}") for i in range(width)]), F.lit(1), F.size("names"))
