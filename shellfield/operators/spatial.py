@@ -174,8 +174,8 @@ def nearest_within(
     """
     placed = CELL[0] in points.columns
     by = list(dict.fromkeys([*on, *coords]))
-    first = F.min(F.struct(order, *attributes)).alias("first")
-    sites = rows.groupBy(*by).agg(first).select(*by, "first.*")
+    carried = [c for c in dict.fromkeys([order, *attributes]) if c not in by]
+    sites = rows.groupBy(*by).agg(F.min(F.struct(*carried)).alias("first")).select(*by, "first.*")
     near = pairs(points, sites, on, radius, "left", edge, coords, closer_than)
     best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", f"a_{order}", *[f"a_{c}" for c in attributes])))
     kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *CELL])]

@@ -7,31 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = ["path", "file_name", "line_no", "line"]
+def tagged(text: DataFrame) -> DataFrame:
+    """Lines with the file and block they come from."""
+    return text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"),
+    )
 
 
-def with_place(text: DataFrame) -> DataFrame:
-    """Adds the file and a ``line_no`` that orders the lines of a file.
+def numbered(lines: DataFrame) -> DataFrame:
+    """Adds a ``line_no`` that orders the lines of a file.
 
     ``line_no`` is (block start, row): rows of one block are read in order by one
     task, so this orders lines without loading a file as one value. It is stable
     within one run of a plan; store the lines before reading them twice.
     """
-    return text.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
-        ).alias("line_no"),
-        F.col("value").alias("line"),
-    )
+    number = F.struct("block", F.monotonically_increasing_id().alias("row")).alias("line_no")
+    return lines.select("path", "file_name", number, "line")
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], glob: str | None = None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return with_place(reader.text(paths if isinstance(paths, str) else list(paths)))
+    return numbered(tagged(reader.text(paths if isinstance(paths, str) else list(paths))))
 
 
 def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shellfield.plans.extract import Settings, extract_features, staged_records
-from shellfield.sources.lines import with_place
+from shellfield.sources.lines import numbered, tagged
 from shellfield.sources.structures import atoms, hetatms, parse_records
 
 
@@ -19,7 +19,7 @@ def stream_lines(spark: SparkSession, folder: str, glob: str | None = None, file
     reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return with_place(reader.load(folder))
+    return tagged(reader.load(folder))
 
 
 def stream_features(
@@ -40,7 +40,7 @@ def stream_features(
     """
 
     def one_batch(lines: DataFrame, batch: int) -> None:
-        records = staged_records(parse_records(lines))
+        records = staged_records(parse_records(numbered(lines)))
         table = extract_features(atoms(records), hetatms(records), settings, atom_table, volsite)
         table.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
 
