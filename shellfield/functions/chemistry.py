@@ -20,9 +20,14 @@ COUNTED = ["atomC", "atomO", "atomN", "hDonorAtoms", "hAcceptorAtoms"]
 BITS = {name: bit for bit, name in enumerate(k.VOLSITE_FLAGS + COUNTED)}
 
 
+def _lookup(table: dict, key: Column) -> Column:
+    """Value of ``key`` in a table of a few entries, null if it is not listed."""
+    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[key]
+
+
 def radius_of(element: Column) -> Column:
-    radii = F.create_map(*[F.lit(v) for name, row in k.ELEMENTS.items() for v in (name, row[0])])
-    return F.coalesce(radii[element], F.lit(k.DEFAULT_RADIUS))
+    radii = {name: row[0] for name, row in k.ELEMENTS.items()}
+    return F.coalesce(_lookup(radii, element), F.lit(k.DEFAULT_RADIUS))
 
 
 def element_counter(element: Column, atom: Column) -> Column:
@@ -33,35 +38,30 @@ def element_counter(element: Column, atom: Column) -> Column:
     return mask.otherwise(0)
 
 
-def with_pharmacophore(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
-    """Adds ``volsite_mask``: the property file's row if there is one, else the rules."""
-    spark = atoms.sparkSession
-    name, res = F.upper("atom_name"), F.upper(F.coalesce("residue_name", F.lit("")))
-    exact = fixed.exact_rules(spark).withColumnRenamed("rule_mask", "exact_mask")
-    wide = fixed.any_rules(spark).select(
-        F.col("rule_atom").alias("any_atom"), F.col("rule_residue").alias("left_out"), F.col("rule_mask").alias("any_mask")
-    )
-    out = atoms.join(
-        F.broadcast(exact), (name == F.col("rule_atom")) & (res == F.col("rule_residue")), "left"
-    ).join(
-        F.broadcast(wide), (name == F.col("any_atom")) & (F.col("left_out").isNull() | (res != F.col("left_out"))), "left"
-    )
-    mask = F.coalesce("exact_mask", "any_mask", F.lit(0))
+def with_kind(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
+    """Adds ``volsite_mask``, ``donor`` and ``acceptor``.
+
+    The mask is the property file's row if there is one, else that of the rules,
+    which compare names in upper case. Donor and acceptor counts need the exact names.
+    """
+    raw_name, raw_res = F.col("atom_name"), F.coalesce("residue_name", F.lit(""))
+    name, res = F.upper(raw_name), F.upper(raw_res)
+    kinds = F.broadcast(fixed.atom_kinds(atoms.sparkSession))
+    out = atoms.join(kinds, (name == kinds["kind_atom"]) & (res == kinds["kind_residue"]), "left")
+    anywhere = {atom: mask for _, atom, mask in fixed.any_rule_rows()}
+    left_out = {atom: residue for residue, atom, _ in fixed.any_rule_rows() if residue}
+    wide = F.when(res == _lookup(left_out, name), None).otherwise(_lookup(anywhere, name))
+    mask = F.coalesce("rule_mask", wide, F.lit(0))
     if volsite is not None:
         flags = [F.when(F.col(f) != 0, 1 << bit).otherwise(0) for bit, f in enumerate(k.VOLSITE_FLAGS)]
         listed = volsite.select(F.col("atomName").alias("listed"), sum(flags[1:], flags[0]).alias("listed_mask"))
-        out = out.join(small_table(listed), atom_key(F.col("residue_name"), F.col("atom_name")) == F.col("listed"), "left")
+        out = out.join(small_table(listed), atom_key(raw_res, raw_name) == F.col("listed"), "left")
         mask = F.coalesce("listed_mask", mask)
-    return out.select(*[F.col(f"`{c}`") for c in atoms.columns], mask.cast("int").alias("volsite_mask"))
-
-
-def with_bond_counts(atoms: DataFrame) -> DataFrame:
-    bonds = fixed.bond_atoms(atoms.sparkSession)
-    out = atoms.join(F.broadcast(bonds), ["residue_name", "atom_name"], "left")
+    exact = (name == raw_name) & (res == raw_res)
     return out.select(
         *[F.col(f"`{c}`") for c in atoms.columns],
-        F.coalesce("donor", F.lit(0)).alias("donor"),
-        F.coalesce("acceptor", F.lit(0)).alias("acceptor"),
+        mask.cast("int").alias("volsite_mask"),
+        *[F.when(exact, F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("donor", "acceptor")],
     )
 
 
@@ -88,9 +88,8 @@ def encode_atoms(
     keep_sign: bool = False,
 ) -> DataFrame:
     """Adds ``residue_id``, ``flags`` and the property-file values to atoms."""
-    ids = fixed.residues(atoms.sparkSession).select("residue_name", "residue_id")
-    out = with_atom_table(with_bond_counts(with_pharmacophore(atoms, volsite)), atom_table, exponent, keep_sign)
-    out = out.join(F.broadcast(ids), "residue_name", "left")
+    ids = {code: number for number, code in enumerate(k.RESIDUES, start=1)}
+    out = with_atom_table(with_kind(atoms, volsite), atom_table, exponent, keep_sign)
     flags = (
         F.col("volsite_mask")
         + element_counter(F.col("element"), F.col("atom_name"))
@@ -99,7 +98,7 @@ def encode_atoms(
     )
     return out.select(
         *[F.col(f"`{c}`") for c in atoms.columns],
-        F.coalesce("residue_id", F.lit(0)).alias("residue_id"),
+        F.coalesce(_lookup(ids, F.col("residue_name")), F.lit(0)).alias("residue_id"),
         flags.cast("int").alias("flags"),
         *k.ATOM_TABLE,
     )
@@ -157,9 +156,8 @@ def atom_flags(atoms: DataFrame) -> DataFrame:
 
 def normalise_residue(residue: Column) -> Column:
     """Modified residues under their parent's name, special ones as they are, others UNK."""
-    replaced = F.create_map(*[F.lit(v) for pair in k.RESIDUE_REPLACEMENTS.items() for v in pair])
     known = [code for code in k.RESIDUES if code != "STP"]
     return (
         F.when(residue.isin(*known, *k.SPECIAL_RESIDUES), residue)
-        .otherwise(F.coalesce(replaced[residue], F.lit("UNK")))
+        .otherwise(F.coalesce(_lookup(k.RESIDUE_REPLACEMENTS, residue), F.lit("UNK")))
     )

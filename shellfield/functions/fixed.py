@@ -61,6 +61,7 @@ def flag_mask(flags: str) -> int:
 
 
 RULE_COLUMNS = ["rule_residue", "rule_atom", "rule_mask"]
+KIND_COLUMNS = ["kind_residue", "kind_atom", "rule_mask", "donor", "acceptor"]
 
 
 def exact_rule_rows() -> list[list]:
@@ -83,6 +84,13 @@ def any_rule_rows() -> list[list]:
     ]
 
 
+def kind_rows() -> list[list]:
+    """Everything fixed about a residue and atom name: rule mask (null without a rule), donor, acceptor."""
+    masks = {(res, atom): mask for res, atom, mask in exact_rule_rows()}
+    kinds = sorted(masks.keys() | k.BOND_ATOMS.keys())
+    return [[*kind, masks.get(kind), *k.BOND_ATOMS.get(kind, (0, 0))] for kind in kinds]
+
+
 def elements(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, ELEMENT_COLUMNS, element_rows())
 
@@ -91,13 +99,5 @@ def residues(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, RESIDUE_COLUMNS, residue_rows())
 
 
-def bond_atoms(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, BOND_COLUMNS, bond_rows())
-
-
-def exact_rules(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, RULE_COLUMNS, exact_rule_rows())
-
-
-def any_rules(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, RULE_COLUMNS, any_rule_rows())
+def atom_kinds(spark: SparkSession) -> DataFrame:
+    return fixed_table(spark, KIND_COLUMNS, kind_rows())

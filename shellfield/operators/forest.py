@@ -58,7 +58,10 @@ def train(
         **weight,
     )
     columns = ["_features", "_label", *(["_weight"] if weight else [])]
-    return forest.fit(rows.select(*columns))
+    rows = rows.select(*columns)
+    # Growing trees is all computation: a table in fewer parts than cores is spread out first.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return forest.fit(rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores))
 
 
 def finetune(

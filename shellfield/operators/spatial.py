@@ -34,7 +34,10 @@ def collapse_copies(
 
     Equal places have equal distances to everything, so sums over them can be
     taken before the join. A place that repeats a billion times costs one row.
+    Rows that already have ``copies`` are returned as they are.
     """
+    if "copies" in rows.columns:
+        return rows.select(*dict.fromkeys([*by, *coords, "copies", *sums]))
     keys = list(dict.fromkeys([*by, *coords]))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *[F.sum(c).alias(c) for c in sums])
 
@@ -175,7 +178,10 @@ def nearest_within(
     placed = CELL[0] in points.columns
     by = list(dict.fromkeys([*on, *coords]))
     carried = [c for c in dict.fromkeys([order, *attributes]) if c not in by]
-    sites = rows.groupBy(*by).agg(F.min(F.struct(*carried)).alias("first")).select(*by, "first.*")
+    if "copies" in rows.columns:
+        sites = rows.select(*by, *carried)
+    else:
+        sites = rows.groupBy(*by).agg(F.min(F.struct(*carried)).alias("first")).select(*by, "first.*")
     near = pairs(points, sites, on, radius, "left", edge, coords, closer_than)
     best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", f"a_{order}", *[f"a_{c}" for c in attributes])))
     kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *CELL])]
@@ -235,7 +241,10 @@ def not_covered(
     """
     placed = points if CELL[0] in points.columns else with_cell(points, edge, coords)
     by = list(dict.fromkeys([*on, *coords, radius]))
-    sites = balls.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias(order))
+    if "copies" in balls.columns:
+        sites = balls.select(*by, "copies", order)
+    else:
+        sites = balls.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias(order))
 
     def covered(d, limit):
         another = (F.col("a_copies") > 1) | (F.col(f"a_{order}") != F.col(source))

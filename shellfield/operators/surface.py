@@ -73,10 +73,9 @@ def surface_points(
     density: float = k.POINT_DENSITY,
     corrected: bool = False,
     edge: float = k.MAX_RADIUS,
-    points: DataFrame | None = None,
 ) -> DataFrame:
     """Shell points that lie inside no other atom."""
-    points = shell(atoms, on, order, probe, density, corrected) if points is None else points
+    points = shell(atoms, on, order, probe, density, corrected)
     balls = atoms.select(*on, order, *XYZ, radius_of(F.col("element")).alias("radius"))
     return not_covered(points, balls, on, "radius", order, "source", edge)
 

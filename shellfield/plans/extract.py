@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from shellfield.functions import constants as k
 from shellfield.functions.chemistry import encode_atoms
 from shellfield.operators import spatial
-from shellfield.operators.features import in_export_order, neighbourhood_features
+from shellfield.operators.features import atom_sites, in_export_order, neighbourhood_features
 from shellfield.operators.ligands import ligand_atoms
-from shellfield.operators.surface import exposed_area, exposed_points, shell, surface_points
+from shellfield.operators.surface import exposed_area, exposed_points, shell
 from shellfield.session import stage
 
 ON = ["file_name"]
 ORDER = "line_no"
+POINT = [*ON, "source", "k", "x", "y", "z"]
 
 
 @dataclass(frozen=True)
@@ -36,14 +37,17 @@ class Settings:
     edge: float = 7.5
 
 
-def _surroundings(points: DataFrame, atoms: DataFrame, ligands: DataFrame, s: Settings) -> DataFrame:
+RESIDUE = ["chain_id", "residue_number", "residue_name"]
+
+
+def _surroundings(points: DataFrame, sites: DataFrame, ligands: DataFrame, s: Settings) -> DataFrame:
     """Protrusion, label and distance of the closest atom, from one join with atoms and ligands together."""
 
     def side(rows, reach, own):
-        sites = spatial.collapse_copies(rows, ON)
-        return sites.withColumns({"reach": F.lit(float(reach)), "own": F.lit(own)})
+        places = spatial.collapse_copies(rows, ON)
+        return places.withColumns({"reach": F.lit(float(reach)), "own": F.lit(own)})
 
-    around = side(atoms, s.protrusion_radius, True).unionByName(side(ligands, s.binding_distance, False))
+    around = side(sites, s.protrusion_radius, True).unionByName(side(ligands, s.binding_distance, False))
     own = F.col("a_own")
     return spatial.aggregate_within(
         points,
@@ -60,34 +64,26 @@ def _surroundings(points: DataFrame, atoms: DataFrame, ligands: DataFrame, s: Se
 
 
 def describe_points(
-    points: DataFrame,
-    atoms: DataFrame,
-    ligands: DataFrame,
-    settings: Settings = Settings(),
-    atom_table: DataFrame | None = None,
-    volsite: DataFrame | None = None,
-    anywhere: bool = False,
+    points: DataFrame, sites: DataFrame, ligands: DataFrame, settings: Settings = Settings(), anywhere: bool = False
 ) -> DataFrame:
     """Nearest residue, protrusion, label and features of given points, in export order.
 
-    Points that may lie far from any atom need ``anywhere``. All joins run on the partitioning of the points' cells, so nothing but the
-    atoms moves between them. The widest step comes last.
+    ``sites`` come from ``staged_sites``. Points that may lie far from any atom need
+    ``anywhere``. All joins run on the partitioning of the points' cells, so nothing
+    but the sites moves between them. The widest step comes last.
     """
     s = settings
-    residue = ["chain_id", "residue_number", "residue_name"]
     if anywhere:
-        points = spatial.nearest(points, atoms, ON, s.neighbour_radius, ORDER, residue)
+        points = spatial.nearest(points, sites, ON, s.neighbour_radius, ORDER, RESIDUE)
         points = points.drop("nearest_d", f"nearest_{ORDER}")
     points = points if spatial.CELL[0] in points.columns else spatial.with_cell(points, s.edge)
-    points = _surroundings(points, atoms, ligands, s)
+    points = _surroundings(points, sites, ligands, s)
     if not anywhere:
         # The own atom is never further away than this.
         reach = k.MAX_RADIUS + s.probe_radius + 0.1
-        points = spatial.nearest_within(points, atoms, ON, reach, ORDER, residue, s.edge, closer_than="closest")
+        points = spatial.nearest_within(points, sites, ON, reach, ORDER, RESIDUE, s.edge, closer_than="closest")
         points = points.drop("nearest_d", f"nearest_{ORDER}")
-    points = points.drop("closest")
-    encoded = encode_atoms(atoms, atom_table, volsite, s.atom_table_power, s.atom_table_keep_sign)
-    points = neighbourhood_features(points, encoded, ON, s.neighbour_radius, s.edge)
+    points = neighbourhood_features(points.drop("closest"), sites, ON, s.neighbour_radius, s.edge)
     points = points.withColumns(
         {
             "chain_id": F.coalesce("nearest_chain_id", F.lit("UNK")),
@@ -99,6 +95,14 @@ def describe_points(
     return in_export_order(points)
 
 
+def staged_sites(
+    atoms: DataFrame, settings: Settings = Settings(), atom_table: DataFrame | None = None, volsite: DataFrame | None = None
+) -> DataFrame:
+    """Encoded, collapsed atoms, written once to the shared folder and read by every join."""
+    coded = encode_atoms(atoms, atom_table, volsite, settings.atom_table_power, settings.atom_table_keep_sign)
+    return stage(atom_sites(coded, ON, ORDER, RESIDUE), "sites")
+
+
 def extract_features(
     atoms: DataFrame,
     hetatms: DataFrame,
@@ -112,17 +116,17 @@ def extract_features(
     they are read by several branches that must agree on the line order.
     """
     s = settings
+    sites = staged_sites(atoms, s, atom_table, volsite)
     ligands = ligand_atoms(hetatms).select(*ON, "x", "y", "z")
     if s.sampler == "exposed":
         sources = atoms.unionByName(hetatms)
         area = exposed_area(sources, ON, ORDER, s.probe_radius, s.sphere_points)
         points = exposed_points(area, ON, ORDER, probe=s.probe_radius)
-        points = points.select(*ON, "source", "k", "x", "y", "z")
-        return describe_points(points, atoms, ligands, s, atom_table, volsite, anywhere=True)
+        return describe_points(points.select(*POINT), sites, ligands, s, anywhere=True)
     shells = shell(atoms, ON, ORDER, s.probe_radius, s.point_density, s.corrected_shell)
-    points = surface_points(atoms, ON, ORDER, edge=s.edge, points=spatial.with_cell(shells, s.edge))
-    points = points.select(*ON, "source", "k", "x", "y", "z", *spatial.CELL)
-    return describe_points(points, atoms, ligands, s, atom_table, volsite)
+    shells = spatial.with_cell(shells.select(*POINT), s.edge)
+    points = spatial.not_covered(shells, sites, ON, "radius", ORDER, "source", s.edge)
+    return describe_points(points, sites, ligands, s)
 
 
 def staged_records(records: DataFrame) -> DataFrame:
