@@ -37,8 +37,18 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def train(
-    df: DataFrame, features: Sequence[str], label: str = "class", settings: ForestSettings = ForestSettings(), trees: int = 0
+    df: DataFrame,
+    features: Sequence[str],
+    label: str = "class",
+    settings: ForestSettings = ForestSettings(),
+    trees: int = 0,
+    spread: int = 0,
 ) -> RandomForestClassificationModel:
+    """A forest on all rows of ``df``.
+
+    ``spread`` is the number of parts to train on; set it where the input has fewer
+    parts than there are cores, such as a single small file.
+    """
     rows = _assembled(df.withColumn("_label", F.col(f"`{label}`").cast("double")), features)
     weight = {}
     if settings.class_weight:
@@ -59,16 +69,18 @@ def train(
     )
     columns = ["_features", "_label", *(["_weight"] if weight else [])]
     rows = rows.select(*columns)
-    # Growing trees is all computation: a table in fewer parts than cores is spread out first.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return forest.fit(rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores))
+    return forest.fit(rows.repartition(spread) if spread else rows)
 
 
 def finetune(
-    df: DataFrame, features: Sequence[str], label: str = "class", settings: ForestSettings = ForestSettings()
+    df: DataFrame,
+    features: Sequence[str],
+    label: str = "class",
+    settings: ForestSettings = ForestSettings(),
+    spread: int = 0,
 ) -> RandomForestClassificationModel:
     """The trees that fine-tuning adds; they see only the fine-tuning rows."""
-    return train(df, features, label, settings, settings.finetune_trees or settings.trees)
+    return train(df, features, label, settings, settings.finetune_trees or settings.trees, spread)
 
 
 def predict(

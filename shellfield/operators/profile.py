@@ -29,6 +29,12 @@ def value_counts(df: DataFrame, column: str, with_missing: bool = False) -> Data
     return rows.groupBy(_q(column).alias(column)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
 
 
+def distinct_values(df: DataFrame, column: str | int) -> DataFrame:
+    """Distinct values of a column given by name or position, missing ones included."""
+    name = df.columns[column] if isinstance(column, int) else column
+    return df.select(_q(name).alias(name)).distinct()
+
+
 def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return value_counts(df, column).limit(n)
 

@@ -122,7 +122,9 @@ def extract_features(
         sources = atoms.unionByName(hetatms)
         area = exposed_area(sources, ON, ORDER, s.probe_radius, s.sphere_points)
         points = exposed_points(area, ON, ORDER, probe=s.probe_radius)
-        return describe_points(points.select(*POINT), sites, ligands, s, anywhere=True)
+        # The search for far atoms reads the points several times.
+        points = stage(points.select(*POINT), "points")
+        return describe_points(points, sites, ligands, s, anywhere=True)
     shells = shell(atoms, ON, ORDER, s.probe_radius, s.point_density, s.corrected_shell)
     shells = spatial.with_cell(shells.select(*POINT), s.edge)
     points = spatial.not_covered(shells, sites, ON, "radius", ORDER, "source", s.edge)

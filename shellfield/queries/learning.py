@@ -229,7 +229,8 @@ def line_rows(spark, sf):
 @query("rf_train_predict")
 def rf_train_predict(spark, sf):
     rows = line_rows(spark, sf)
-    model = forest.train(rows.filter("part = 'train'"), FEATURES, settings=SETTINGS)
+    cores = spark.sparkContext.defaultParallelism
+    model = forest.train(rows.filter("part = 'train'"), FEATURES, settings=SETTINGS, spread=cores)
     scored = forest.predict(rows.filter("part = 'validation'"), [model], FEATURES)
     return scored.select("row_key", "class", "prediction", "score")
 
@@ -238,9 +239,10 @@ def rf_train_predict(spark, sf):
 def rf_finetune_predict(spark, sf):
     rows = line_rows(spark, sf)
     fit = rows.filter("part = 'train'")
+    cores = spark.sparkContext.defaultParallelism
     models = [
-        forest.train(fit, FEATURES, settings=SETTINGS),
-        forest.finetune(fit.filter("l_linestatus = 'F'"), FEATURES, settings=SETTINGS),
+        forest.train(fit, FEATURES, settings=SETTINGS, spread=cores),
+        forest.finetune(fit.filter("l_linestatus = 'F'"), FEATURES, settings=SETTINGS, spread=cores),
     ]
     scored = forest.predict(rows.filter("part = 'validation'"), models, FEATURES)
     return scored.select("row_key", "class", "prediction", "score")

@@ -48,6 +48,11 @@ def value_counts_with_missing(spark, sf):
     return profile.value_counts(doc_points(spark, sf), "class", with_missing=True)
 
 
+@query("distinct_values", "select distinct p_type from part")
+def distinct_values(spark, sf):
+    return profile.distinct_values(v.table(spark, sf, "part"), 3)
+
+
 @query("top_residues", "select p_brand, count(*) as n from part group by 1 order by n desc, p_brand limit 5")
 def top_residues(spark, sf):
     return profile.top_values(v.table(spark, sf, "part"), "p_brand")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,11 +141,21 @@ def combine_features(
 
 
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
-    """Union by column name; a column one table lacks is null there."""
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table, allowMissingColumns=True)
-    return out
+    """Union by column name; a column one table lacks is null there.
+
+    Missing columns are added here, because ``unionByName`` trips over names with dots.
+    """
+    kinds: dict[str, T.DataType] = {}
+    for table in tables:
+        for field in table.schema.fields:
+            kinds.setdefault(field.name, field.dataType)
+    aligned = [
+        table.select(
+            *[F.col(f"`{c}`") if c in table.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+        )
+        for table in tables
+    ]
+    return reduce(DataFrame.union, aligned)
 
 
 def write_features(df: DataFrame, path: str, layout: str = "clustered", fmt: str = "parquet", mode: str = "error") -> None:
@@ -156,7 +167,9 @@ def write_features(df: DataFrame, path: str, layout: str = "clustered", fmt: str
     small sets; a huge structure is still written by several tasks.
     """
     if layout == "clustered":
-        out = df.repartitionByRange("file_name").sortWithinPartitions("file_name").write
+        # Coordinates in the range key let one huge structure fill several files.
+        keys = [c for c in ("file_name", "x", "y", "z") if c in df.columns]
+        out = df.repartitionByRange(*keys).sortWithinPartitions("file_name").write
     elif layout == "per_file":
         named = df.withColumn("feature_file", feature_file(F.col("file_name")))
         out = named.hint("rebalance", F.col("feature_file")).write.partitionBy("feature_file")

@@ -147,16 +147,23 @@ def test_hot_cell_is_split(spark):
     from shellfield.session import stage
 
     points, atoms = stage(points, "points").repartition(12), stage(atoms, "atoms")
-    plain = {r.id: r.neighbours for r in spatial.count_within(points, atoms, ["f"], 10.0).collect()}
+
+    def chained():
+        placed = spatial.with_cell(points, 10.0)
+        out = spatial.count_within(placed, atoms, ["f"], 10.0, edge=10.0)
+        return spatial.min_distance(out, atoms, ["f"], 10.0, edge=10.0)
+
+    plain = {r.id: (r.neighbours, r.min_distance) for r in chained().collect()}
     before = {k: spark.conf.get(k, None) for k in keys}
     try:
         for key, value in keys.items():
             spark.conf.set(key, value)
-        out = spatial.count_within(points, atoms, ["f"], 10.0)
-        split = {r.id: r.neighbours for r in out.collect()}
+        out = chained()
+        split = {r.id: (r.neighbours, r.min_distance) for r in out.collect()}
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    assert "skew=true" in plan
+    # both joins are split, although the second reads what the first left in place
+    assert plan.split("Initial Plan")[0].count("skew=true") == 2
     assert split == plain and len(plain) == 60_000

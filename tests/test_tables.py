@@ -137,3 +137,12 @@ def test_stream_takes_only_new_files(spark, tmp_path):
     second = run()
     assert set(first) == {"a.pdb"} and set(second) == {"a.pdb", "b.pdb"}
     assert second["a.pdb"] == first["a.pdb"] == second["b.pdb"]
+
+
+def test_tables_of_two_layouts_are_united_by_name(spark):
+    old = spark.createDataFrame([], schemas.LEGACY_FEATURES)
+    new = spark.createDataFrame([("a", *[0.5] * 3, "A", 1, "SER", *[1.0] * 35, 1)], schemas.FEATURES)
+    both = t.union_by_name([new, old])
+    assert set(both.columns) == set(k.EXPORT_COLUMNS) | set(k.LEGACY_COLUMNS)
+    row = both.first()
+    assert row["chem.polar"] == 1.0 and row["chem.hydropathy"] is None
