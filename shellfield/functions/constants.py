@@ -169,9 +169,13 @@ EXPORT_COLUMNS = META_COLUMNS + FEATURE_COLUMNS + ["class"]
 FILE_COLUMNS = META_COLUMNS + ["class"]
 VALIDATED_COLUMNS = "file_name x y z chain_id residue_number".split()
 
+# Header names of older files that Spark, which ignores case, cannot tell from others.
+RENAMED_COLUMNS = {"chem.atomS": "chem.atomSulfur"}
+
 # Columns of the older 50-column feature file, in order.
-LEGACY_COLUMNS = (
-    META_COLUMNS
+LEGACY_COLUMNS = [
+    RENAMED_COLUMNS.get(name, name)
+    for name in META_COLUMNS
     + ["class"]
     + [
         f"chem.{n}"
@@ -185,7 +189,7 @@ LEGACY_COLUMNS = (
     + [f"volsite.{n}" for n in VOLSITE_FLAGS]
     + ["protrusion.protrusion", "protrusion.distanceToCenter", "bfactor.bfactor"]
     + [f"atom_table.{n}" for n in ATOM_TABLE]
-)
+]
 
 # Fixed-width record layout, 1-based start and length.
 RECORD_LAYOUT = {

@@ -28,6 +28,29 @@ class ForestSettings:
     validation_size: float = 0.2
     finetune_trees: int = 200
 
+    @classmethod
+    def from_config(cls, config: dict) -> ForestSettings:
+        """Settings from the keys of a run configuration; others, such as paths, are ignored.
+
+        "null" means no class weights. Weights per bootstrap sample are not known to
+        Spark's forest, so "balanced_subsample" gives balanced weights.
+        """
+        # Configuration keys.
+        keys = {
+            "rf_trees": "trees",
+            "rf_depth": "depth",
+            "rf_features": "features",
+            "rf_bagsize": "bag_percent",
+            "seed": "seed",
+            "class_weight": "class_weight",
+            "validation_size": "validation_size",
+            "finetune_trees": "finetune_trees",
+        }
+        given = {keys[name]: value for name, value in config.items() if name in keys}
+        if given.get("class_weight") == "null":
+            given["class_weight"] = None
+        return cls(**given)
+
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     # Vector columns cannot be assembled from dotted names.

@@ -11,6 +11,7 @@ from shellfield.functions import constants as k
 from shellfield.functions.chemistry import radius_of
 from shellfield.functions.geometry import XYZ, golden_turn, spiral_height, unit_normal
 from shellfield.operators.spatial import not_covered
+from shellfield.session import small_table, stage
 
 EXPOSED_FIRST = 1.0
 EXPOSED_SECOND = 0.5
@@ -118,7 +119,8 @@ def exposed_points(
 
     A structure that would get fewer than 1000 points is sampled by the second,
     more permissive rule instead. Which rule applies follows from counts alone,
-    so no point is made twice. The scaling of ring and height is that of the
+    so no point is made twice; the sized atoms are stored for the two reads. The
+    scaling of ring and height is that of the
     published feature tables.
     """
     r = radius_of(F.col("element"))
@@ -134,9 +136,10 @@ def exposed_points(
         F.when(F.col(area) > EXPOSED_FIRST, first).otherwise(0).alias("n_first"),
         F.when(F.col(area) > EXPOSED_SECOND, second).otherwise(0).alias("n_second"),
     )
+    sized = stage(sized, "sized")
     few = sized.groupBy(*on).agg((F.sum("n_first") < FEW_POINTS).alias("few"))
     n = F.when(F.col("few"), F.col("n_second")).otherwise(F.col("n_first"))
-    points = sized.join(few, list(on)).withColumn("n", n).filter("n > 0")
+    points = sized.join(small_table(few), list(on)).withColumn("n", n).filter("n > 0")
     points = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     single = F.col("n") == 1
     # One point alone points straight up under the first rule and sits on the equator under the second.

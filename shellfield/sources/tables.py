@@ -80,6 +80,13 @@ def _feature_lines(spark: SparkSession, folder: str) -> DataFrame:
     return read_lines(spark, folder).filter(F.col("path").rlike(FEATURE_PATH))
 
 
+def _known_as(name: Column) -> Column:
+    out = name
+    for old, new in k.RENAMED_COLUMNS.items():
+        out = F.when(name == old, F.lit(new)).otherwise(out)
+    return out
+
+
 def _headers(lines: DataFrame) -> DataFrame:
     """First line of every file, as text and as an array of column names.
 
@@ -90,7 +97,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     first = opening.groupBy("path").agg(F.min("line_no.row").alias("first"))
     first = small_table(first.select(F.col("path").alias("first_path"), "first"))
     found = opening.join(first, (F.col("path") == F.col("first_path")) & (F.col("line_no.row") == F.col("first")))
-    names = F.transform(F.split(F.col("line"), ","), lambda c: F.btrim(c, F.lit(' "\r')))
+    names = F.transform(F.split(F.col("line"), ","), lambda c: _known_as(F.btrim(c, F.lit(' "\r'))))
     return found.select("path", F.col("line").alias("header"), names.alias("names"))
 
 
@@ -141,21 +148,8 @@ def combine_features(
 
 
 def union_by_name(tables: Sequence[DataFrame]) -> DataFrame:
-    """Union by column name; a column one table lacks is null there.
-
-    Missing columns are added here, because ``unionByName`` trips over names with dots.
-    """
-    kinds: dict[str, T.DataType] = {}
-    for table in tables:
-        for field in table.schema.fields:
-            kinds.setdefault(field.name, field.dataType)
-    aligned = [
-        table.select(
-            *[F.col(f"`{c}`") if c in table.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
-        )
-        for table in tables
-    ]
-    return reduce(DataFrame.union, aligned)
+    """Union by column name; a column one table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def write_features(df: DataFrame, path: str, layout: str = "clustered", fmt: str = "parquet", mode: str = "error") -> None:

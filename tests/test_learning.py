@@ -207,6 +207,11 @@ def test_model_run(spark):
     assert top.feature == "chem.atoms"
 
 
+def test_settings_from_a_configuration():
+    s = forest.ForestSettings.from_config({"rf_trees": 7, "rf_depth": 0, "seed": 3, "class_weight": "null", "train_csv": "x"})
+    assert (s.trees, s.depth, s.seed, s.class_weight, s.validation_size) == (7, 0, 3, None, 0.2)
+
+
 def test_two_forests_count_by_trees(spark):
     df = points(spark, 1500, 20)
     names = ["chem.atoms", "b"]

@@ -146,3 +146,11 @@ def test_tables_of_two_layouts_are_united_by_name(spark):
     assert set(both.columns) == set(k.EXPORT_COLUMNS) | set(k.LEGACY_COLUMNS)
     row = both.first()
     assert row["chem.polar"] == 1.0 and row["chem.hydropathy"] is None
+
+
+def test_names_that_differ_by_case_only(spark, tmp_path):
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in ("chem.atoms", "chem.atomSulfur")])
+    write(tmp_path, "a", "chem.atoms,chem.atomS\n3,0.5\n")
+    write(tmp_path, "b", "chem.atomS,chem.atoms\n0.25,4\n")
+    rows = t.combine_features(spark, str(tmp_path), kind, required=["chem.atoms"]).collect()
+    assert sorted(tuple(r) for r in rows) == [(3.0, 0.5), (4.0, 0.25)]
