@@ -37,6 +37,7 @@ def neighbourhood_features(
     on: Sequence[str],
     radius: float = k.NEIGHBOUR_RADIUS,
     edge: float | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Distance-weighted sums of atom properties around every point.
 
@@ -60,7 +61,7 @@ def neighbourhood_features(
         near = near.withColumn("weight", linear_weight(F.col("d"), radius))
         return near.join(table, near["a_residue_id"] == table["p_residue_id"], "left")
 
-    return aggregate_within(points, sites, on, radius, aggregates, edge, decorate=decorate)
+    return aggregate_within(points, sites, on, radius, aggregates, edge, decorate=decorate, hot=hot)
 
 
 def in_export_order(df: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ its ball can touch. The join is then an equi-join on (key, cell) with the exact
 distance as a further condition, so it is hash-partitioned by place: one huge
 structure is spread over as many tasks as it has cells.
 
+A cell with too many candidate pairs is done in parts: its points are dealt out by
+hash and its rows copied to every part (``hot_cells``). AQE's skew rule goes by bytes
+and would not see a small partition with a huge number of pairs.
+
 Each point lies in exactly one cell. Grouping by all point columns, the cell
 included, therefore needs no shuffle after the join, and several operators that
 use the same ``edge`` can follow each other on one shuffle of the points.
@@ -18,15 +22,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellfield.functions.geometry import XYZ, cell, cells_touched, distance
-from shellfield.session import small_table, stage
+from shellfield.session import fetched, small_table, stage
 
 CELL = ("cell_x", "cell_y", "cell_z")
+PART = "cell_part"
+PLACE = (*CELL, PART)
+
+# Candidate pairs that one cell, or one part of a hot cell, may have.
+CELL_WORK = 200_000_000
 
 
-def with_cell(points: DataFrame, edge: float, coords: Sequence[str] = XYZ) -> DataFrame:
+def _cells(points: DataFrame, edge: float, coords: Sequence[str]) -> DataFrame:
     return points.withColumns({axis: cell(F.col(c), edge) for axis, c in zip(CELL, coords)})
 
 
+def hot_cells(
+    points: DataFrame,
+    rows: DataFrame,
+    on: Sequence[str],
+    reach: float | str,
+    edge: float,
+    coords: Sequence[str] = XYZ,
+    work: int = CELL_WORK,
+) -> DataFrame | None:
+    """Cells with more than ``work`` candidate pairs, and in how many ``parts`` to do them.
+
+    Both counts combine on the map side. There are at most (all pairs / ``work``)
+    such cells, usually none, and then None is returned.
+    """
+    place = [*on, *CELL]
+    here = _cells(points, edge, coords).groupBy(*place).agg(F.count(F.lit(1)).alias("n_points"))
+    near = spread(rows.select(*on, *coords, *([reach] if isinstance(reach, str) else [])), reach, edge, coords)
+    near = near.groupBy(*[f"a_{c}" for c in place]).agg(F.count(F.lit(1)).alias("n_rows"))
+    both = here.join(near.toDF(*place, "n_rows"), place)
+    parts = F.least(F.ceil(F.col("n_points") * F.col("n_rows") / F.lit(float(work))), F.col("n_points"))
+    hot = fetched(both.select(*place, parts.cast("int").alias("parts")).filter("parts > 1"))
+    return None if hot.isEmpty() else hot
+
+
+def with_cell(points: DataFrame, edge: float, coords: Sequence[str] = XYZ, on=(), hot: DataFrame | None = None) -> DataFrame:
+    """Adds the cell of every point and, for the cells in ``hot``, a random part of it."""
+    placed = _cells(points, edge, coords)
+    if hot is None:
+        return placed.withColumn(PART, F.lit(0))
+    slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.coalesce("parts", F.lit(1))).cast("int")
+    return placed.join(hot, [*on, *CELL], "left").select(*[f"`{c}`" for c in placed.columns], slot.alias(PART))
+
+
 def collapse_copies(
     rows: DataFrame, by: Sequence[str], sums: Sequence[str] = (), coords: Sequence[str] = XYZ
 ) -> DataFrame:
@@ -42,20 +84,37 @@ def collapse_copies(
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), *[F.sum(c).alias(c) for c in sums])
 
 
-def spread(rows: DataFrame, reach: float | str, edge: float, coords: Sequence[str] = XYZ) -> DataFrame:
-    """Rows under ``a_`` names, copied into all cells within ``reach`` (number or column)."""
+def spread(
+    rows: DataFrame,
+    reach: float | str,
+    edge: float,
+    coords: Sequence[str] = XYZ,
+    on: Sequence[str] = (),
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Rows under ``a_`` names, copied into all cells within ``reach`` (number or column).
+
+    In the cells of ``hot`` they are copied into every part.
+    """
     out = rows.select([F.col(f"`{c}`").alias(f"a_{c}") for c in rows.columns])
     size = F.col(f"a_{reach}") if isinstance(reach, str) else F.lit(float(reach))
     for axis, c in zip(CELL, coords):
         out = out.withColumn(f"a_{axis}", F.explode(cells_touched(F.col(f"a_{c}"), size, edge)))
-    return out
+    if hot is None:
+        return out.withColumn(f"a_{PART}", F.lit(0))
+    place = [*on, *CELL]
+    named = hot.select(*[F.col(c).alias(f"a_{c}") for c in place], "parts")
+    slots = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - F.lit(1))
+    return out.join(named, [f"a_{c}" for c in place], "left").select(
+        *[F.col(f"`{c}`") for c in out.columns], F.explode(slots).alias(f"a_{PART}")
+    )
 
 
-def _join(points, rows, on, reach, edge, coords, how, hit):
-    near = spread(rows, reach, edge, coords)
+def _join(points, rows, on, reach, edge, coords, how, hit, hot):
+    near = spread(rows, reach, edge, coords, on, hot)
     limit = F.col(f"a_{reach}") if isinstance(reach, str) else F.lit(float(reach))
     d = distance([F.col(c) for c in coords], [F.col(f"a_{c}") for c in coords])
-    place = [*on, *CELL]
+    place = [*on, *PLACE]
     test = F.lit(True)
     for name in place:
         test = test & (points[name] == near[f"a_{name}"])
@@ -74,6 +133,7 @@ def pairs(
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
     no_further_than: str | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """All (point, row) pairs of one key with ``d <= radius``; row columns get ``a_`` names.
 
@@ -81,12 +141,12 @@ def pairs(
     point column with a closer limit of its own.
     """
     edge = edge or float(radius)
-    placed = points if CELL[0] in points.columns else with_cell(points, edge, coords)
+    placed = points if CELL[0] in points.columns else with_cell(points, edge, coords, on, hot)
 
     def hit(d, limit):
         return (d <= limit) & (d <= F.col(no_further_than) + F.lit(1e-9)) if no_further_than else d <= limit
 
-    joined, d, keys = _join(placed, rows, on, radius, edge, coords, how, hit)
+    joined, d, keys = _join(placed, rows, on, radius, edge, coords, how, hit, hot)
     return joined.withColumn("d", d).drop(*keys)
 
 
@@ -99,6 +159,7 @@ def aggregate_within(
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
     decorate: Callable[[DataFrame], DataFrame] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every point with ``aggregates`` over the rows within ``radius``.
 
@@ -107,12 +168,12 @@ def aggregate_within(
     pairs, so that wide properties never travel through the shuffle.
     """
     placed = CELL[0] in points.columns
-    near = pairs(points, rows, on, radius, "left", edge, coords)
+    near = pairs(points, rows, on, radius, "left", edge, coords, hot=hot)
     if decorate:
         near = decorate(near)
-    kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *CELL])]
+    kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *PLACE])]
     out = near.groupBy(*kept).agg(*aggregates)
-    return out if placed else out.drop(*CELL)
+    return out if placed else out.drop(*PLACE)
 
 
 def count_within(
@@ -123,10 +184,11 @@ def count_within(
     name: str = "neighbours",
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     sites = collapse_copies(rows, on, coords=coords)
     total = F.coalesce(F.sum("a_copies"), F.lit(0)).cast("long").alias(name)
-    return aggregate_within(points, sites, on, radius, [total], edge, coords)
+    return aggregate_within(points, sites, on, radius, [total], edge, coords, hot=hot)
 
 
 def min_distance(
@@ -137,10 +199,11 @@ def min_distance(
     name: str = "min_distance",
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Smallest distance to a row, null when none is within ``radius``."""
     sites = collapse_copies(rows, on, coords=coords)
-    return aggregate_within(points, sites, on, radius, [F.min("d").alias(name)], edge, coords)
+    return aggregate_within(points, sites, on, radius, [F.min("d").alias(name)], edge, coords, hot=hot)
 
 
 def within_flag(
@@ -151,11 +214,12 @@ def within_flag(
     name: str,
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """1 where at least one row is within ``radius``, else 0."""
     sites = collapse_copies(rows, on, coords=coords)
     flag = F.max(F.when(F.col("d").isNotNull(), 1).otherwise(0)).alias(name)
-    return aggregate_within(points, sites, on, radius, [flag], edge, coords)
+    return aggregate_within(points, sites, on, radius, [flag], edge, coords, hot=hot)
 
 
 def nearest_within(
@@ -168,6 +232,7 @@ def nearest_within(
     edge: float | None = None,
     coords: Sequence[str] = XYZ,
     closer_than: str | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest row within ``radius``; equal distances go to the lowest ``order``.
 
@@ -182,16 +247,16 @@ def nearest_within(
         sites = rows.select(*by, *carried)
     else:
         sites = rows.groupBy(*by).agg(F.min(F.struct(*carried)).alias("first")).select(*by, "first.*")
-    near = pairs(points, sites, on, radius, "left", edge, coords, closer_than)
+    near = pairs(points, sites, on, radius, "left", edge, coords, closer_than, hot)
     best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", f"a_{order}", *[f"a_{c}" for c in attributes])))
-    kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *CELL])]
+    kept = [F.col(f"`{c}`") for c in dict.fromkeys([*points.columns, *PLACE])]
     found = near.groupBy(*kept).agg(best.alias("best"))
     out = found.select(
         *kept,
         F.col("best.d").alias("nearest_d"),
         *[F.col(f"best.a_{c}").alias(f"nearest_{c}") for c in [order, *attributes]],
     )
-    return out if placed else out.drop(*CELL)
+    return out if placed else out.drop(*PLACE)
 
 
 def nearest(
@@ -215,7 +280,8 @@ def nearest(
     nothing |= {f"nearest_{c}": F.lit(None).cast(t) for c, t in types.items()}
     found = points.join(keyed, list(on), "left_anti").select(points.columns).withColumns(nothing)
     while True:
-        ring = stage(nearest_within(open_points, rows, on, radius, order, attributes, coords=coords), "ring")
+        hot = hot_cells(open_points, rows, on, radius, radius, coords)
+        ring = stage(nearest_within(open_points, rows, on, radius, order, attributes, coords=coords, hot=hot), "ring")
         found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))
         open_points = ring.filter(F.col("nearest_d").isNull()).select(points.columns)
         if open_points.isEmpty():
@@ -232,6 +298,7 @@ def not_covered(
     source: str,
     edge: float,
     coords: Sequence[str] = XYZ,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Points that lie in no ball but their own.
 
@@ -239,7 +306,7 @@ def not_covered(
     ball's ``radius`` (strictly). ``source`` is the point column that holds the
     ``order`` value of the ball the point came from.
     """
-    placed = points if CELL[0] in points.columns else with_cell(points, edge, coords)
+    placed = points if CELL[0] in points.columns else with_cell(points, edge, coords, on, hot)
     by = list(dict.fromkeys([*on, *coords, radius]))
     if "copies" in balls.columns:
         sites = balls.select(*by, "copies", order)
@@ -250,5 +317,5 @@ def not_covered(
         another = (F.col("a_copies") > 1) | (F.col(f"a_{order}") != F.col(source))
         return (d < limit) & another
 
-    kept, _, _ = _join(placed, sites, on, radius, edge, coords, "left_anti", covered)
-    return kept if CELL[0] in points.columns else kept.drop(*CELL)
+    kept, _, _ = _join(placed, sites, on, radius, edge, coords, "left_anti", covered, hot)
+    return kept if CELL[0] in points.columns else kept.drop(*PLACE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shellfield.functions import constants as k
 from shellfield.functions.chemistry import radius_of
 from shellfield.functions.geometry import XYZ, golden_turn, spiral_height, unit_normal
-from shellfield.operators.spatial import not_covered
+from shellfield.operators.spatial import hot_cells, not_covered
 from shellfield.session import small_table, stage
 
 EXPOSED_FIRST = 1.0
@@ -78,7 +78,8 @@ def surface_points(
     """Shell points that lie inside no other atom."""
     points = shell(atoms, on, order, probe, density, corrected)
     balls = atoms.select(*on, order, *XYZ, radius_of(F.col("element")).alias("radius"))
-    return not_covered(points, balls, on, "radius", order, "source", edge)
+    hot = hot_cells(points, balls, on, "radius", edge)
+    return not_covered(points, balls, on, "radius", order, "source", edge, hot=hot)
 
 
 def exposed_area(
@@ -101,7 +102,9 @@ def exposed_area(
         (F.col("y") + F.col("radius") * F.col("h")).alias("y"),
         (F.col("z") + F.col("radius") * F.sin("turn") * F.col("ring")).alias("z"),
     )
-    free = not_covered(tests, balls, on, "radius", order, "source", k.MAX_RADIUS + probe)
+    edge = k.MAX_RADIUS + probe
+    hot = hot_cells(tests, balls, on, "radius", edge)
+    free = not_covered(tests, balls, on, "radius", order, "source", edge, hot=hot)
     counts = free.groupBy(*on, F.col("source").alias(order)).agg(F.count(F.lit(1)).cast("int").alias("exposed"))
     r = radius_of(F.col("element")) + F.lit(float(probe))
     exposed = F.coalesce("exposed", F.lit(0))

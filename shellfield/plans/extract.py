@@ -35,12 +35,14 @@ class Settings:
     # One cell size for all joins, so that the points are shuffled once. A smaller
     # edge means fewer candidates per point but more copies of each atom.
     edge: float = 7.5
+    # A cell with more candidate pairs than this is done in parts.
+    cell_work: int = spatial.CELL_WORK
 
 
 RESIDUE = ["chain_id", "residue_number", "residue_name"]
 
 
-def _surroundings(points: DataFrame, sites: DataFrame, ligands: DataFrame, s: Settings) -> DataFrame:
+def _surroundings(points: DataFrame, sites: DataFrame, ligands: DataFrame, s: Settings, hot: DataFrame | None) -> DataFrame:
     """Protrusion, label and distance of the closest atom, from one join with atoms and ligands together."""
 
     def side(rows, reach, own):
@@ -60,30 +62,40 @@ def _surroundings(points: DataFrame, sites: DataFrame, ligands: DataFrame, s: Se
             F.min(F.when(own, F.col("d"))).alias("closest"),
         ],
         s.edge,
+        hot=hot,
     )
 
 
 def describe_points(
-    points: DataFrame, sites: DataFrame, ligands: DataFrame, settings: Settings = Settings(), anywhere: bool = False
+    points: DataFrame,
+    sites: DataFrame,
+    ligands: DataFrame,
+    settings: Settings = Settings(),
+    anywhere: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest residue, protrusion, label and features of given points, in export order.
 
     ``sites`` come from ``staged_sites``. Points that may lie far from any atom need
-    ``anywhere``. All joins run on the partitioning of the points' cells, so nothing
-    but the sites moves between them. The widest step comes last.
+    ``anywhere``; points that have cells come with the ``hot`` cells these were made
+    with. All joins run on the partitioning of the points' cells, so nothing but the
+    sites moves between them. The widest step comes last.
     """
     s = settings
     if anywhere:
         points = spatial.nearest(points, sites, ON, s.neighbour_radius, ORDER, RESIDUE)
         points = points.drop("nearest_d", f"nearest_{ORDER}")
-    points = points if spatial.CELL[0] in points.columns else spatial.with_cell(points, s.edge)
-    points = _surroundings(points, sites, ligands, s)
+    if spatial.PART not in points.columns:
+        hot = spatial.hot_cells(points, sites, ON, s.protrusion_radius, s.edge, work=s.cell_work)
+        points = spatial.with_cell(points, s.edge, on=ON, hot=hot)
+    points = _surroundings(points, sites, ligands, s, hot)
     if not anywhere:
         # The own atom is never further away than this.
         reach = k.MAX_RADIUS + s.probe_radius + 0.1
-        points = spatial.nearest_within(points, sites, ON, reach, ORDER, RESIDUE, s.edge, closer_than="closest")
-        points = points.drop("nearest_d", f"nearest_{ORDER}")
-    points = neighbourhood_features(points.drop("closest"), sites, ON, s.neighbour_radius, s.edge)
+        points = spatial.nearest_within(
+            points, sites, ON, reach, ORDER, RESIDUE, s.edge, closer_than="closest", hot=hot
+        ).drop("nearest_d", f"nearest_{ORDER}")
+    points = neighbourhood_features(points.drop("closest"), sites, ON, s.neighbour_radius, s.edge, hot)
     points = points.withColumns(
         {
             "chain_id": F.coalesce("nearest_chain_id", F.lit("UNK")),
@@ -126,9 +138,12 @@ def extract_features(
         points = stage(points.select(*POINT), "points")
         return describe_points(points, sites, ligands, s, anywhere=True)
     shells = shell(atoms, ON, ORDER, s.probe_radius, s.point_density, s.corrected_shell)
-    shells = spatial.with_cell(shells.select(*POINT), s.edge)
-    points = spatial.not_covered(shells, sites, ON, "radius", ORDER, "source", s.edge)
-    return describe_points(points, sites, ligands, s)
+    shells = shells.select(*POINT)
+    # Protrusion has the widest reach, so its cells tell where the work is.
+    hot = spatial.hot_cells(shells, sites, ON, s.protrusion_radius, s.edge, work=s.cell_work)
+    shells = spatial.with_cell(shells, s.edge, on=ON, hot=hot)
+    points = spatial.not_covered(shells, sites, ON, "radius", ORDER, "source", s.edge, hot=hot)
+    return describe_points(points, sites, ligands, s, hot=hot)
 
 
 def staged_records(records: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ registry = Registry()
 query = registry.query
 
 
+def _hot(points, rows, radius):
+    return spatial.hot_cells(points, rows, ["f"], radius, radius)
+
+
 @query(
     "neighbourhood_join",
     v.pairs_sql()
@@ -21,15 +25,16 @@ query = registry.query
     f"from pairs where d <= {NEIGHBOUR_RADIUS} group by id, f",
 )
 def neighbourhood_join(spark, sf):
-    near = spatial.pairs(v.points(spark, sf), v.atoms(spark, sf), ["f"], NEIGHBOUR_RADIUS)
+    points, atoms = v.points(spark, sf), v.atoms(spark, sf)
+    near = spatial.pairs(points, atoms, ["f"], NEIGHBOUR_RADIUS, hot=_hot(points, atoms, NEIGHBOUR_RADIUS))
     return (
-        near.groupBy("f", *spatial.CELL, "id")
+        near.groupBy("f", *spatial.PLACE, "id")
         .agg(
             F.count(F.lit(1)).alias("pairs"),
             F.round(F.sum("d"), 6).alias("total_d"),
             F.sum("a_id").alias("atom_key_sum"),
         )
-        .drop(*spatial.CELL)
+        .drop(*spatial.PLACE)
     )
 
 
@@ -45,8 +50,9 @@ def weighted_neighbourhood(spark, sf):
     atoms = v.atoms(spark, sf).withColumn("value", (F.col("id") % 50).cast("double"))
     sites = spatial.collapse_copies(atoms, ["f"], ["value"])
     weight = linear_weight(F.col("d"), NEIGHBOUR_RADIUS)
+    points = v.points(spark, sf)
     out = spatial.aggregate_within(
-        v.points(spark, sf).select("id", "f", "x", "y", "z"),
+        points,
         sites,
         ["f"],
         NEIGHBOUR_RADIUS,
@@ -55,6 +61,7 @@ def weighted_neighbourhood(spark, sf):
             F.round(F.coalesce(F.sum(weight * F.col("a_copies")), F.lit(0.0)), 6).alias("weight_sum"),
             F.round(F.coalesce(F.sum(weight * F.col("a_value")), F.lit(0.0)), 6).alias("value_sum"),
         ],
+        hot=_hot(points, sites, NEIGHBOUR_RADIUS),
     )
     return out.select("id", "f", "neighbours", "weight_sum", "value_sum")
 
@@ -66,7 +73,9 @@ def weighted_neighbourhood(spark, sf):
     from points p left join pairs n on n.id = p.id and n.d <= {PROTRUSION_RADIUS} group by p.id, p.f""",
 )
 def protrusion_count(spark, sf):
-    out = spatial.count_within(v.points(spark, sf), v.atoms(spark, sf), ["f"], PROTRUSION_RADIUS, "protrusion")
+    points, atoms = v.points(spark, sf), v.atoms(spark, sf)
+    hot = _hot(points, atoms, PROTRUSION_RADIUS)
+    out = spatial.count_within(points, atoms, ["f"], PROTRUSION_RADIUS, "protrusion", hot=hot)
     return out.select("id", "f", "protrusion")
 
 
@@ -92,7 +101,9 @@ _LABELS = f"""
 
 
 def _labelled(spark, sf):
-    return spatial.within_flag(v.points(spark, sf), v.ligand_atoms(spark, sf), ["f"], BINDING_DISTANCE, "class")
+    points, ligands = v.points(spark, sf), v.ligand_atoms(spark, sf)
+    hot = _hot(points, ligands, BINDING_DISTANCE)
+    return spatial.within_flag(points, ligands, ["f"], BINDING_DISTANCE, "class", hot=hot)
 
 
 @query("binding_label", _LABELS + "select id, f, class from labelled")
@@ -119,5 +130,7 @@ def binding_rate(spark, sf):
     from points p left join near n on n.id = p.id group by p.id, p.f""",
 )
 def min_distance_left(spark, sf):
-    out = spatial.min_distance(v.points(spark, sf), v.ligand_atoms(spark, sf), ["f"], BINDING_DISTANCE)
+    points, ligands = v.points(spark, sf), v.ligand_atoms(spark, sf)
+    hot = _hot(points, ligands, BINDING_DISTANCE)
+    out = spatial.min_distance(points, ligands, ["f"], BINDING_DISTANCE, hot=hot)
     return out.select("id", "f", F.round("min_distance", 6).alias("min_distance"))

@@ -102,6 +102,30 @@ def test_not_covered(case, spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("name", ["random", "grid", "one cell"])
+def test_hot_cells_are_done_in_parts(spark, name):
+    points, atoms = CASES[name]
+    p, a = spark.createDataFrame(points, SCHEMA), spark.createDataFrame(atoms, SCHEMA)
+    hot = spatial.hot_cells(p, a, ["f"], 6.0, 6.0, work=20)
+    assert hot is not None and spatial.hot_cells(p, a, ["f"], 6.0, 6.0) is None
+    placed = spatial.with_cell(p, 6.0, on=["f"], hot=hot)
+    assert placed.agg(F.max(spatial.PART)).first()[0] > 0
+    rows = spatial.pairs(p, a, ["f"], 6.0, hot=hot).select("id", "a_id").collect()
+    assert len(rows) == len(set(rows)) and {tuple(r) for r in rows} == near(points, atoms, 6.0)
+    # the same parts serve several joins
+    out = spatial.count_within(placed, a, ["f"], 6.0, "n", 6.0, hot=hot)
+    out = spatial.nearest_within(out, a, ["f"], 4.0, "id", [], 6.0, hot=hot)
+    got = {r.id: (r.n, r.nearest_id) for r in out.collect()}
+    for q in points:
+        own = [(dist(q, b), b[0]) for b in atoms if b[1] == q[1]]
+        close = min([x for x in own if x[0] <= 4.0], default=(None, None))
+        assert got[q[0]] == (sum(d <= 6.0 for d, _ in own), close[1])
+    balls = a.withColumn("radius", F.lit(2.0))
+    free = spatial.not_covered(p.withColumn("src", F.col("id")), balls, ["f"], "radius", "id", "src", 6.0, hot=hot)
+    expected = {q[0] for q in points if not any(b[1] == q[1] and b[0] != q[0] and dist(q, b) < 2.0 for b in atoms)}
+    assert {r.id for r in free.collect()} == expected
+
+
 def test_boundaries(spark):
     atoms = spark.createDataFrame([(0, "f", 0.0, 0.0, 0.0)], SCHEMA)
     points = spark.createDataFrame([(i, "f", x, 0.0, 0.0) for i, x in enumerate([6.0, -6.0, 11.3, 6.0000001])], SCHEMA)
