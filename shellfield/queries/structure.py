@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shellfield.functions import chemistry, constants as k, fixed, scalars
-from shellfield.operators import ligands, spatial, surface
+from shellfield.operators import ligands, surface
 from shellfield.plans import extract
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry, plain_names

@@ -48,9 +48,9 @@ def test_paths(spark, path, expected):
 
 
 def test_structure_id(spark):
-    names = ["a.001.001.001_1s69a.pdb", "121p.pdb", "x.pdb"]
+    names = ["a.001.002.003_1abcd.pdb", "9xyz.pdb", "x.pdb"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(m.structure_id(F.col("n")).alias("s"))
-    assert [r.s for r in df.collect()] == ["1s69", "121p", ""]
+    assert [r.s for r in df.collect()] == ["1abc", "9xyz", ""]
 
 
 HEAD = "file_name,x,y,z,chain_id,residue_number,residue_name,chem.atoms,class"
