@@ -8,11 +8,11 @@ result does not depend on a locale or a Unicode version.
 from __future__ import annotations
 
 import contextlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,10 +174,16 @@ def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in source if b.num_rows)
 
 
+def pieces(source: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so that a task holds the words of few texts."""
+    for batch in batches(source):
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield batch.slice(a, b - a)
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, so that extra columns with any name cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def rows_json(value) -> str:
-    return json.dumps(value, separators=(",", ":"))

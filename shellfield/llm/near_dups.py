@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellfield.llm.common import Tokens, WordHashes, as_long, batches, binary_texts, discard, mix, plain, stage
-from shellfield.llm.common import window_hashes
+from shellfield.llm.common import Tokens, WordHashes, as_long, batches, binary_texts, discard, mix, pieces
+from shellfield.llm.common import plain, stage, window_hashes
 from shellfield.llm.components import components
 
 COORDINATES, ROWS = 40, 4
@@ -83,7 +83,7 @@ def signatures(sets: list[np.ndarray], block: int = 1 << 15) -> np.ndarray:
 def _sketch(size: int):
     def run(source):
         memo = WordHashes()
-        for batch in batches(source):
+        for batch in pieces(source, 1):
             sets = shingle_sets(binary_texts(batch.column(1)), memo, size)
             both = [(np.add.reduce(s), np.bitwise_xor.reduce(mix(s))) if len(s) else (0, 0) for s in sets]
             signs = signatures(sets)

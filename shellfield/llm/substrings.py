@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellfield.llm.common import Tokens, WordHashes, as_long, batches, binary_texts, plain, stage, window_hashes
+from shellfield.llm.common import Tokens, WordHashes, as_long, batches, binary_texts, pieces, plain, stage, window_hashes
 
 # A row that needs no partner is dealt out by key = window * SPREAD + doc, which can be turned back.
 _SPREAD = 0xD1342543DE82EF95
@@ -36,7 +36,7 @@ def _post(size: int):
 
     def run(source):
         memo = WordHashes()
-        for batch in batches(source):
+        for batch in pieces(source, 1):
             tokens = Tokens(binary_texts(batch.column(1)), memo, lower=False)
             at, window = window_hashes(tokens, size)
             doc = batch.column(0).to_numpy(zero_copy_only=False)[tokens.rows()[at]]
@@ -46,11 +46,11 @@ def _post(size: int):
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
             decided = (doc > least) & (new | _first_of(doc))
             out = np.flatnonzero(new | decided)
-            key = window[out].copy()
-            known = decided[out]
-            key[known] = key[known] * np.uint64(_SPREAD) + doc[out][known].astype(np.uint64)
+            out = out[np.argsort(order[out])]  # as in the texts again: rows of one document compress well
+            key, doc, known = window[out], doc[out], decided[out]
+            key[known] = key[known] * np.uint64(_SPREAD) + doc[known].astype(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(key)), pa.array(doc[out]), pa.array(known)], names=["key", "doc", "known"]
+                [pa.array(as_long(key)), pa.array(doc), pa.array(known)], names=["key", "doc", "known"]
             )
 
     return run
@@ -88,7 +88,7 @@ def _tell():
 def _cut(size: int):
     def run(source):
         memo = WordHashes()
-        for batch in batches(source):
+        for batch in pieces(source, 1):
             tokens = Tokens(binary_texts(batch.column(1)), memo, lower=False)
             at, window = window_hashes(tokens, size)
             told = batch.column(2)
