@@ -72,7 +72,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of ``docs(row, text)``."""
     return docs.select("row", "text").mapInArrow(
         _statistics,
-        "row struct<doc_id:bigint,lang:string,source:string>, n_words long, word_chars long, n_symbols long, "
+        "row struct<doc_id:bigint,lang:string,source:string,text_hash:bigint>, n_words long, word_chars long, n_symbols long, "
         "n_dup_lines long, n_repeat_words long",
     )
 
@@ -189,7 +189,7 @@ def mcd(rows: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS) -> DataF
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, lang, source)``: statistics and verdict.
 
-    Columns: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    Columns: doc_id, lang, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, distance (of rows that pass the base rules), kept. A row is rejected if a base
     rule fails (fewer than 10 words, or more than a fifth of the words in repeated windows), or if its
     squared distance is over ``cutoff`` and one statistic alone is off by more than a third of
@@ -203,7 +203,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
     Scale: one pass over the texts leaves eight numbers for each document; the steps read only those.
     """
     row = F.struct(
-        F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`lang`").alias("lang"), F.col("`source`").alias("source")
+        F.col("`doc_id`").cast("long").alias("doc_id"),
+        F.col("`lang`").alias("lang"),
+        F.col("`source`").alias("source"),
+        F.xxhash64("`text`").alias("text_hash"),
     )
     counted = statistics(docs.select(row.alias("row"), F.col("`text`").alias("text")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -231,7 +234,17 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
         off = off | (gap * gap * F.col("inverse")[i * p + i] > cutoff / 3)
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.withColumn("distance", distance).select(
-        "row.doc_id", "row.lang", "row.source",
+        "row.doc_id", "row.lang", "row.source", "row.text_hash",
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & off, F.lit(False))).alias("kept"),
     )
+
+
+def drop_rejected(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    bad = judge(docs, **settings).filter(~F.col("kept"))
+    bad = bad.select(*[F.col(c).alias(f"bad_{c}") for c in ("doc_id", "lang", "source", "text_hash")]).distinct()
+    same = F.xxhash64(docs["text"]) == bad["bad_text_hash"]
+    for c in ("doc_id", "lang", "source"):
+        same &= docs[c].eqNullSafe(bad[f"bad_{c}"])
+    return docs.join(bad, same, "left_anti")

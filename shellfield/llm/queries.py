@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from shellfield.llm.chat import format_conversations, masked_texts, read_back
 from shellfield.llm.decontaminate import contaminated
+from shellfield.llm.html_template import extract_main_text
+from shellfield.llm.licenses import scan_licenses
 from shellfield.llm.line_runs import drop_frequent_lines
 from shellfield.llm.lm import score
 from shellfield.llm.mixing import mix
@@ -55,9 +57,14 @@ def op3_minhash_near_dups(spark, folder):
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+@registry.query("op4_html_template")
+def op4_html_template(spark, folder):
+    return extract_main_text(table(spark, folder, "pages"))
+
+
 @registry.query("op5_mcd_quality")
 def op5_mcd_quality(spark, folder):
-    return judge(table(spark, folder, "documents"))
+    return judge(table(spark, folder, "documents")).drop("text_hash")
 
 
 @registry.query("op6_source_mixing")
@@ -137,6 +144,11 @@ def op8_chat_format(spark, folder):
     )
 
 
+@registry.query("op9_license_automaton")
+def op9_license_automaton(spark, folder):
+    return scan_licenses(table(spark, folder, "documents")).drop("spans")
+
+
 LINE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
