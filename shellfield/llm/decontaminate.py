@@ -156,13 +156,16 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
     """(start in the item, length, equal words) of the longest overlap found on one alignment.
 
     Word i of the item lies on word i + shift of the document. An overlap is a run of at
-    least 13 aligned words (of a shorter item: all of them) of which at least four fifths are equal.
+    least 13 aligned words of which at least four fifths are equal. A shorter item has to be there
+    whole, with one word changed at most.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     need = min(WINDOW, len(item))
     if high - low < need:
         return None
     equal = item[low:high] == doc[low + shift : high + shift]
+    if len(item) < WINDOW:  # one substitution leaves a half without any, which is what the seeds of short items find
+        return (0, len(item), int(equal.sum())) if equal.sum() >= len(item) - 1 else None
     sums = np.concatenate([[0], np.cumsum(SHARE[1] * equal.astype(np.int64) - SHARE[0])])
     least = np.minimum.accumulate(sums)
     good = np.flatnonzero(sums[need:] >= least[: len(sums) - need]) + need

@@ -102,8 +102,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     aimed = aimed.select(
         F.row_number().over(upper).alias("sid"),
         "source", "source_size", "target", "n",
-        ((end - F.col("target")) / total).alias("low"),
-        (end / total).alias("high"),
+        F.try_divide(end - F.col("target"), total).alias("low"),
+        F.try_divide(end, total).alias("high"),
         F.lead(F.lit(False), 1, True).over(upper).alias("last"),
         block.alias("block"),
         F.ceil(total / block).cast("long").alias("n_slots"),
