@@ -41,7 +41,7 @@ def element_counter(element: Column, atom: Column) -> Column:
 def with_kind(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
     """Adds ``volsite_mask``, ``donor`` and ``acceptor``.
 
-    The mask is the property file's row if there is one, else that of the rules,
+    The mask is the property file's row if there is one (of repeated rows the largest), else that of the rules,
     which compare names in upper case. Donor and acceptor counts need the exact names.
     """
     raw_name, raw_res = F.col("atom_name"), F.coalesce("residue_name", F.lit(""))
@@ -54,7 +54,7 @@ def with_kind(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
     mask = F.coalesce("rule_mask", wide, F.lit(0))
     if volsite is not None:
         flags = [F.when(F.col(f) != 0, 1 << bit).otherwise(0) for bit, f in enumerate(k.VOLSITE_FLAGS)]
-        listed = volsite.select(F.col("atomName").alias("listed"), sum(flags[1:], flags[0]).alias("listed_mask"))
+        listed = volsite.groupBy(F.col("atomName").alias("listed")).agg(F.max(sum(flags[1:], flags[0])).alias("listed_mask"))
         out = out.join(small_table(listed), atom_key(raw_res, raw_name) == F.col("listed"), "left")
         mask = F.coalesce("listed_mask", mask)
     exact = (name == raw_name) & (res == raw_res)
@@ -68,10 +68,10 @@ def with_kind(atoms: DataFrame, volsite: DataFrame | None = None) -> DataFrame:
 def with_atom_table(
     atoms: DataFrame, atom_table: DataFrame | None, exponent: float = 2.0, keep_sign: bool = False
 ) -> DataFrame:
-    """Adds the property-file values raised to ``exponent``; 0 for atoms not listed."""
+    """Adds the property-file values raised to ``exponent``; 0 for atoms not listed, the largest of repeated ones."""
     if atom_table is None:
         return atoms.withColumns({n: F.lit(0.0) for n in k.ATOM_TABLE})
-    listed = atom_table.select(F.col("atomName").alias("listed"), *k.ATOM_TABLE)
+    listed = atom_table.groupBy(F.col("atomName").alias("listed")).agg(*[F.max(n).alias(n) for n in k.ATOM_TABLE])
     key = atom_key(F.col("residue_name"), F.col("atom_name"))
     out = atoms.join(small_table(listed), key == F.col("listed"), "left")
     return out.select(
@@ -156,8 +156,12 @@ def atom_flags(atoms: DataFrame) -> DataFrame:
 
 def normalise_residue(residue: Column) -> Column:
     """Modified residues under their parent's name, special ones as they are, others UNK."""
-    known = [code for code in k.RESIDUES if code != "STP"]
-    return (
-        F.when(residue.isin(*known, *k.SPECIAL_RESIDUES), residue)
-        .otherwise(F.coalesce(_lookup(k.RESIDUE_REPLACEMENTS, residue), F.lit("UNK")))
+    return F.when(residue.isin(*k.NORMAL_RESIDUES), residue).otherwise(
+        F.coalesce(_lookup(k.RESIDUE_REPLACEMENTS, residue), F.lit("UNK"))
     )
+
+
+def normal_residue_properties(rows: DataFrame, residue: str = "residue_name") -> DataFrame:
+    """Adds ``normal_name`` and the 17 properties of the normalised residue."""
+    named = rows.withColumn("normal_name", normalise_residue(F.col(f"`{residue}`")))
+    return named.join(F.broadcast(fixed.normal_residues(rows.sparkSession)), "normal_name")

@@ -42,35 +42,63 @@ RESIDUE_PROPERTIES = (
     "posCharge negCharge hBondDonor hBondAcceptor hBondDonorAcceptor polar ionizable"
 ).split()
 
-# Hydropathy and non-zero properties of each residue code.
-# "basic" is an ordinal, everything else not given a number is 1.
+# Hydropathy and non-zero properties of each residue code ("basic" is an ordinal).
 RESIDUES = {
-    "ALA": "hydrophobic hydrophatyIndex=1.8 aliphatic",
-    "ARG": "hydrophilic hydrophatyIndex=-4.5 basic=3 posCharge hBondDonor polar ionizable",
-    "ASN": "hydrophilic hydrophatyIndex=-3.5 amide hBondDonorAcceptor polar",
-    "ASP": "hydrophilic hydrophatyIndex=-3.5 acidic negCharge hBondAcceptor polar ionizable",
-    "CYS": "hydrophobic hydrophatyIndex=2.5 sulfur polar ionizable",
-    "GLU": "hydrophilic hydrophatyIndex=-3.5 acidic negCharge hBondAcceptor polar ionizable",
-    "GLN": "hydrophilic hydrophatyIndex=-3.5 amide hBondDonorAcceptor polar",
-    "GLY": "hydrophobic hydrophatyIndex=-0.4 aliphatic",
-    "HIS": "hydrophatyIndex=-3.2 basic=1 posCharge hBondDonorAcceptor polar ionizable",
-    "ILE": "hydrophobic hydrophatyIndex=4.5 aliphatic",
-    "LEU": "hydrophobic hydrophatyIndex=3.8 aliphatic",
-    "LYS": "hydrophilic hydrophatyIndex=-3.9 basic=2 posCharge hBondDonor polar ionizable",
-    "MET": "hydrophobic hydrophatyIndex=1.9 sulfur",
-    "PHE": "hydrophobic hydrophatyIndex=2.8 aromatic",
-    "PRO": "hydrophilic hydrophatyIndex=-1.6 aliphatic",
-    "SER": "hydrophatyIndex=-0.8 hydroxyl hBondDonorAcceptor polar",
-    "THR": "hydrophatyIndex=-0.7 hydroxyl hBondDonorAcceptor polar",
-    "TRP": "hydrophobic hydrophatyIndex=-0.9 aromatic",
-    "TYR": "hydrophobic hydrophatyIndex=-1.3 aromatic hBondDonorAcceptor polar ionizable",
-    "VAL": "hydrophobic hydrophatyIndex=4.2 aliphatic",
-    "STP": "",
+    "ALA": {"hydrophobic": 1.0, "hydrophatyIndex": 1.8, "aliphatic": 1.0},
+    "ARG": {"hydrophilic": 1.0, "hydrophatyIndex": -4.5, "basic": 3.0, "posCharge": 1.0, "hBondDonor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "ASN": {"hydrophilic": 1.0, "hydrophatyIndex": -3.5, "amide": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0},
+    "ASP": {"hydrophilic": 1.0, "hydrophatyIndex": -3.5, "acidic": 1.0, "negCharge": 1.0, "hBondAcceptor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "CYS": {"hydrophobic": 1.0, "hydrophatyIndex": 2.5, "sulfur": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "GLU": {"hydrophilic": 1.0, "hydrophatyIndex": -3.5, "acidic": 1.0, "negCharge": 1.0, "hBondAcceptor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "GLN": {"hydrophilic": 1.0, "hydrophatyIndex": -3.5, "amide": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0},
+    "GLY": {"hydrophobic": 1.0, "hydrophatyIndex": -0.4, "aliphatic": 1.0},
+    "HIS": {"hydrophatyIndex": -3.2, "basic": 1.0, "posCharge": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "ILE": {"hydrophobic": 1.0, "hydrophatyIndex": 4.5, "aliphatic": 1.0},
+    "LEU": {"hydrophobic": 1.0, "hydrophatyIndex": 3.8, "aliphatic": 1.0},
+    "LYS": {"hydrophilic": 1.0, "hydrophatyIndex": -3.9, "basic": 2.0, "posCharge": 1.0, "hBondDonor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "MET": {"hydrophobic": 1.0, "hydrophatyIndex": 1.9, "sulfur": 1.0},
+    "PHE": {"hydrophobic": 1.0, "hydrophatyIndex": 2.8, "aromatic": 1.0},
+    "PRO": {"hydrophilic": 1.0, "hydrophatyIndex": -1.6, "aliphatic": 1.0},
+    "SER": {"hydrophatyIndex": -0.8, "hydroxyl": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0},
+    "THR": {"hydrophatyIndex": -0.7, "hydroxyl": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0},
+    "TRP": {"hydrophobic": 1.0, "hydrophatyIndex": -0.9, "aromatic": 1.0},
+    "TYR": {"hydrophobic": 1.0, "hydrophatyIndex": -1.3, "aromatic": 1.0, "hBondDonorAcceptor": 1.0, "polar": 1.0, "ionizable": 1.0},
+    "VAL": {"hydrophobic": 1.0, "hydrophatyIndex": 4.2, "aliphatic": 1.0},
+    "STP": {},
 }
 
-# Replacement of modified residues, and residues kept under their own name.
+# Properties of a normalised residue, in this order.
+NORMAL_PROPERTIES = (
+    "hydrophobic", "hydrophilic", "hydropathy", "aliphatic", "aromatic", "sulfur", "hydroxyl", "basic", "acidic",
+    "amide", "pos_charge", "neg_charge", "h_donor", "h_acceptor", "h_donor_acceptor", "polar", "ionizable",
+)
+NORMAL_RESIDUES = {
+    "ALA": (1.0, 0.0, 1.8, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "ARG": (0.0, 1.0, -4.5, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0),
+    "ASN": (0.0, 1.0, -3.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0),
+    "ASP": (0.0, 1.0, -3.5, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0),
+    "CYS": (1.0, 0.0, 2.5, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.5),
+    "GLN": (0.0, 1.0, -3.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0),
+    "GLU": (0.0, 1.0, -3.5, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, 1.0),
+    "GLY": (0.5, 0.5, -0.4, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "HIS": (0.0, 1.0, -3.2, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.5, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0),
+    "ILE": (1.0, 0.0, 4.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "LEU": (1.0, 0.0, 3.8, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "LYS": (0.0, 1.0, -3.9, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0),
+    "MET": (1.0, 0.0, 1.9, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "PHE": (1.0, 0.0, 2.8, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "PRO": (1.0, 0.0, -1.6, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "SER": (0.0, 1.0, -0.8, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0),
+    "THR": (0.0, 1.0, -0.7, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.0),
+    "TRP": (1.0, 0.0, -0.9, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.5, 0.0),
+    "TYR": (0.5, 0.5, -1.3, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 0.5),
+    "VAL": (1.0, 0.0, 4.2, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "HEM": (0.3, 0.7, -2.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0),
+    "UNK": (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+}
+
+# Replacement of modified residues.
 RESIDUE_REPLACEMENTS = {"MSE": "MET", "SEC": "CYS", "PYL": "LYS"}
-SPECIAL_RESIDUES = ("HEM", "UNK")
 
 # Hydrogen bond donor and acceptor counts of side-chain atoms.
 BOND_ATOMS = {
@@ -97,49 +125,51 @@ BOND_ATOMS = {
 # Pharmacophore flags, in output order.
 VOLSITE_FLAGS = "vsAromatic vsCation vsAnion vsHydrophobic vsAcceptor vsDonor".split()
 
-# Pharmacophore flags by atom name and residue, used for atoms that
-# the property file does not list. "*" is any residue, "!CA" any residue but CA.
+# Pharmacophore flags by atom names and residues (None is any residue), used for atoms
+# that the property file does not list.
 VOLSITE_RULES = [
-    ("C", "*", "vsHydrophobic"),
-    ("CA CB", "!CA", "vsHydrophobic"),
-    ("CD", "ARG GLN GLU LYS PRO", "vsHydrophobic"),
-    ("CD1", "ILE LEU", "vsHydrophobic"),
-    ("CD1", "PHE TRP TYR", "vsAromatic"),
-    ("CD2", "LEU", "vsHydrophobic"),
-    ("CD2", "PHE TRP TYR HIS HID HIE", "vsAromatic"),
-    ("CE", "LYS MET", "vsHydrophobic"),
-    ("CE1", "HIS HID HIE PHE TYR", "vsAromatic"),
-    ("CE2", "PHE TRP TYR", "vsAromatic"),
-    ("CE3", "TRP", "vsAromatic"),
-    ("CG", "ARG ASN ASP CYS CYX GLN GLU LEU LYS MET PRO", "vsHydrophobic"),
-    ("CG", "HIS HID HIE PHE TRP TYR", "vsAromatic"),
-    ("CG1", "ILE VAL", "vsHydrophobic"),
-    ("CG2", "ILE THR VAL", "vsHydrophobic"),
-    ("CH2", "TRP", "vsAromatic"),
-    ("CZ", "ARG", "vsHydrophobic"),
-    ("CZ", "PHE TYR", "vsAromatic"),
-    ("CZ2 CZ3", "TRP", "vsAromatic"),
-    ("N", "*", "vsDonor"),
-    ("ND1 NE2", "HIS HID HIE", "vsDonor vsAcceptor"),
-    ("ND2", "ASN", "vsDonor"),
-    ("NE", "ARG LYS", "vsCation"),
-    ("NE1", "TRP", "vsDonor"),
-    ("NE2", "GLN", "vsDonor"),
-    ("NH1 NH2", "ARG", "vsCation"),
-    ("NZ", "LYS", "vsCation"),
-    ("O", "*", "vsAcceptor"),
-    ("OD1 OD2", "ASP", "vsAnion"),
-    ("OD1", "ASN", "vsAcceptor"),
-    ("OE1", "GLN", "vsAcceptor"),
-    ("OE1 OE2", "GLU", "vsAnion"),
-    ("OG", "SER", "vsDonor vsAcceptor"),
-    ("OG1", "THR", "vsDonor vsAcceptor"),
-    ("OH", "TYR", "vsDonor vsAcceptor"),
-    ("OXT", "*", "vsAnion"),
-    ("SD SG", "CYS CYX", "vsAcceptor"),
-    ("SD SG", "MET", "vsHydrophobic"),
-    ("FE MG MN ZN CO", "*", "vsCation"),
+    (("C",), None, ("vsHydrophobic",)),
+    (("CA", "CB"), None, ("vsHydrophobic",)),
+    (("CD",), ("ARG", "GLN", "GLU", "LYS", "PRO"), ("vsHydrophobic",)),
+    (("CD1",), ("ILE", "LEU"), ("vsHydrophobic",)),
+    (("CD1",), ("PHE", "TRP", "TYR"), ("vsAromatic",)),
+    (("CD2",), ("LEU",), ("vsHydrophobic",)),
+    (("CD2",), ("PHE", "TRP", "TYR", "HIS", "HID", "HIE"), ("vsAromatic",)),
+    (("CE",), ("LYS", "MET"), ("vsHydrophobic",)),
+    (("CE1",), ("HIS", "HID", "HIE", "PHE", "TYR"), ("vsAromatic",)),
+    (("CE2",), ("PHE", "TRP", "TYR"), ("vsAromatic",)),
+    (("CE3",), ("TRP",), ("vsAromatic",)),
+    (("CG",), ("ARG", "ASN", "ASP", "CYS", "CYX", "GLN", "GLU", "LEU", "LYS", "MET", "PRO"), ("vsHydrophobic",)),
+    (("CG",), ("HIS", "HID", "HIE", "PHE", "TRP", "TYR"), ("vsAromatic",)),
+    (("CG1",), ("ILE", "VAL"), ("vsHydrophobic",)),
+    (("CG2",), ("ILE", "THR", "VAL"), ("vsHydrophobic",)),
+    (("CH2",), ("TRP",), ("vsAromatic",)),
+    (("CZ",), ("ARG",), ("vsHydrophobic",)),
+    (("CZ",), ("PHE", "TYR"), ("vsAromatic",)),
+    (("CZ2", "CZ3"), ("TRP",), ("vsAromatic",)),
+    (("N",), None, ("vsDonor",)),
+    (("ND1", "NE2"), ("HIS", "HID", "HIE"), ("vsDonor", "vsAcceptor")),
+    (("ND2",), ("ASN",), ("vsDonor",)),
+    (("NE",), ("ARG", "LYS"), ("vsCation",)),
+    (("NE1",), ("TRP",), ("vsDonor",)),
+    (("NE2",), ("GLN",), ("vsDonor",)),
+    (("NH1", "NH2"), ("ARG",), ("vsCation",)),
+    (("NZ",), ("LYS",), ("vsCation",)),
+    (("O",), None, ("vsAcceptor",)),
+    (("OD1", "OD2"), ("ASP",), ("vsAnion",)),
+    (("OD1",), ("ASN",), ("vsAcceptor",)),
+    (("OE1",), ("GLN",), ("vsAcceptor",)),
+    (("OE1", "OE2"), ("GLU",), ("vsAnion",)),
+    (("OG",), ("SER",), ("vsDonor", "vsAcceptor")),
+    (("OG1",), ("THR",), ("vsDonor", "vsAcceptor")),
+    (("OH",), ("TYR",), ("vsDonor", "vsAcceptor")),
+    (("OXT",), None, ("vsAnion",)),
+    (("SD", "SG"), ("CYS", "CYX"), ("vsAcceptor",)),
+    (("SD", "SG"), ("MET",), ("vsHydrophobic",)),
+    (("FE", "MG", "MN", "ZN", "CO"), None, ("vsCation",)),
 ]
+# The residue that a rule for any residue leaves out, by atom name.
+VOLSITE_EXCEPT = {"CA": "CA", "CB": "CA"}
 
 # Atom names behind the per-atom flags.
 DONOR_ATOMS = "N NH1 NH2 NE NE1 NE2 ND1 ND2 NZ OG OG1 OH".split()

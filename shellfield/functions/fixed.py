@@ -42,11 +42,17 @@ RESIDUE_COLUMNS = ["residue_id", "residue_name", *k.RESIDUE_PROPERTIES]
 
 
 def residue_rows() -> list[list]:
-    rows = []
-    for number, (code, text) in enumerate(k.RESIDUES.items(), start=1):
-        given = dict((part.split("=") + ["1"])[:2] for part in text.split())
-        rows.append([number, code, *[float(given.get(p, 0.0)) for p in k.RESIDUE_PROPERTIES]])
-    return rows
+    return [
+        [number, code, *[given.get(p, 0.0) for p in k.RESIDUE_PROPERTIES]]
+        for number, (code, given) in enumerate(k.RESIDUES.items(), start=1)
+    ]
+
+
+NORMAL_COLUMNS = ["normal_name", *k.NORMAL_PROPERTIES]
+
+
+def normal_rows() -> list[list]:
+    return [[name, *values] for name, values in k.NORMAL_RESIDUES.items()]
 
 
 BOND_COLUMNS = ["residue_name", "atom_name", "donor", "acceptor"]
@@ -56,8 +62,8 @@ def bond_rows() -> list[list]:
     return [[res, atom, donor, acceptor] for (res, atom), (donor, acceptor) in k.BOND_ATOMS.items()]
 
 
-def flag_mask(flags: str) -> int:
-    return sum(1 << k.VOLSITE_FLAGS.index(f) for f in flags.split())
+def flag_mask(flags: Sequence[str]) -> int:
+    return sum(1 << k.VOLSITE_FLAGS.index(f) for f in flags)
 
 
 RULE_COLUMNS = ["rule_residue", "rule_atom", "rule_mask"]
@@ -66,21 +72,17 @@ KIND_COLUMNS = ["kind_residue", "kind_atom", "rule_mask", "donor", "acceptor"]
 
 def exact_rule_rows() -> list[list]:
     return [
-        [res, atom, flag_mask(flags)]
-        for atoms, residues, flags in k.VOLSITE_RULES
-        if residues != "*" and not residues.startswith("!")
-        for atom in atoms.split()
-        for res in residues.split()
+        [res, atom, flag_mask(flags)] for atoms, residues, flags in k.VOLSITE_RULES for res in residues or () for atom in atoms
     ]
 
 
 def any_rule_rows() -> list[list]:
     """Rules for any residue; ``rule_residue`` is then the one residue left out, or null."""
     return [
-        [residues[1:] or None, atom, flag_mask(flags)]
+        [k.VOLSITE_EXCEPT.get(atom), atom, flag_mask(flags)]
         for atoms, residues, flags in k.VOLSITE_RULES
-        if residues == "*" or residues.startswith("!")
-        for atom in atoms.split()
+        if residues is None
+        for atom in atoms
     ]
 
 
@@ -99,5 +101,10 @@ def residues(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, RESIDUE_COLUMNS, residue_rows())
 
 
+def normal_residues(spark: SparkSession) -> DataFrame:
+    """Properties of residues under the names that ``chemistry.normalise_residue`` gives them."""
+    return fixed_table(spark, NORMAL_COLUMNS, normal_rows())
+
+
 def atom_kinds(spark: SparkSession) -> DataFrame:
     return fixed_table(spark, KIND_COLUMNS, kind_rows())

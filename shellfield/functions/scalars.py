@@ -25,12 +25,20 @@ def resolve(parent: Column, entry: Column) -> Column:
     return F.when(entry.startswith("/") | (parent == ""), entry).otherwise(F.concat(parent, F.lit("/"), entry))
 
 
-def normalise_path(path: Column, depth: int = 8) -> Column:
-    """Fold ``a/../`` and ``./`` steps, ``depth`` levels deep."""
-    out = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+def normalise_path(path: Column) -> Column:
+    """Fold ``a/../`` and ``./`` steps, at any depth; leading ``../`` and empty steps stay."""
+
+    def fold(done: Column, step: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        back = (step == "..") & (F.size(done) > 0) & ~F.coalesce(last, F.lit("")).isin("", "..")
+        return (
+            F.when(step == ".", done)
+            .when(back, F.slice(done, F.lit(1), F.size(done) - 1))
+            .otherwise(F.array_append(done, step))
+        )
+
+    steps = F.split(path, "/")
+    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), fold), "/")
 
 
 def feature_file(base: Column) -> Column:
@@ -81,3 +89,8 @@ def hash_below(share: float, seed: str, *keys: Column) -> Column:
     if share >= 1.0:
         return F.lit(True)
     return F.substring(hash_order(seed, *keys), 1, 8) < F.lit(f"{int(share * 2**32):08x}")
+
+
+def present(name: str) -> Column:
+    """A numeric column as doubles, with NaN as null: both are missing."""
+    return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))

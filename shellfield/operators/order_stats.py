@@ -5,83 +5,74 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shellfield.functions.scalars import present
 from shellfield.session import stage
 
-# Columns per scan: the aggregation stays compilable, and a columnar source reads
-# each column once per round either way.
+# Columns in one census: the aggregation stays compilable.
 COLUMNS_PER_SCAN = 6
-
-# Up to this many rows Spark's exact ``percentile`` may hold a column's values.
-SMALL = 2_000_000
 ACCURACY = 20_000
-MAX_BUCKETS = 16_384
 
 
 def _percentile_cut(rank: float, values: list[float]) -> float:
-    low = math.floor(rank)
-    part = rank - low
-    return values[0] + (values[1] - values[0]) * part if part else values[0]
+    part = rank - math.floor(rank)
+    return values[0] + (values[1] - values[0]) * part if part and values[0] != values[1] else values[0]
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], small: int = SMALL, accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of several columns, exact at any size.
 
-    Small inputs use ``percentile``. Otherwise each quantile is closed in on: an
-    approximate percentile of the values still in question gives a bracket, one
-    scan counts what lies below it, and the next round looks inside the bracket
-    only. Every round is one map-side aggregation over all columns, and only
-    counts and bracket ends reach the driver.
+    Null and NaN are missing and take no part; infinite values do. Each quantile is closed in
+    on: an approximate percentile of the values still in question gives a bracket, one scan
+    counts what lies below it, and the next round looks inside the bracket only. Every round
+    is a map-side aggregation, and only counts and bracket ends reach the driver. A
+    round that narrows nothing is an error.
     """
-    total = df.count()
-    if total == 0:
-        return {c: [None] * len(probabilities) for c in columns}
-    if total > small and len(columns) > COLUMNS_PER_SCAN:
-        out = {}
-        for i in range(0, len(columns), COLUMNS_PER_SCAN):
-            out |= exact_quantiles(df, columns[i : i + COLUMNS_PER_SCAN], probabilities, small, accuracy)
-        return out
-    if total <= small:
-        row = df.agg(
-            *[
-                F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(float(p)) for p in probabilities])).alias(f"q{i}")
-                for i, c in enumerate(columns)
-            ]
-        ).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(columns)}
-
-    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    columns = list(columns)
+    slack = 2.0 / accuracy
+    cuts = [[max(0.0, p - slack), p, min(1.0, p + slack)] for p in probabilities]
+    firsts = [c for three in cuts for c in three]
+    start = df.agg(
+        *[F.count(present(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(present(c), firsts, accuracy).alias(f"b{i}") for i, c in enumerate(columns)],
+    ).first()
     answers: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     targets = []
     for i, c in enumerate(columns):
-        if counts[i]:
-            for j, p in enumerate(probabilities):
-                rank = (counts[i] - 1) * p
-                # ranks wanted, open bracket (low, high), values below the bracket
-                targets.append({"c": c, "j": j, "rank": rank, "low": -math.inf, "high": math.inf, "below": 0, "n": counts[i]})
+        for j, p in enumerate(probabilities):
+            if start[f"n{i}"]:
+                n = start[f"n{i}"]
+                # ranks wanted, closed bracket [low, high], values below the bracket
+                target = {"c": c, "j": j, "rank": (n - 1) * p, "low": -math.inf, "high": math.inf, "below": 0, "n": n}
+                targets.append(target | {"try": sorted(set(start[f"b{i}"][3 * j : 3 * j + 3]))})
     while targets:
-        ends = df.agg(*[_bracket(t, accuracy).alias(f"b{i}") for i, t in enumerate(targets)]).first()
-        for i, t in enumerate(targets):
-            t["try"] = sorted({v for v in ends[i] if v is not None})
-        census = df.agg(*[e for i, t in enumerate(targets) for e in _census(t, i)]).first().asDict()
         left = []
-        for i, t in enumerate(targets):
-            found = _narrow(t, census, i)
-            if found is None:
-                left.append(t)
-            else:
-                answers[t["c"]][t["j"]] = found
+        for at in range(0, len(targets), COLUMNS_PER_SCAN * len(probabilities)):
+            some = targets[at : at + COLUMNS_PER_SCAN * len(probabilities)]
+            census = df.agg(*[e for i, t in enumerate(some) for e in _census(t, i)]).first().asDict()
+            for i, t in enumerate(some):
+                before = (t["low"], t["high"], t["n"])
+                found = _narrow(t, census, i)
+                if found is not None:
+                    answers[t["c"]][t["j"]] = found
+                elif (t["low"], t["high"], t["n"]) == before:
+                    raise RuntimeError(f"the search for a quantile of {t['c']} stands still at {before}")
+                else:
+                    left.append(t)
         targets = left
+        if targets:
+            ends = df.agg(*[_bracket(t, accuracy).alias(f"b{i}") for i, t in enumerate(targets)]).first()
+            for i, t in enumerate(targets):
+                t["try"] = sorted({v for v in ends[i] or () if v is not None})
     return answers
 
 
 def _inside(t: dict) -> Column:
-    v = F.col(f"`{t['c']}`").cast("double")
+    v = present(t["c"])
     return F.when((v >= F.lit(t["low"])) & (v <= F.lit(t["high"])), v)
 
 
@@ -96,7 +87,7 @@ def _bracket(t: dict, accuracy: int) -> Column:
 
 def _census(t: dict, i: int) -> list[Column]:
     """Per bracket end: values below it, equal to it, and the next larger value."""
-    v = F.col(f"`{t['c']}`").cast("double")
+    v = present(t["c"])
     out = []
     for m, end in enumerate(t["try"]):
         out.append(F.count_if(v < F.lit(end)).alias(f"lt_{i}_{m}"))
@@ -123,40 +114,20 @@ def _narrow(t: dict, census: dict, i: int) -> float | None:
     return None
 
 
-def buckets(df: DataFrame, column: str, rows_per_bucket: int, name: str = "bucket") -> DataFrame:
-    """Adds an ordered bucket number, with about ``rows_per_bucket`` rows in each.
-
-    Equal values share a bucket, so pre-aggregate them first.
-    """
-    n = min(math.ceil(df.count() / rows_per_bucket), MAX_BUCKETS)
-    if n <= 1:
-        return df.withColumn(name, F.lit(0))
-    shares = [i / n for i in range(1, n)]
-    ends = df.agg(F.percentile_approx(F.col(column), shares, max(10_000, 10 * n))).first()[0]
-    splits = [-math.inf, *sorted(set(ends)), math.inf]
-    out = Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
-    return out.withColumn(name, F.col(name).cast("int"))
-
-
 def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: Sequence[str],
-    rows_per_bucket: int = 2_000_000,
-    descending: bool = True,
-    at_most: int | None = None,
+    df: DataFrame, order: str, sums: Sequence[str], rows_per_bucket: int = 2_000_000, descending: bool = True
 ) -> DataFrame:
     """Adds ``cum_<name>``: totals of all rows up to and with this one, in ``order``.
 
-    ``order`` must be unique. Rows are bucketed by value range; each bucket is
-    summed by its own task and gets the total of the buckets before it, a table
-    of at most 16,384 rows. ``at_most`` is a known bound of the row count; where it
-    fits one bucket, nothing is bucketed.
+    ``order`` must be unique. Rows are dealt into value ranges, as many as their
+    number asks for; each range is summed by its own task and gets the total of the
+    ranges before it, a table of one row for each range.
     """
-    if at_most is not None and at_most <= rows_per_bucket:
-        parts = df.withColumn("bucket", F.lit(0))
-    else:
-        parts = buckets(stage(df, "totals"), order, rows_per_bucket)
+    rows = stage(df, "totals")
+    n = max(1, math.ceil(rows.count() / rows_per_bucket))
+    parts = stage(rows.repartitionByRange(n, order).withColumn("bucket", F.spark_partition_id()), "ranges") if n > 1 else (
+        rows.withColumn("bucket", F.lit(0))
+    )
 
     def direction(c):
         return F.col(c).desc() if descending else F.col(c).asc()
@@ -167,6 +138,6 @@ def running_totals(
         "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in sums]
     )
     inside = Window.partitionBy("bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.join(F.broadcast(offsets), "bucket")
+    out = parts.join(offsets, "bucket")
     out = out.withColumns({f"cum_{c}": F.col(f"before_{c}") + F.sum(c).over(inside) for c in sums})
     return out.drop("bucket", *[f"before_{c}" for c in sums])

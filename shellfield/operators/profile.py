@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shellfield.functions import constants as k
-from shellfield.functions.scalars import any_missing, missing, percentage
-from shellfield.operators.order_stats import SMALL, exact_quantiles
+from shellfield.functions.scalars import any_missing, missing, percentage, present
+from shellfield.operators.order_stats import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -87,16 +87,17 @@ def null_columns_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, small: int = SMALL) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max of every numeric column.
 
-    One pass for the moments; the quartiles are exact (see ``order_stats``).
+    One pass for the moments; the quartiles are exact (see ``order_stats``). Null and NaN
+    are missing.
     """
     columns = list(columns or numeric_columns(df))
-    quartiles = exact_quantiles(df, columns, list(QUARTILES.values()), small)
+    quartiles = exact_quantiles(df, columns, list(QUARTILES.values()))
     parts = []
     for i, c in enumerate(columns):
-        v = _q(c).cast("double")
+        v = present(c)
         parts += [
             F.count(v).alias(f"count_{i}"),
             F.avg(v).alias(f"mean_{i}"),
@@ -112,13 +113,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, small: int = S
 
 
 def range_check(df: DataFrame, limit: float = k.EXTREME, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every numeric column with its range and whether it leaves ±``limit``."""
+    """Every numeric column with its range and whether it leaves ±``limit``; NaN is missing."""
     columns = list(columns or numeric_columns(df))
     row = df.agg(
         *[
             e
             for i, c in enumerate(columns)
-            for e in (F.min(_q(c).cast("double")).alias(f"lowest_{i}"), F.max(_q(c).cast("double")).alias(f"highest_{i}"))
+            for e in (F.min(present(c)).alias(f"lowest_{i}"), F.max(present(c)).alias(f"highest_{i}"))
         ]
     )
     out = _long(row, columns, ["lowest", "highest"])
@@ -154,7 +155,7 @@ def validate(df: DataFrame, required: Sequence[str] = k.VALIDATED_COLUMNS, limit
     types = dict(df.dtypes)
     size = F.lit(0.0)
     for c in numeric_columns(df):
-        size = F.greatest(size, F.abs(_q(c).cast("double")))
+        size = F.greatest(size, F.abs(present(c)))
     missing_values = sum((missing(c, t).cast("int") for c, t in types.items()), F.lit(0))
     keys = [(_q(c) if c in types else F.lit(None).cast("string")).alias(n) for n, c in (("f", "file_name"), ("c", "chain_id"))]
     # Reduced to one row per file and chain first, so that the distinct counts see few rows.

@@ -106,7 +106,7 @@ def curve(df: DataFrame, label: str = "label", score: str = "score", rows_per_bu
         .groupBy(_q(score).cast("double").alias("score"))
         .agg(F.count_if(_q(label) == 1).alias("pos"), F.count_if(_q(label) == 0).alias("neg"))
     )
-    return running_totals(per_score, "score", ["pos", "neg"], rows_per_bucket, at_most=df.count())
+    return running_totals(per_score, "score", ["pos", "neg"], rows_per_bucket)
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", rows_per_bucket: int = 2_000_000) -> DataFrame:

@@ -80,22 +80,44 @@ def atom_flags(spark, sf):
     return out.select("line_no", *[c for c in out.columns if c.startswith("is_")])
 
 
+# Written out here, so that a slip in the package's own table shows.
+_NORMAL = """VALUES
+  ('ALA', 1, 0, 1.8, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('ARG', 0, 1, -4.5, 0, 0, 0, 0, 1, 0, 0, 1, 0, 1, 0, 0, 1, 1),
+  ('ASN', 0, 1, -3.5, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1, 1, 0),
+  ('ASP', 0, 1, -3.5, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0, 1, 0, 1, 1),
+  ('CYS', 1, 0, 2.5, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0.5),
+  ('GLN', 0, 1, -3.5, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1, 1, 0),
+  ('GLU', 0, 1, -3.5, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0, 1, 0, 1, 1),
+  ('GLY', 0.5, 0.5, -0.4, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('HIS', 0, 1, -3.2, 0, 1, 0, 0, 1, 0, 0, 0.5, 0, 1, 0, 0, 1, 1),
+  ('ILE', 1, 0, 4.5, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('LEU', 1, 0, 3.8, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('LYS', 0, 1, -3.9, 0, 0, 0, 0, 1, 0, 0, 1, 0, 1, 0, 0, 1, 1),
+  ('MET', 1, 0, 1.9, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('PHE', 1, 0, 2.8, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('PRO', 1, 0, -1.6, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('SER', 0, 1, -0.8, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 0),
+  ('THR', 0, 1, -0.7, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 0),
+  ('TRP', 1, 0, -0.9, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0.5, 0),
+  ('TYR', 0.5, 0.5, -1.3, 0, 1, 0, 1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 0.5),
+  ('VAL', 1, 0, 4.2, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+  ('HEM', 0.3, 0.7, -2.0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0),
+  ('UNK', 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)"""
+
+
 @query(
     "residue_normalise",
-    f"""with atoms as ({v.STRUCTURE_ATOMS}), n as (select line_no, residue_name, case
-      when residue_name in ('MSE') then 'MET' when residue_name = 'SEC' then 'CYS' when residue_name = 'PYL' then 'LYS'
-      when residue_name in ('HEM', 'UNK') then residue_name when residue_name in (select residue_name from ({_RESIDUES}) where residue_name <> 'STP')
-      then residue_name else 'UNK' end as normal_name from atoms)
-    select n.line_no, n.residue_name, n.normal_name, coalesce(r."hydrophatyIndex", 0) as hydropathy
-    from n left join ({_RESIDUES}) r on r.residue_name = n.normal_name""",
+    f"""with atoms as ({v.STRUCTURE_ATOMS}), p as (select * from ({_NORMAL}) as t(normal_name, {", ".join(k.NORMAL_PROPERTIES)})),
+    n as (select line_no, residue_name, case
+      when residue_name = 'MSE' then 'MET' when residue_name = 'SEC' then 'CYS' when residue_name = 'PYL' then 'LYS'
+      when residue_name in (select normal_name from p) then residue_name else 'UNK' end as normal_name from atoms)
+    select n.line_no, n.residue_name, n.normal_name, {", ".join(f"{c}::double as {c}" for c in k.NORMAL_PROPERTIES)}
+    from n join p using (normal_name)""",
 )
 def residue_normalise(spark, sf):
-    atoms = v.structure_atoms(spark, sf).withColumn("normal_name", chemistry.normalise_residue(F.col("residue_name")))
-    table = fixed.residues(spark).select(F.col("residue_name").alias("normal_name"), "hydrophatyIndex")
-    out = atoms.join(F.broadcast(table), "normal_name", "left")
-    return out.select(
-        "line_no", "residue_name", "normal_name", F.coalesce("hydrophatyIndex", F.lit(0.0)).alias("hydropathy")
-    )
+    out = chemistry.normal_residue_properties(v.structure_atoms(spark, sf))
+    return out.select("line_no", "residue_name", "normal_name", *k.NORMAL_PROPERTIES)
 
 
 @query(
