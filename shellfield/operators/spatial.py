@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellfield.functions.geometry import XYZ, cell, cells_touched, distance
@@ -259,6 +259,15 @@ def nearest_within(
     return out if placed else out.drop(*PLACE)
 
 
+def _finite(names: Sequence[str]) -> Column:
+    """Whether all coordinates are there and finite."""
+    test = F.lit(True)
+    for c in names:
+        v = F.col(f"`{c}`").cast("double")
+        test = test & F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+    return test
+
+
 def nearest(
     points: DataFrame,
     rows: DataFrame,
@@ -268,25 +277,93 @@ def nearest(
     attributes: Sequence[str],
     coords: Sequence[str] = XYZ,
 ) -> DataFrame:
-    """Nearest row at any distance, null only for keys without rows.
+    """Nearest row at any distance, null only for keys without rows and points without a place.
 
-    Search rings double: the first round settles all points with a row within
-    ``radius``, later rounds see only what is left. Never pairs a whole key.
+    One join settles all points with a row within ``radius``. The others go down a
+    hierarchy of occupied cells (see ``_nearest_cells``) and meet only the rows of the
+    cells that can hold the nearest one. Rows whose coordinates are null, NaN or infinite
+    have no place and are left out.
     """
+    rows = rows.filter(_finite(coords))
     keyed = small_table(rows.select(*on).distinct())
-    open_points = points.join(keyed, list(on), "left_semi").select(points.columns)
     types = {c: rows.schema[c].dataType for c in [order, *attributes]}
     nothing = {"nearest_d": F.lit(None).cast("double")}
     nothing |= {f"nearest_{c}": F.lit(None).cast(t) for c, t in types.items()}
-    found = points.join(keyed, list(on), "left_anti").select(points.columns).withColumns(nothing)
-    while True:
-        hot = hot_cells(open_points, rows, on, radius, radius, coords)
-        ring = stage(nearest_within(open_points, rows, on, radius, order, attributes, coords=coords, hot=hot), "ring")
-        found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))
-        open_points = ring.filter(F.col("nearest_d").isNull()).select(points.columns)
-        if open_points.isEmpty():
-            return found
-        radius *= 2.0
+    placed = points.filter(_finite(coords))
+    found = points.filter(~_finite(coords)).select(points.columns).withColumns(nothing)
+    found = found.unionByName(placed.join(keyed, list(on), "left_anti").select(points.columns).withColumns(nothing))
+    near = placed.join(keyed, list(on), "left_semi").select(points.columns)
+    hot = hot_cells(near, rows, on, radius, radius, coords)
+    ring = stage(nearest_within(near, rows, on, radius, order, attributes, coords=coords, hot=hot), "ring")
+    found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))
+    far = ring.filter(F.col("nearest_d").isNull()).select(points.columns)
+    if far.isEmpty():
+        return found
+    far = stage(far.withColumn("far_id", F.monotonically_increasing_id()), "far")
+    sites = rows.groupBy(*dict.fromkeys([*on, *coords])).agg(F.min(F.struct(order, *attributes)).alias("own"))
+    sites = _cells(sites, radius, coords)
+    chosen = _nearest_cells(far.select("far_id", *on, *coords), sites, on, radius, coords)
+    named = sites.select(
+        *[F.col(c).alias(f"a_{c}") for c in dict.fromkeys([*on, *coords, *CELL])], "own"
+    )
+    test = F.lit(True)
+    for c in (*on, *CELL):
+        test = test & (chosen[c] == named[f"a_{c}"])
+    d = distance([F.col(c) for c in coords], [F.col(f"a_{c}") for c in coords])
+    best = (
+        chosen.join(named, test)
+        .groupBy("far_id")
+        .agg(F.min(F.struct(d.alias("d"), "own")).alias("best"))
+        .select(
+            "far_id",
+            F.col("best.d").alias("nearest_d"),
+            *[F.col(f"best.own.{c}").alias(f"nearest_{c}") for c in [order, *attributes]],
+        )
+    )
+    return found.unionByName(far.join(best, "far_id").drop("far_id"))
+
+
+def _nearest_cells(far: DataFrame, sites: DataFrame, on: Sequence[str], edge: float, coords: Sequence[str]) -> DataFrame:
+    """For each of ``far(far_id, ...)`` the occupied cells that can hold its nearest site.
+
+    Cells of twice the edge hold eight cells each. From the top, where a key has eight cells at
+    most, a point keeps the cells whose box is not further away than the closest site it has
+    seen, one from each cell, and goes on to the cells inside. The levels are known before:
+    as many as the largest extent has doublings of ``edge``.
+    """
+    extent = sites.groupBy(*on).agg(*[(F.max(c) - F.min(c)).alias(c) for c in CELL])
+    widest = extent.agg(F.max(F.greatest(*CELL))).first()[0] or 0
+    top = max(1, int(widest).bit_length())
+    one = F.min(F.struct(*coords)).alias("one")
+    occupied = stage(sites.groupBy(*on, *CELL).agg(one), "cells")
+    levels = [occupied]
+    for _ in range(top):
+        halved = [F.floor(F.col(c) / 2).cast("long").alias(c) for c in CELL]
+        levels.append(levels[-1].select(*on, *halved, "one").groupBy(*on, *CELL).agg(F.min("one").alias("one")))
+    place = [F.col(c) for c in coords]
+    kept = None
+    for level in range(top, -1, -1):
+        size = edge * 2.0**level
+        cells = levels[level]
+        if kept is None:
+            seen = far.join(cells, list(on)).withColumn("closest", F.lit(float("inf")))
+        else:
+            above = cells.withColumns({f"up_{c}": F.floor(F.col(c) / 2).cast("long") for c in CELL})
+            upper = kept.select("far_id", *on, *coords, "closest", *[F.col(c).alias(f"up_{c}") for c in CELL])
+            seen = upper.join(above, [*on, *[f"up_{c}" for c in CELL]])
+        to_one = distance(place, [F.col(f"one.{c}") for c in coords])
+        box = F.lit(0.0)
+        for c, p in zip(CELL, place):
+            low = F.col(c) * F.lit(size)
+            gap = F.greatest(F.lit(0.0), low - p, p - (low + F.lit(size)))
+            box = box + gap * gap
+        mine = Window.partitionBy("far_id")
+        seen = seen.withColumns({"box": F.sqrt(box), "to_one": to_one})
+        seen = seen.withColumn("closest", F.least("closest", F.min("to_one").over(mine)))
+        kept = seen.filter(F.col("box") <= F.col("closest") * (1 + 1e-9) + 1e-9).select(
+            "far_id", *on, *coords, "closest", *CELL
+        )
+    return kept
 
 
 def not_covered(

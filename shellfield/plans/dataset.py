@@ -6,13 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shellfield import schemas
 from shellfield.functions import constants as k
 from shellfield.operators import profile
 from shellfield.plans.extract import Settings, extract_features, staged_records
-from shellfield.session import tune
+from shellfield.session import release, stage, tune
 from shellfield.sources import manifest as m
 from shellfield.sources import structures as st
 from shellfield.sources import tables as t
@@ -27,9 +26,12 @@ class DatasetRun:
     analysis: dict[str, DataFrame] | None
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+PROCESSED = "base_name string"
+
+
+def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.schema(schemas.FEATURES).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return None
 
@@ -46,40 +48,47 @@ def extract_dataset(
     atom_table: str | None = None,
     volsite: str | None = None,
 ) -> DatasetRun:
-    """Extract the structures a manifest lists and append them to ``out``/features.
+    """Extract the structures a manifest lists into ``out``/features.
 
-    ``structures`` is the folder they are in. With ``skip_existing``, structures
-    that already have rows are left out. Lines that cannot be read go to
-    ``out``/rejected, with their file and field; the rest of the file is used.
+    ``structures`` is the folder they are in. Lines that cannot be read go to ``out``/rejected, with
+    their file and field; the rest of the file is used. ``out``/processed names the structures that were read.
+    With ``skip_existing`` those are left out and the three tables are appended to; else all
+    three are replaced.
     """
     tune(spark)
-    target = f"{out.rstrip('/')}/features"
+    out = out.rstrip("/")
+    target, mode = f"{out}/features", "append" if skip_existing else "overwrite"
     entries = m.read_manifest(spark, manifest)
     files = t.listing(spark, structures)
     missing = m.missing_files(entries, files, "base_name", "base_name")
-    before = _existing(spark, target) if skip_existing else None
+    before = _existing(spark, f"{out}/processed", PROCESSED) if skip_existing else None
+    if skip_existing and before is None:  # a table from before there was a list
+        before = _existing(spark, target, "file_name string")
+        before = before and before.withColumnRenamed("file_name", "base_name")
     if before is not None:
-        done = before.select(F.col("file_name").alias("base_name")).distinct()
-        entries = entries.join(done, "base_name", "left_anti")
-    records = staged_records(st.read_listed(spark, entries, structures))
-    st.quarantine(records).drop("line_no").write.mode("append").parquet(f"{out.rstrip('/')}/rejected")
+        entries = entries.join(before.select("base_name").distinct(), "base_name", "left_anti")
+    chosen = stage(st.listed_files(entries, files), "files")
+    records = staged_records(st.read_files(spark, chosen))
+    st.quarantine(records).drop("line_no").write.mode(mode).parquet(f"{out}/rejected")
     table = extract_features(
-        st.atoms(records),
-        st.hetatms(records),
+        st.atoms(records, by_path=True),
+        st.hetatms(records, by_path=True),
         settings,
         t.read_atom_table(spark, atom_table) if atom_table else None,
         t.read_volsite_table(spark, volsite) if volsite else None,
     )
-    t.write_features(table, target, mode="append" if skip_existing else "overwrite")
+    t.write_features(table, target, mode=mode)
+    chosen.select("base_name").distinct().write.mode(mode).parquet(f"{out}/processed")
+    release(records, chosen)
     features = spark.read.schema(schemas.FEATURES).parquet(target)
     tables = None
     if analyse:
         tables = profile.analyse(features)
-        profile.write_analysis(tables, f"{out.rstrip('/')}/analysis")
+        profile.write_analysis(tables, f"{out}/analysis")
     return DatasetRun(
         features,
         missing,
-        spark.read.parquet(f"{out.rstrip('/')}/rejected"),
+        spark.read.parquet(f"{out}/rejected"),
         profile.validate(features, k.VALIDATED_COLUMNS) if validate else None,
         tables,
     )

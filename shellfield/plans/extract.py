@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shellfield.functions import constants as k
 from shellfield.functions.chemistry import encode_atoms
+from shellfield.functions.scalars import base_name
 from shellfield.operators import spatial
 from shellfield.operators.features import atom_sites, in_export_order, neighbourhood_features
 from shellfield.operators.ligands import ligand_atoms
@@ -125,8 +126,16 @@ def extract_features(
     """Feature table of all structures: atoms and hetero atoms in, 43 columns out.
 
     ``atoms`` and ``hetatms`` should come from a stored table (see ``staged_records``):
-    they are read by several branches that must agree on the line order.
+    they are read by several branches that must agree on the line order. Structures are told
+    apart by ``file_name``, which may be a whole path; the table has its last part.
     """
+    table = _labelled_points(atoms, hetatms, settings, atom_table, volsite)
+    return table.withColumn("file_name", base_name(F.col("file_name")))
+
+
+def _labelled_points(
+    atoms: DataFrame, hetatms: DataFrame, settings: Settings, atom_table: DataFrame | None, volsite: DataFrame | None
+) -> DataFrame:
     s = settings
     sites = staged_sites(atoms, s, atom_table, volsite)
     ligands = ligand_atoms(hetatms).select(*ON, "x", "y", "z")

@@ -58,14 +58,18 @@ def run(
     fit_rows, held = rows.filter("part = 'train'"), rows.filter("part = 'validation'")
 
     def scored(part, models):
-        return forest.predict(part, models, features).select(*keys, F.col(f"`{label}`").alias("label"), "prediction", "score")
+        """Scored rows, written once: the metrics read them several times."""
+        rows = forest.predict(part, models, features)
+        return stage(rows.select(*keys, F.col(f"`{label}`").alias("label"), "prediction", "score"), "scored")
 
     models = [forest.train(fit_rows, features, label, settings)]
-    initial = scoring.evaluate(scored(held, models))
+    first = last = scored(held, models)
+    initial = scoring.evaluate(first)
     final, delta = initial, None
     if finetune is not None:
         models.append(forest.finetune(prepared(finetune, features, keys, label), features, label, settings))
-        final = scoring.evaluate(scored(held, models))
+        last = scored(held, models)
+        final = scoring.evaluate(last)
         delta = scoring.metric_delta(initial, final)
     shares = split.class_distribution(fit_rows, label).first()
     share = shares["class_1"] / shares["total"] if shares["total"] else 0.0
@@ -79,6 +83,6 @@ def run(
         final,
         delta,
         scoring.evaluate(guessed),
-        scoring.classification_report(scored(held, models)),
+        scoring.classification_report(last),
         tested,
     )

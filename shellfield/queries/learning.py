@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shellfield.operators import forest, scoring, split
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
+from shellfield.session import stage
 
 registry = Registry()
 query = registry.query
@@ -212,10 +213,13 @@ def dummy_baseline(spark, sf):
     return scoring.dummy_baseline(rows, ["doc_id"], share).select("doc_id", "label", "prediction")
 
 
-# --- forest (no SQL check: rows only) -----------------------------------------
+# --- forest -------------------------------------------------------------------
+# A learner's scores are its own; what holds for any forest is checked against SQL: which rows are
+# scored, with which label, that scores are probabilities, that predictions and ensembles
+# follow from them, and that the model is better than the larger class.
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SETTINGS = forest.ForestSettings(trees=20, depth=8, features=2, finetune_trees=10)
+SETTINGS = forest.ForestSettings(depth=8, features=2)
 
 
 def line_rows(spark, sf):
@@ -226,23 +230,55 @@ def line_rows(spark, sf):
     return split.group_split(rows)
 
 
-@query("rf_train_predict")
-def rf_train_predict(spark, sf):
+def forest_rows(spark, sf):
+    """Training rows in at least as many parts as there are cores, and rows to score."""
     rows = line_rows(spark, sf)
+    fit = rows.filter("part = 'train'").select("l_linestatus", *FEATURES, "class")
     cores = spark.sparkContext.defaultParallelism
-    model = forest.train(rows.filter("part = 'train'"), FEATURES, settings=SETTINGS, spread=cores)
-    scored = forest.predict(rows.filter("part = 'validation'"), [model], FEATURES)
-    return scored.select("row_key", "class", "prediction", "score")
+    return (fit if fit.rdd.getNumPartitions() >= cores else fit.repartition(cores)), rows.filter("part = 'validation'")
+
+
+def judged(scored):
+    """Scored rows with what must hold for them."""
+    scored = stage(scored, "scored")
+    right, ones = scored.agg(F.avg((F.col("prediction") == F.col("class")).cast("int")), F.avg("class")).first()
+    return scored.withColumns(
+        {
+            "is_probability": F.col("score").between(0, 1),
+            "follows_score": F.col("prediction") == (F.col("score") > 0.5).cast("int"),
+            "beats_larger_class": F.lit(right is not None and right > max(ones, 1 - ones)),
+        }
+    )
+
+
+_FOREST = """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row_key,
+  (l_extendedprice * l_discount > 3000)::int as class, true as is_probability, true as follows_score,
+  true as beats_larger_class{more} from lineitem where substr(md5('0|' || l_orderkey), 1, 8) < '33333333'"""
+
+
+@query("rf_train_predict", _FOREST.format(more=""))
+def rf_train_predict(spark, sf):
+    fit, held = forest_rows(spark, sf)
+    model = forest.train(fit, FEATURES, settings=SETTINGS)
+    scored = judged(forest.predict(held, [model], FEATURES))
+    return scored.select("row_key", "class", "is_probability", "follows_score", "beats_larger_class")
 
 
-@query("rf_finetune_predict")
+@query("rf_finetune_predict", _FOREST.format(more=", true as is_tree_mean, 400 as trees"))
 def rf_finetune_predict(spark, sf):
-    rows = line_rows(spark, sf)
-    fit = rows.filter("part = 'train'")
-    cores = spark.sparkContext.defaultParallelism
+    fit, held = forest_rows(spark, sf)
     models = [
-        forest.train(fit, FEATURES, settings=SETTINGS, spread=cores),
-        forest.finetune(fit.filter("l_linestatus = 'F'"), FEATURES, settings=SETTINGS, spread=cores),
+        forest.train(fit, FEATURES, settings=SETTINGS),
+        forest.finetune(fit.filter("l_linestatus = 'F'"), FEATURES, settings=SETTINGS),
     ]
-    scored = forest.predict(rows.filter("part = 'validation'"), models, FEATURES)
-    return scored.select("row_key", "class", "prediction", "score")
+    trees = [m.getNumTrees for m in models]
+    scored = forest.predict(held, models, FEATURES)
+    for i, model in enumerate(models):
+        scored = forest.predict(scored.withColumnRenamed("score", "whole").withColumnRenamed("prediction", "y"), [model], FEATURES)
+        scored = scored.withColumnRenamed("score", f"alone_{i}").drop("prediction")
+        scored = scored.withColumnRenamed("whole", "score").withColumnRenamed("y", "prediction")
+    mean = sum(F.col(f"alone_{i}") * n for i, n in enumerate(trees)) / sum(trees)
+    scored = judged(scored.withColumns({"is_tree_mean": F.abs(mean - F.col("score")) < 1e-9, "trees": F.lit(sum(trees))}))
+    return scored.select(
+        "row_key", "class", "is_probability", "follows_score", "beats_larger_class", "is_tree_mean", "trees"
+    )

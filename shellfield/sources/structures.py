@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shellfield.functions.constants import RECORD_LAYOUT
-from shellfield.functions.scalars import strip
-from shellfield.session import small_table
-from shellfield.sources.lines import read_lines
+from shellfield.functions.scalars import normalise_path, strip
+from shellfield.sources.lines import listing, numbered, read_lines
 
 # Record names, by line prefix.
 PROTEIN, HETERO = "ATOM", "HETATM"
@@ -60,16 +59,19 @@ def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.withColumn("reject", F.coalesce(*bad))
 
 
-def atoms(records: DataFrame) -> DataFrame:
-    return _good(records, PROTEIN)
+def atoms(records: DataFrame, by_path: bool = False) -> DataFrame:
+    """Protein atoms. ``by_path`` puts the whole path in ``file_name``, so that files with one base name stay apart."""
+    return _good(records, PROTEIN, by_path)
 
 
-def hetatms(records: DataFrame) -> DataFrame:
-    return _good(records, HETERO)
+def hetatms(records: DataFrame, by_path: bool = False) -> DataFrame:
+    return _good(records, HETERO, by_path)
 
 
-def _good(records: DataFrame, kind: str) -> DataFrame:
+def _good(records: DataFrame, kind: str, by_path: bool) -> DataFrame:
     good = records.filter((F.col("record") == kind) & F.col("reject").isNull())
+    if by_path:
+        good = good.withColumn("file_name", F.col("path"))
     return good.drop("record", "reject", "line", "path")
 
 
@@ -82,8 +84,43 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], glob: str | No
     return parse_records(read_lines(spark, paths, glob))
 
 
+def listed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path and base_name of the files that the entries of a manifest mean.
+
+    ``files`` is a listing. An entry means the file at its own path; if there is none, those whose path
+    ends with the entry; if there are none either, those with its base name.
+    """
+    columns = [c for c in ("entry", "entry_path") if c in manifest.columns]
+    entries = manifest.select("base_name", *columns).distinct()
+    for c in ("entry", "entry_path"):
+        if c not in columns:
+            entries = entries.withColumn(c, F.col("base_name"))
+    tail = F.regexp_replace(normalise_path(F.col("entry")), r"^(\.{0,2}/)+", "")
+    found = files.select("path", "base_name").join(entries, "base_name")
+    fit = (
+        F.when(_plain(F.col("path")) == _plain(F.col("entry_path")), 0)
+        .when(F.col("path").endswith(F.concat(F.lit("/"), tail)), 1)
+        .otherwise(2)
+    )
+    same = Window.partitionBy("base_name", "entry", "entry_path")
+    best = found.withColumn("fit", fit).withColumn("best", F.min("fit").over(same)).filter("fit = best")
+    return best.select("path", "base_name").distinct()
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+
 def read_listed(spark: SparkSession, manifest: DataFrame, folder: str, glob: str | None = None) -> DataFrame:
-    """Records of the structures below ``folder`` that a manifest lists."""
-    lines = read_lines(spark, folder, glob)
-    names = manifest.select(F.col("base_name").alias("file_name")).distinct()
-    return parse_records(lines.join(small_table(names), "file_name", "left_semi"))
+    """Records of the structures below ``folder`` that a manifest lists; no other file is read."""
+    return read_files(spark, listed_files(manifest, listing(spark, folder, glob)))
+
+
+def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Records of the files in ``files(path)``, which the reader takes as a list, as it does with a listing of its own."""
+    # The reader takes paths as patterns, so what means something in one is escaped.
+    literal = F.regexp_replace("path", r"([\\\[\]{}*?])", r"\\$1")
+    paths = [r[0] for r in files.select(literal).toLocalIterator()]
+    if not paths:
+        return parse_records(numbered(spark.createDataFrame([], "path string, file_name string, block long, line string")))
+    return read_records(spark, paths)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from shellfield import schemas
 from shellfield.functions import constants as k
 from shellfield.functions.scalars import feature_file, strip
-from shellfield.session import fetched, scratch_path, small_table
+from shellfield.session import fetched, release, scratch_path, small_table, stage
 from shellfield.sources.lines import listing, read_lines
 
 # A feature file, or one part of a feature file written as a folder.
@@ -160,16 +161,20 @@ def write_features(df: DataFrame, path: str, layout: str = "clustered", fmt: str
     ``per_file`` makes one feature file (a folder of parts) per structure, for
     small sets; a huge structure is still written by several tasks.
     """
+    staged = None
     if layout == "clustered":
         # Coordinates in the range key let one huge structure fill several files.
         keys = [c for c in ("file_name", "x", "y", "z") if c in df.columns]
-        out = df.repartitionByRange(*keys).sortWithinPartitions("file_name").write
+        # Ranges are found by a look at the rows, so these are written once before.
+        staged = stage(df, "features")
+        out = staged.repartitionByRange(*keys).sortWithinPartitions("file_name").write
     elif layout == "per_file":
         named = df.withColumn("feature_file", feature_file(F.col("file_name")))
         out = named.hint("rebalance", F.col("feature_file")).write.partitionBy("feature_file")
     else:
         raise ValueError(f"unknown layout {layout}")
     (out.option("header", "true") if fmt == "csv" else out).format(fmt).mode(mode).save(path)
+    release(staged)
 
 
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -179,15 +184,14 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     failed job leaves the old table as it was.
     """
     spark = df.sparkSession
-    fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
-    writer = df.write.format(fmt).mode("overwrite")
+    own = uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.new-{own}", f"{path.rstrip('/')}.old-{own}"
+    writer = df.write.format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(fresh)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     backup = jvm.org.apache.hadoop.fs.Path(old)
-    if fs.exists(backup):
-        fs.delete(backup, True)
     if fs.exists(target) and not fs.rename(target, backup):
         raise OSError(f"cannot move {path} away")
     if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target):
@@ -200,7 +204,7 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def read_feature_list(spark: SparkSession, path: str) -> list[str]:
     """Column names of a feature list file, one per line, in order."""
     rows = read_lines(spark, path).withColumn("name", strip(F.col("line"))).filter("name != ''")
-    return [r["name"] for r in rows.orderBy("line_no").limit(10_000).select("name").collect()]
+    return [r["name"] for r in rows.orderBy("line_no").select("name").collect()]
 
 
 def missing_features(df: DataFrame, expected: Sequence[str]) -> list[str]:

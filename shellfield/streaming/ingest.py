@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from shellfield.plans.extract import Settings, extract_features, staged_records
+from shellfield.session import release
 from shellfield.sources.lines import numbered, tagged
-from shellfield.sources.structures import atoms, hetatms, parse_records
+from shellfield.sources.structures import atoms, hetatms, parse_records, quarantine
 
 
 def stream_lines(spark: SparkSession, folder: str, glob: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -32,17 +33,22 @@ def stream_features(
     volsite: DataFrame | None = None,
     glob: str | None = None,
     files_per_batch: int = 1000,
+    rejected: str | None = None,
 ) -> StreamingQuery:
     """Feature rows of all files not seen before, one output folder per batch.
 
-    A repeated batch overwrites its own folder, so a restart neither loses nor
+    Lines that cannot be read go to ``rejected`` (``out``-rejected if it is not given), as in a batch
+    run. A repeated batch overwrites its own folders, so a restart neither loses nor
     doubles rows.
     """
+    rejects = (rejected or f"{out.rstrip('/')}-rejected").rstrip("/")
 
     def one_batch(lines: DataFrame, batch: int) -> None:
         records = staged_records(parse_records(numbered(lines)))
-        table = extract_features(atoms(records), hetatms(records), settings, atom_table, volsite)
+        quarantine(records).drop("line_no").write.mode("overwrite").parquet(f"{rejects}/batch={batch}")
+        table = extract_features(atoms(records, True), hetatms(records, True), settings, atom_table, volsite)
         table.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+        release(records)
 
     lines = stream_lines(spark, folder, glob, files_per_batch)
     return (
