@@ -22,7 +22,7 @@ from shellfield.session import scratch_path
 BLANKS = " \t\n\x0b\x0c\r"
 # Spark frees the shuffle files of a query when it has ended, instead of when the driver collects garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 
 
 @contextlib.contextmanager
@@ -174,7 +174,7 @@ def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in source if b.num_rows)
 
 
-def pieces(source: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(source: Iterator[pa.RecordBatch], column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of text, so that a task holds the words of few texts."""
     for batch in batches(source):
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

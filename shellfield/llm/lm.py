@@ -34,7 +34,7 @@ STEP = 8192  # tokens in a gradient step
 RATE = 0.5
 ROUNDS = ((0, 1), (1, 4))  # quarters of the training texts, by hash, in each round
 ROW_BLOCK = 1024
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 LOG10 = math.log(10)
 
 
