@@ -1,6 +1,11 @@
 """A whole run over files, and a second run that skips what is done."""
 
+from pyspark.sql import functions as F
+
+from shellfield.functions import scalars
 from shellfield.plans.dataset import extract_dataset
+from shellfield.sources import manifest, structures
+from shellfield.streaming.ingest import stream_features
 from tests.records import line
 from tests.test_features import small_structure
 
@@ -23,3 +28,50 @@ def test_run_and_resume(spark, tmp_path):
     second = extract_dataset(spark, str(tmp_path / "two.ds"), str(folder), out, skip_existing=True)
     counts = {r.file_name: r["count"] for r in second.features.groupBy("file_name").count().collect()}
     assert counts == {"a.pdb": report.points, "b.pdb": report.points}
+
+
+def test_rejects_are_replaced_and_empty_structures_are_done_once(spark, tmp_path):
+    folder, out = tmp_path / "pdb", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.pdb").write_text("\n".join([*small_structure(), line(x="2d")]))
+    (folder / "none.pdb").write_text("\n".join(["REMARK", line(x="2d")]))
+    (tmp_path / "one.ds").write_text("pdb/a.pdb\npdb/none.pdb\n")
+    for _ in range(2):
+        run = extract_dataset(spark, str(tmp_path / "one.ds"), str(folder), out)
+        assert sorted(r.file_name for r in run.rejected.collect()) == ["a.pdb", "none.pdb"]
+    run = extract_dataset(spark, str(tmp_path / "one.ds"), str(folder), out, skip_existing=True)
+    assert run.rejected.count() == 2
+
+
+def test_files_with_one_base_name(spark, tmp_path):
+    """Of two files the listed one is read, and only that one; two listed ones are two structures."""
+    for name in ("a", "b"):
+        (tmp_path / "pdb" / name).mkdir(parents=True)
+        (tmp_path / "pdb" / name / "x.pdb").write_text("\n".join(small_structure()))
+    (tmp_path / "one.ds").write_text("pdb/a/x.pdb\n")
+    (tmp_path / "two.ds").write_text("pdb/a/x.pdb\n../elsewhere/b/x.pdb\n")
+    entries = manifest.read_manifest(spark, str(tmp_path / "one.ds"))
+    records = structures.read_listed(spark, entries, str(tmp_path / "pdb"))
+    assert [p.rsplit("/", 2)[1] for p in records.inputFiles()] == ["a"]
+    one = extract_dataset(spark, str(tmp_path / "one.ds"), str(tmp_path / "pdb"), str(tmp_path / "out1")).features.count()
+    two = extract_dataset(spark, str(tmp_path / "two.ds"), str(tmp_path / "pdb"), str(tmp_path / "out2")).features
+    assert two.count() == 2 * one
+    assert {r.file_name for r in two.select("file_name").distinct().collect()} == {"x.pdb"}
+
+
+def test_stream_keeps_rejects(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.pdb").write_text("\n".join([*small_structure(), line(x="2d")]))
+    out = str(tmp_path / "out")
+    query = stream_features(spark, str(folder), out, str(tmp_path / "state"))
+    assert query.awaitTermination(300)
+    assert [(r.file_name, r.reject) for r in spark.read.parquet(f"{out}-rejected").collect()] == [("a.pdb", "x")]
+    assert {r.file_name for r in spark.read.parquet(out).select("file_name").distinct().collect()} == {"a.pdb"}
+
+
+def test_paths_fold_at_any_depth(spark):
+    deep = "a/" * 12 + "../" * 12 + "x.pdb"
+    given = [("/a/b/../x.pdb",), (deep,), ("../../x",), ("./a/./b",), ("/../x",)]
+    got = [r[0] for r in spark.createDataFrame(given, "p string").select(scalars.normalise_path(F.col("p"))).collect()]
+    assert got == ["/a/x.pdb", "x.pdb", "../../x", "a/b", "/../x"]

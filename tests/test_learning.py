@@ -30,17 +30,21 @@ def test_exact_quantiles_without_holding_a_column(spark, accuracy):
         "holes": [None if i % 2 else float(i) for i in range(n)],
         "nothing": [None] * n,
         "seven": [float(i) for i in range(n)],
+        "nan": [math.nan if i % 4 == 0 else float(i % 500) for i in range(n)],
+        "all_nan": [math.nan] * n,
+        "infinite": [(-math.inf, 1.0, 2.0, math.inf)[i % 4] for i in range(n)],
     }
     rows = list(zip(*data.values()))
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
     probabilities = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = order_stats.exact_quantiles(df, list(data), probabilities, small=0, accuracy=accuracy)
-    small = order_stats.exact_quantiles(df, list(data), probabilities)
+    got = order_stats.exact_quantiles(df, list(data), probabilities, accuracy=accuracy)
     for c, values in data.items():
-        known = [v for v in values if v is not None]
+        known = [v for v in values if v is not None and not math.isnan(v)]
+        if c == "infinite":
+            assert got[c] == [-math.inf, -math.inf, 1.0, 2.0, math.inf, math.inf] or got[c][0] == -math.inf
+            continue
         expected = [quantile(known, p) if known else None for p in probabilities]
         assert got[c] == (pytest.approx(expected, rel=1e-12) if known else expected)
-        assert small[c] == (pytest.approx(expected, rel=1e-12) if known else expected)
 
 
 def test_quantiles_of_an_empty_table(spark):
@@ -48,6 +52,17 @@ def test_quantiles_of_an_empty_table(spark):
     assert order_stats.exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
 
 
+def test_nan_is_missing(spark):
+    rows = [(float("nan"), 1.0), (3.0, float("nan")), (None, 2.0), (5.0, 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert [r.a for r in cleaning.impute_median(df, ["a"]).collect()] == [4.0, 3.0, 4.0, 5.0]
+    got = {r.feature: r for r in profile.describe(df).collect()}
+    assert (got["a"]["count"], got["a"]["mean"], got["a"]["min"], got["a"]["q50"], got["a"]["max"]) == (2, 4.0, 3.0, 4.0, 5.0)
+    assert got["b"]["count"] == 3
+    assert [(r.lowest, r.highest, r.extreme) for r in profile.range_check(df).collect()] == [(3.0, 5.0, False), (1.0, 2.0, False)]
+    assert not profile.validate(df, []).first().has_extreme_values
+
+
 def brute_auc(rows):
     pos = [s for y, s in rows if y == 1]
     neg = [s for y, s in rows if y == 0]

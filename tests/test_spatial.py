@@ -191,3 +191,25 @@ def test_hot_cell_is_split(spark):
     # both joins are split, although the second reads what the first left in place
     assert plan.split("Initial Plan")[0].count("skew=true") == 2
     assert split == plain and len(plain) == 60_000
+
+
+def test_nearest_far_away_and_without_a_place(spark):
+    """Points far from everything, and points and rows without coordinates: the search ends and is exact."""
+    r = random.Random(12)
+    nan, inf = float("nan"), float("inf")
+    rows = [("f", i, r.uniform(-40, 40), r.uniform(-5, 900), r.gauss(0, 3)) for i in range(300)]
+    rows += [("f", 900, nan, 0.0, 0.0), ("f", 901, None, 0.0, 0.0), ("f", 902, inf, 0.0, 0.0), ("g", 903, None, 1.0, 1.0)]
+    points = [("f", i, r.uniform(-3000, 3000), r.uniform(-3000, 3000), r.uniform(-50, 50)) for i in range(60)]
+    points += [("f", 100, nan, 0.0, 0.0), ("f", 101, None, 0.0, 0.0), ("f", 102, 0.0, -inf, 0.0), ("g", 103, 0.0, 0.0, 0.0)]
+    schema = "f string, id int, x double, y double, z double"
+    got = spatial.nearest(
+        spark.createDataFrame(points, schema.replace("id", "p")), spark.createDataFrame(rows, schema), ["f"], 3.0, "id", []
+    ).collect()
+    assert len(got) == len(points)
+    good = [q for q in rows if q[0] == "f" and q[1] < 900]
+    for g in got:
+        if g.p >= 100:
+            assert g.nearest_d is None and g.nearest_id is None
+        else:
+            best = min((math.dist((g.x, g.y, g.z), q[2:]), q[1]) for q in good)
+            assert g.nearest_d == pytest.approx(best[0]) and g.nearest_id == best[1]
