@@ -30,7 +30,7 @@ END_CLASS = 0
 MOST_FREQUENT = 1 << 17  # words in the broadcast table at most
 FEATURE_BITS = 16
 FEATURES = 4
-STEP = 8192  # tokens in a gradient step
+STEP = 16384  # tokens in a gradient step
 RATE = 0.5
 ROUNDS = ((0, 1), (1, 4))  # quarters of the training texts, by hash, in each round
 ROW_BLOCK = 1024
@@ -173,12 +173,12 @@ def feature_rows(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = weights[rows[0]]
+    total = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        total += weights[r]
+        total += weights.take(r, axis=0)
     total += bias
     total -= total.max(axis=1, keepdims=True)
-    total -= np.log(np.exp(total).sum(axis=1, keepdims=True))
+    total -= np.log(np.exp(total) @ np.ones((total.shape[1], 1), total.dtype))
     return total
 
 
@@ -186,15 +186,22 @@ def gradient_step(weights, squares, touched, bias, rows, target) -> None:
     """One AdaGrad step of the cross-entropy of ``target`` on the table."""
     error = np.exp(log_softmax(weights, bias, rows))
     error[np.arange(len(target)), target] -= 1
+    columns = np.arange(error.shape[1])
+    flat = error.ravel()
     for r in rows:
         order = np.argsort(r, kind="stable")
-        which = r[order]
-        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        which = which[first]
-        slope = np.add.reduceat(error[order], first, axis=0)
-        squares[which] += slope * slope
-        weights[which] -= RATE * slope / np.sqrt(squares[which] + 1.0)
-        touched[which] += np.diff(np.append(first, len(order)))
+        ordered = r[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        which = ordered[new]
+        place = np.empty(len(r), np.int64)
+        place[order] = np.cumsum(new) - 1
+        # The sum of the errors of each row that occurs, all columns in one count.
+        slope = np.bincount((place[:, None] * len(columns) + columns).ravel(), flat, len(which) * len(columns))
+        slope = slope.reshape(len(which), -1).astype(weights.dtype)
+        seen = squares.take(which, axis=0) + slope * slope
+        squares[which] = seen
+        weights[which] -= RATE * slope / np.sqrt(seen + 1)
+        touched[which] += np.bincount(place)
 
 
 def _train(vocabulary, weights, bias):
