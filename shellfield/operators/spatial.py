@@ -47,14 +47,20 @@ def hot_cells(
 ) -> DataFrame | None:
     """Cells with more than ``work`` candidate pairs, and in how many ``parts`` to do them.
 
-    Both counts combine on the map side. There are at most (all pairs / ``work``)
-    such cells, usually none, and then None is returned.
+    Rows are counted in their own cells, and the counts, not the rows, go to the cells within
+    reach; so the number of pairs is an upper bound. Both counts combine on the map side. There
+    are at most (all pairs / ``work``) such cells, usually none, and then None is returned.
     """
     place = [*on, *CELL]
     here = _cells(points, edge, coords).groupBy(*place).agg(F.count(F.lit(1)).alias("n_points"))
-    near = spread(rows.select(*on, *coords, *([reach] if isinstance(reach, str) else [])), reach, edge, coords)
-    near = near.groupBy(*[f"a_{c}" for c in place]).agg(F.count(F.lit(1)).alias("n_rows"))
-    both = here.join(near.toDF(*place, "n_rows"), place)
+    far = F.col(f"`{reach}`") if isinstance(reach, str) else F.lit(float(reach))
+    own = _cells(rows.select(*dict.fromkeys([*on, *coords]), far.alias("reach")), edge, coords)
+    own = own.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.max("reach") / edge).cast("int").alias("span"))
+    for axis in CELL:
+        around = F.sequence(F.col(axis) - F.col("span"), F.col(axis) + F.col("span"))
+        own = own.select(*[c for c in own.columns if c != axis], F.explode(around).alias(axis))
+    near = own.groupBy(*place).agg(F.sum("n").alias("n_rows"))
+    both = here.join(near, place)
     parts = F.least(F.ceil(F.col("n_points") * F.col("n_rows") / F.lit(float(work))), F.col("n_points"))
     hot = fetched(both.select(*place, parts.cast("int").alias("parts")).filter("parts > 1"))
     return None if hot.isEmpty() else hot
