@@ -8,6 +8,7 @@ result does not depend on a locale or a Unicode version.
 from __future__ import annotations
 
 import contextlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,10 +96,11 @@ class WordHashes(dict):
 
 
 class PlainWordHashes(WordHashes):
-    """As WordHashes, of the word without ASCII punctuation around it."""
+    """As WordHashes, of the case-folded word (in any script) without ASCII punctuation around it."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or word)
+        folded = word.decode().casefold()
+        value = xxhash.xxh3_64_intdigest((folded.strip(string.punctuation) or folded).encode())
         if len(self) >= MEMO_WORDS:
             self.clear()
         self[word] = value

@@ -53,7 +53,7 @@ def _item_seeds(source):
     memo = PlainWordHashes()
     for batch in batches(source):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        tokens = Tokens(binary_texts(batch.column(1)), memo)
+        tokens = Tokens(binary_texts(batch.column(1)), memo, lower=False)
         found = []
         rows = tokens.rows()
         long_item = tokens.counts >= WINDOW
@@ -120,7 +120,7 @@ def _doc_seeds(held, bits: int, short: list[int]):
         memo = PlainWordHashes()
         bitmap = held.value
         for batch in pieces(source, 1):
-            tokens = Tokens(binary_texts(batch.column(1)), memo)
+            tokens = Tokens(binary_texts(batch.column(1)), memo, lower=False)
             all_at, all_seeds = [], []
             for kept, salt in patterns:
                 at, seed = _seeds(tokens, kept, salt)
@@ -181,8 +181,8 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
 def _verify(source):
     memo = PlainWordHashes()
     for batch in pieces(source, 3):
-        items = Tokens(binary_texts(batch.column(2)), memo)
-        docs = Tokens(binary_texts(batch.column(3)), memo)
+        items = Tokens(binary_texts(batch.column(2)), memo, lower=False)
+        docs = Tokens(binary_texts(batch.column(3)), memo, lower=False)
         out = []
         for row, shifts in enumerate(batch.column(4).to_pylist()):
             item = items.hashes[items.starts[row] : items.ends[row]]
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): documents that share text with items.
 
     One row for each document and test item with an overlap: at least 13 aligned words
-    (positions in words from 0), four fifths of them equal, A-Z lower-cased and without
+    (positions in words from 0), four fifths of them equal, case-folded and without
     punctuation around. Items of 8 to 12 words have to be there whole, with one word
     changed at most. Shorter items are too short to tell from chance and match nothing.
 

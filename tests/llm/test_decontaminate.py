@@ -13,7 +13,8 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokens(text):
-    return [w.decode().strip(PUNCTUATION) or w.decode() for w in (text or "").encode().lower().split()]
+    words = [w.decode().casefold() for w in (text or "").encode().split()]
+    return [w.strip(PUNCTUATION) or w for w in words]
 
 
 def brute(docs, items):
@@ -62,12 +63,15 @@ def test_overlaps(spark):
                 words[e] = "other"
             part = words[rng.randrange(3) :] if len(words) > 20 else words
             docs.append((1000 + 10 * n + edits, text_of(rng, 9) + " " + " ".join(part).upper() + "! " + text_of(rng, 5), "en", "s"))
+    items.append((30, "Ça é ÜBER straße ñ über où été naïve façon Ångström çà là öl âme", 1, "x"))
+    docs.append((2000, "x " + items[-1][1].upper() + "!!", "fr", "s"))
     docs.append((None, items[0][1], "en", "s"))
     docs.append((1000, items[0][1], "en", "s"))
     got = contaminated(frame(spark, docs), spark.createDataFrame(items, ITEMS)).collect()
     pairs = [(r.doc_id, r.item_id) for r in got]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == brute(docs, items)
+    assert (2000, 30) in pairs
     assert all(5 * r.n_equal >= 4 * r.n_words for r in got)
     assert {r.n_words for r in got if (r.doc_id, r.item_id) == (None, 0)} == {len(tokens(items[0][1]))}
 
