@@ -13,19 +13,12 @@ from pyspark.sql import types as T
 from shellfield import schemas
 from shellfield.functions import constants as k
 from shellfield.functions.scalars import feature_file, strip
-from shellfield.session import fetched, release, scratch_path, small_table, stage
+from shellfield.session import release, scratch_path, small_table, stage
 from shellfield.sources.lines import listing, read_lines
 
 # A feature file, or one part of a feature file written as a folder.
 FEATURE_PATH = r"([^/=]*_features\.csv)(?:/part-[^/]*)?$"
 
-# More header variants than this among one set of files are an error, not drift.
-MAX_HEADERS = 100
-
-# Files whose headers are kept on the driver; more files are joined by shuffle.
-MAX_FETCHED = 20_000
-
-
 def property_scan(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
     """Property CSV with blanks after commas; keys trimmed, only ``columns`` read."""
     raw = spark.read.csv(path, header=True, schema=schema, ignoreLeadingWhiteSpace=True)
@@ -89,7 +82,7 @@ def _known_as(name: Column) -> Column:
 
 
 def _headers(lines: DataFrame) -> DataFrame:
-    """First line of every file, as text and as an array of column names.
+    """Row number of the first line of every file, and that line as an array of column names.
 
     The first line's number is a plain minimum, which hashes; carrying the line
     itself through the aggregation would sort all lines.
@@ -99,7 +92,7 @@ def _headers(lines: DataFrame) -> DataFrame:
     first = small_table(first.select(F.col("path").alias("first_path"), "first"))
     found = opening.join(first, (F.col("path") == F.col("first_path")) & (F.col("line_no.row") == F.col("first")))
     names = F.transform(F.split(F.col("line"), ","), lambda c: _known_as(F.btrim(c, F.lit(' "\r'))))
-    return found.select("path", F.col("line").alias("header"), names.alias("names"))
+    return found.select("path", "first", names.alias("names"))
 
 
 def _lacking(required: Sequence[str]) -> Column:
@@ -119,28 +112,19 @@ def combine_features(
 ) -> DataFrame:
     """Union of all valid feature files below ``folder``, by column name.
 
-    Columns a file lacks become null. Files with one common header go through the
-    CSV reader; otherwise values are placed by each file's own header, because the
-    reader would match several header orders by position.
+    Columns a file lacks become null. Values are placed by each file's own header, whatever the
+    number of different headers: files point to their header by its hash.
     """
-    lines = _feature_lines(spark, folder)
-    headers = fetched(_headers(lines), MAX_FETCHED)
-    variants = [r[0] for r in headers.select("names").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(variants) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers below {folder}")
-    if len(variants) == 1 and set(required) <= set(variants[0]):
-        kinds = {f.name: f.dataType for f in schema.fields}
-        own = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in variants[0]])
-        table = spark.read.csv(folder, header=True, schema=own, recursiveFileLookup=True, nanValue="nan")
-        table = table.filter(F.col("_metadata.file_path").rlike(FEATURE_PATH))
-        absent = [f for f in schema.fields if f.name not in variants[0]]
-        table = table.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
-        return nan_to_null(table.select(*[F.col(f"`{f.name}`") for f in schema.fields]))
-    width = max((len(v) for v in variants), default=1)
+    lines = stage(_feature_lines(spark, folder), "lines")
+    headers = stage(_headers(lines).withColumn("variant", F.xxhash64("names")), "headers")
+    width = headers.agg(F.max(F.size("names"))).first()[0] or 1
     usable = headers.filter(F.size(_lacking(required)) == 0)
-    rows = lines.join(usable, "path")
-    rows = rows.filter((F.col("line") != F.col("header")) & (strip(F.col("line")) != ""))
+    files = small_table(usable.select("path", "first", "variant"))
+    variants = small_table(usable.select("variant", "names").dropDuplicates(["variant"]))
+    is_header = (F.col("line_no.block") == 0) & (F.col("line_no.row") == F.col("first"))
+    rows = lines.join(files, "path").filter(~is_header & (strip(F.col("line")) != ""))
     rows = rows.withColumn("cells", F.from_csv("line", ", ".join(f"c{i} string" for i in range(width))))
+    rows = rows.join(variants, "variant")
     values = F.slice(F.array(*[F.col(f"cells.c{i}") for i in range(width)]), F.lit(1), F.size("names"))
     rows = rows.select(F.map_from_arrays("names", values).alias("row"))
     return nan_to_null(
