@@ -76,13 +76,26 @@ def test_files_with_other_column_order_are_matched_by_name(spark, tmp_path):
     assert {r.base_name for r in t.feature_discovery(spark, str(tmp_path)).collect()} == {f"{n}_features.csv" for n in "abc"}
 
 
-def test_files_with_one_header_use_the_reader(spark, tmp_path):
+def test_files_with_one_header(spark, tmp_path):
     for n in "ab":
         write(tmp_path, n, f"{HEAD}\n{n},1.0,2.0,3.0,A,7,SER,5.0,1\n")
     (tmp_path / "notes.txt").write_text("x\n")
     table = t.combine_features(spark, str(tmp_path), KIND)
     assert sorted(r.file_name for r in table.collect()) == ["a", "b"]
-    assert "FileScan csv" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_any_number_of_headers(spark, tmp_path):
+    """More headers than any fixed number, and a data line that equals its header."""
+    names = HEAD.split(",")
+    for n in range(120):
+        own = [*names, f"extra{n}"]
+        values = dict(zip(names, [f"f{n}", "1.0", "2.0", "3.0", "A", "7", "SER", "5.0", "1"]))
+        body = ",".join(values.get(c, "9") for c in own[::-1])
+        write(tmp_path, f"s{n}", ",".join(own[::-1]) + f"\n{body}\n")
+    write(tmp_path, "same", f"{HEAD}\n{HEAD}\n")
+    rows = t.combine_features(spark, str(tmp_path), KIND).collect()
+    assert {r.file_name for r in rows} == {f"f{n}" for n in range(120)} | {"file_name"}
+    assert all((r.x, r.y, r.z, r.residue_number) == (1.0, 2.0, 3.0, 7) for r in rows if r.file_name != "file_name")
 
 
 def test_scan_refuses_another_header(spark, tmp_path):
