@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shellfield.llm.common import discard, stage
 
 
-def _hang(edges: DataFrame, small: bool) -> DataFrame:
+def _hang(edges: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """Hangs neighbours on the smallest node around.
 
     Large step: every larger neighbour of u goes to the smallest node of u and its
@@ -23,6 +23,7 @@ def _hang(edges: DataFrame, small: bool) -> DataFrame:
             edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage(least, "least")  # an aggregate as one side would keep Spark from splitting a hub's edges
     hung = pairs.join(least, "u")
     if small:
         moved = hung.select(F.col("v").alias("a"), F.col("m").alias("b")).union(
@@ -30,7 +31,7 @@ def _hang(edges: DataFrame, small: bool) -> DataFrame:
         )
     else:
         moved = hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.filter("a <> b").distinct()
+    return stage(moved.filter("a <> b").distinct(), "edges"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == before or mark[0] == 0:
             break
         before = tuple(mark)
-        following = stage(_hang(_hang(current, small=False), small=True), "edges")
-        discard(current)
+        large, large_least = _hang(current, small=False)
+        following, small_least = _hang(large, small=True)
+        discard(current, large, large_least, small_least)
         current = following
     return current.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).distinct()

@@ -53,9 +53,12 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Adds (doc, a, b), each once for a document; no document comes in two batches."""
         known = self.frequent()
-        if known is not None:
+        if known is not None:  # staged, so that Spark may split a frequent key's side of the join
+            known = stage(known, "frequent")
             batch = batch.join(known, ["a", "b"], "left_anti")
         self._put(0, batch.groupBy("a", "b").agg(F.count("*").alias("n")))
+        if known is not None:
+            discard(known)
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
@@ -107,14 +110,15 @@ def drop_frequent_lines(
     runs = LineRuns(min_docs, fanout)
     for part in range(n_batches):
         runs.add(keys.filter(F.col("part") == part).drop("part"))
+    frequent = stage(runs.frequent(), "frequent")
+    runs.close()
     hit = (
-        keys.join(runs.frequent(), ["a", "b"], "left_semi")
+        keys.join(frequent, ["a", "b"], "left_semi")
         .groupBy("doc")
         .agg(F.collect_list(F.struct("a", "b")).alias("frequent_keys"))
     )
     hit = stage(hit, "hits")
-    runs.close()
-    discard(keys)
+    discard(keys, frequent)
     lines = lines_of(F.col("text"))
     left = F.filter(lines, lambda x: ~F.array_contains(F.col("frequent_keys"), key_hashes(line_key(x))))
     joined = base.join(hit, base["doc_id"].eqNullSafe(hit["doc"]), "left")

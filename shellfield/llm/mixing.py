@@ -16,8 +16,8 @@ from shellfield.llm.common import stage, word_count
 
 WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
-SLOT_CHUNK = 1 << 14
-DOC_CHUNK = 1 << 14
+SLOT_CHUNK = 1 << 12
+DOC_CHUNK = 1 << 12
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     doc_id and text only, so reruns agree; equal rows may change places, which changes nothing.
     An empty table gives an empty mix. Other columns are ignored.
 
-    Scale: running sums are taken by chunks of about 16,000 documents or slots; blocks and
+    Scale: running sums are taken by chunks of about 4,000 documents or slots; blocks and
     slots meet by (source, block), and texts are never moved.
     """
     text_hash = F.xxhash64("doc_id", "text")

@@ -29,6 +29,7 @@ CUTOFF = 60.0
 LEAST_ROWS = 100
 KEPT_SHARE = 0.75
 STEPS = 3
+SALTS = 64
 
 
 def repeated_words(window: np.ndarray, n_words: int) -> int:
@@ -139,6 +140,12 @@ def _inverted(frames):
         )
 
 
+def _beside(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """``rows`` with the one row that ``values`` has for their group; a large group is met in many tasks."""
+    salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(salted, ["group", "salt"])
+
+
 def mcd(rows: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS) -> DataFrame:
     """(group, n, mean, inverse) from ``rows(group, x)``: location and inverse scatter of each group.
 
@@ -150,10 +157,11 @@ def mcd(rows: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS) -> DataF
     """
     p = len(DIMENSIONS)
     schema = "group string, n long, mean array<double>, inverse array<double>"
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     medians = rows.groupBy("group").agg(
         F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 10000) for i in range(p)]).alias("mean")
     )
-    gaps = rows.join(medians, "group").select(
+    gaps = _beside(rows, medians).select(
         "group", "mean", F.array(*[F.abs(F.col("x")[i] - F.col("mean")[i]) for i in range(p)]).alias("gap")
     )
     start = gaps.groupBy("group", "mean").agg(
@@ -170,13 +178,13 @@ def mcd(rows: DataFrame, share: float = KEPT_SHARE, steps: int = STEPS) -> DataF
     fit = start.select("group", "n", "mean", spread.alias("product"), F.lit(1.0).alias("scale"))
     fit = stage(fit.mapInPandas(_inverted, schema), "fit")
     for _ in range(steps):
-        far = rows.join(fit, "group").withColumn("d", _distance())
+        far = _beside(rows, fit).withColumn("d", _distance())
         cuts = far.groupBy("group").agg(
             F.percentile_approx("d", share, 10000).alias("cut"),
             F.percentile_approx("d", 0.5, 10000).alias("middle"),
             F.count("*").alias("all_rows"),
         )
-        near = far.select("group", "x", "d").join(cuts, "group").filter("d <= cut")
+        near = _beside(far.select("group", "salt", "x", "d"), cuts).filter("d <= cut")
         core = near.groupBy("group").agg(*_moments(), F.max("middle").alias("middle"), F.max("all_rows").alias("all_rows"))
         scale = F.greatest(F.lit(1.0), F.col("middle") / HALF_CHI2)
         core = core.select("group", F.col("all_rows").alias("n"), "mean", "product", scale.alias("scale"))
