@@ -105,7 +105,7 @@ def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
     )
     held = np.zeros((1 << bits) // 8, np.uint8)
-    for piece, bitmap in pieces.toLocalIterator():
+    for piece, bitmap in pieces.collect():  # 16 MB at most
         at = (piece - 1) * 4096
         part = np.frombuffer(bytes(bitmap), np.uint8)[: len(held) - at]
         held[at : at + len(part)] = part
