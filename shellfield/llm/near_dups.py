@@ -287,6 +287,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     groups = groups.union(groups.select(F.col("component").alias("node"), "component")).distinct()
     groups = groups.join(classes.select(F.col("id").alias("node"), "n"), "node")
     groups = stage(groups, "groups")
+    discard(matches)
     weights = groups.groupBy("component").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts")
     )
@@ -295,6 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = stage(_dealt(blocks, "component").mapInArrow(_confirm(size, percent), "a long, b long"), "links")
 
     linked = components(links)
+    discard(groups, links)
     joined = (
         sketch.select("doc_id", "n", "a", "b")
         .join(classes.select("a", "b", "id"), ["a", "b"], "left")
