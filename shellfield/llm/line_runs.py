@@ -121,7 +121,8 @@ def drop_frequent_lines(
     discard(keys, frequent)
     lines = lines_of(F.col("text"))
     left = F.filter(lines, lambda x: ~F.array_contains(F.col("frequent_keys"), key_hashes(line_key(x))))
-    joined = base.join(hit, base["doc_id"].eqNullSafe(hit["doc"]), "left")
+    # Always by shuffle: a broadcast at small sizes would say nothing about large ones.
+    joined = base.join(hit.hint("merge"), base["doc_id"].eqNullSafe(hit["doc"]), "left")
     return (
         joined.withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("kept_lines", F.when(F.col("frequent_keys").isNotNull(), left))
