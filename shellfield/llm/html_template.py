@@ -1,10 +1,10 @@
 """HTML main text by equivalence-class template deduction.
 
-Pages of one host come from one template. The elements of a block of pages are named by
-their path; those with the same vector of occurrences over the pages form a class. A class is
-valid if its elements stand in one order on every page and do not cross those of other classes;
-valid classes nest into the template of the block. What is left between its elements are
-slots, and the slots inside the main container hold the text of the article.
+Pages of one host come from one template. The tokens of a block of pages are its elements, named by
+their path, and its lines of text with their path; those with the same vector of occurrences over the
+pages form a class. A class is valid if its tokens stand in one order on every page and do not cross
+those of wider classes; valid classes nest into the template of the block. What is left between
+its tokens are slots: lines that vary over the pages. Those inside the main container are the text of the article.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from shellfield.llm.common import stage
 
 BLOCK_PAGES = 64
 BLOCK_BYTES = 16 << 20
+LEAST_PAGES = 3  # different pages that tell a template's lines from an article's
 
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,35 +169,112 @@ def boilerplate(element: Element) -> bool:
     return not element.holds_main and bool(_names(element) & NAMES)
 
 
-def equivalence_classes(pages: list[Page]) -> list[list[str]]:
-    """Paths with equal occurrence vectors over the pages that are valid as template classes.
+def _ordered(members: list, pages: list[dict]) -> list:
+    """The most tokens that follow each other in one order on all pages, each there once; ``pages`` give their places."""
+    at = np.array([[page[m] for m in members] for page in pages])
+    members, at = [members[i] for i in np.argsort(at[0])], at[:, np.argsort(at[0])]
+    length, before = np.ones(len(members), np.int64), np.full(len(members), -1)
+    for j in range(1, len(members)):
+        fits = np.flatnonzero((at[:, :j] < at[:, j : j + 1]).all(axis=0))
+        if len(fits):
+            before[j] = fits[np.argmax(length[fits])]
+            length[j] = length[before[j]] + 1
+    j, chain = int(np.argmax(length)), []
+    while j >= 0:
+        chain.append(members[j])
+        j = before[j]
+    return chain[::-1]
+
+
+def _nests(inner: list[np.ndarray], outer: list[np.ndarray]) -> bool:
+    """Whether all rounds of ``inner`` (rounds x members, for each page) lie in one slot of ``outer``."""
+    slots = set()
+    for rounds, around in zip(inner, outer):
+        if not len(rounds) or not len(around):
+            continue
+        gap = np.searchsorted(around.ravel(), rounds)
+        if (gap != gap[:, :1]).any():
+            return False
+        # In front of the first, between two rounds and behind the last is outside.
+        slots.update((gap[:, 0] % around.shape[1]).tolist())
+    return len(slots) <= 1
+
+
+def token_classes(sequences: list[list]) -> list[list]:
+    """The template of pages given as token sequences: valid nested classes of equal occurrence vectors, the widest first.
 
-    A class is kept if at least half of the pages have it and its paths follow each other in one
-    order wherever they occur. The widest class comes first.
+    A class is kept if at least half of the pages have it, its tokens follow each other in one order
+    wherever they occur, and it does not cross a wider class. Of tokens that pages have once, those out of order go.
     """
-    counts = [Counter(e.path for e in page.elements) for page in pages]
-    vectors: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(pages), np.int32))
+    counts = [Counter(tokens) for tokens in sequences]
+    support = Counter(t for counter in counts for t in counter)
+    common = {t for t, n in support.items() if 2 * n >= len(sequences)}
+    vectors = {t: np.zeros(len(sequences), np.int32) for t in common}
     for i, counter in enumerate(counts):
-        for path, n in counter.items():
-            vectors[path][i] = n
-    classes: dict[bytes, list[str]] = defaultdict(list)
-    for path, vector in vectors.items():
-        if 2 * np.count_nonzero(vector) >= len(pages):
-            classes[vector.tobytes()].append(path)
-    valid = []
-    for members in classes.values():
-        inside = set(members)
-        orders = set()
-        for page in pages:
-            seen = [e.path for e in page.elements if e.path in inside]
-            if seen:
-                rounds = [tuple(seen[i : i + len(members)]) for i in range(0, len(seen), len(members))]
-                orders.update(rounds)
+        for t, n in counter.items():
+            if t in common:
+                vectors[t][i] = n
+    classes: dict[bytes, list] = defaultdict(list)
+    for t, vector in vectors.items():
+        classes[vector.tobytes()].append(t)
+    group = {t: key for key, members in classes.items() if len(members) > 1 for t in members}
+    places: dict[bytes, list[list]] = {key: [[] for _ in sequences] for key in set(group.values())}
+    for i, tokens in enumerate(sequences):
+        for at, t in enumerate(tokens):
+            if t in group:
+                places[group[t]][i].append((at, t))
+    valid: list[tuple[list, list[np.ndarray]]] = []
+    single = []
+    for key, members in classes.items():
+        if len(members) == 1:
+            single.append(members)  # a point crosses nothing
+            continue
+        n = len(members)
+        vector = np.frombuffer(key, np.int32)
+        rows = places[key]
+        orders = {tuple(t for _, t in row[i : i + n]) for row in rows for i in range(0, len(row), n)}
         if len(orders) == 1:
-            valid.append(list(orders.pop()))
-        else:  # what repeats in no fixed order is not a record; single paths are classes of their own
-            valid += [[m] for m in members]
-    return sorted(valid, key=len, reverse=True)
+            chain = list(orders.pop())
+        elif vector.max() == 1:
+            chain = _ordered(members, [{t: at for at, t in row} for row in rows if row])
+        else:
+            continue
+        inside = set(chain)
+        valid.append((chain, [np.array([at for at, t in row if t in inside], np.int64).reshape(-1, len(chain)) for row in rows]))
+    nested: list[tuple[list, list[np.ndarray]]] = []
+    for chain, at in sorted(valid, key=lambda v: -len(v[0])):
+        if all(_nests(at, other) or _nests(other, at) for _, other in nested):
+            nested.append((chain, at))
+    return sorted([chain for chain, _ in nested] + single, key=len, reverse=True)
+
+
+def equivalence_classes(pages: list[Page]) -> list[list[str]]:
+    """Paths of the elements of the pages' template, by class; the widest class comes first."""
+    return token_classes([[e.path for e in page.elements] for page in pages])
+
+
+def _different(pages: list[list[tuple[str, str]]]) -> list[int]:
+    """Pages of which no two share more than half of the shorter one's text: copies do not make an article a template."""
+    kept: list[tuple[int, dict, int]] = []
+    for i, lines in enumerate(pages):
+        own = {t: len(t[1]) for t in lines}
+        total = sum(own.values())
+        if total and all(2 * sum(own[t] for t in own.keys() & o.keys()) <= min(total, n) for _, o, n in kept):
+            kept.append((i, own, total))
+    return [i for i, _, _ in kept]
+
+
+def template_lines(pages: list[Page], container: str | None) -> set[tuple[str, str]]:
+    """(path, text) of the lines inside the container that belong to the template; all others are slots."""
+    lines = [page_lines(page, container) for page in pages]
+    chosen = _different([[(path, text) for _, path, text in rows] for rows in lines])
+    if len(chosen) < LEAST_PAGES:
+        return set()
+    sequences = []
+    for i in chosen:
+        tokens = [(e.at, e.path) for e in pages[i].elements] + [(at, (path, text)) for at, path, text in lines[i]]
+        sequences.append([t for _, t in sorted(tokens, key=lambda x: x[0])])
+    return {t for members in token_classes(sequences) for t in members if isinstance(t, tuple)}
 
 
 def main_path(pages: list[Page]) -> str | None:
@@ -205,7 +283,10 @@ def main_path(pages: list[Page]) -> str | None:
     Of the template's containers outside of menus and the like, an article or main element, else one that is named
     like content, else the one with the most words in it that no other has; the outermost of its kind.
     """
-    template = [path for group in equivalence_classes(pages) for path in group]
+    if len(pages) > 1:
+        template = [path for group in equivalence_classes(pages) for path in group]
+    else:  # one page has no template
+        template = list({e.path: None for e in pages[0].elements})
     first: dict[str, Element] = {}
     words: Counter = Counter()
     for page in pages:
@@ -234,8 +315,8 @@ def main_path(pages: list[Page]) -> str | None:
     return best(named) or best([p for p in open_paths if first[p].name == "body"])
 
 
-def main_text(page: Page, container: str | None) -> str:
-    """Text of the slots inside the container, one line for each block."""
+def page_lines(page: Page, container: str | None) -> list[tuple[int, str, str]]:
+    """(place, path, text) of the lines inside the container, one for each block."""
     inside: dict[Element, bool] = {}
 
     def within(e):
@@ -245,21 +326,31 @@ def main_text(page: Page, container: str | None) -> str:
             inside[e] = container is None or e.path == container or within(e.parent)
         return inside[e]
 
-    marks = [(at, "\n") for at in page.breaks] + [(at, " ") for at in page.cells]
+    marks = [(at, None, "\n") for at in page.breaks] + [(at, None, " ") for at in page.cells]
     chosen = [
-        (at, entities.unescape(text)) for e, text, at in page.texts if within(e) and not page.dropped(e)
+        (at, e.path if e else "", "\0" + entities.unescape(text))
+        for e, text, at in page.texts
+        if within(e) and not page.dropped(e)
     ]
     if not chosen:
-        return ""
-    blocks, words = [], []
-    for _, text in sorted(marks + [(at, "\0" + text) for at, text in chosen], key=lambda x: x[0]):
+        return []
+    lines, words, first = [], [], None
+    for at, path, text in [*sorted(marks + chosen, key=lambda x: x[0]), (0, None, "\n")]:
         if text == "\n":
-            blocks.append("".join(words))
-            words = []
+            line = " ".join("".join(words).split())
+            if line:
+                lines.append((*first, line))
+            words, first = [], None
         else:
             words.append(text[1:] if text != " " else " ")
-    blocks.append("".join(words))
-    return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
+            if first is None and text[1:].strip():
+                first = (at, path)
+    return lines
+
+
+def main_text(page: Page, container: str | None, template: set[tuple[str, str]] = frozenset()) -> str:
+    """Text of the slots inside the container, one line for each block."""
+    return "\n".join(text for _, path, text in page_lines(page, container) if (path, text) not in template)
 
 
 def has(page: Page, container: str | None) -> bool:
@@ -270,13 +361,15 @@ def extract_block(sources: list[str | None]) -> list[str]:
     """Main texts of pages of one host, by the template they share."""
     pages = [Page(s or "") for s in sources]
     container = main_path([p for p in pages if p.elements]) if any(p.elements for p in pages) else None
-    texts = []
-    for page in pages:
-        # A page without the container of its template, or with an article where that has none, has one of its own.
-        fits = has(page, container) and (not page.has_main or container.rpartition("/")[2].startswith(("article", "main")))
-        own = container if fits else main_path([page])
-        texts.append(main_text(page, own))
-    return texts
+    # A page without the container of its template, or with an article where that has none, has one of its own.
+    fits = [
+        has(page, container) and (not page.has_main or container.rpartition("/")[2].startswith(("article", "main")))
+        for page in pages
+    ]
+    template = template_lines([page for page, fit in zip(pages, fits) if fit], container)
+    return [
+        main_text(page, container, template) if fit else main_text(page, main_path([page])) for page, fit in zip(pages, fits)
+    ]
 
 
 def _extract(table: pa.Table) -> pa.Table:
@@ -300,7 +393,8 @@ def extract_main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_by
 
     text is the article: character references are decoded, blanks inside a block become one, blocks
     are joined by a line break in page order. Menus, headers and footers of the page, sidebars,
-    notices, adverts, forms, scripts, styles and comments of readers are left out.
+    notices, adverts, forms, scripts, styles and comments of readers are left out, and so are whole lines
+    of the template: those that at least half of a block's different pages have (three pages at least).
 
     Defined cases: null and empty pages, and pages without an article's text, give an empty text.
     A null url, or one without a host, belongs to the host with the empty name. Repeated rows are extracted each. Cut pages

@@ -3,7 +3,7 @@
 import html
 import random
 
-from shellfield.llm.html_template import Page, equivalence_classes, extract_block, extract_main_text
+from shellfield.llm.html_template import Page, equivalence_classes, extract_block, extract_main_text, token_classes
 from tests.llm.corpus import text_of
 
 SCHEMA = "page_id long, url string, html string, text string, n int, host string, block int, `a.b` int"
@@ -69,3 +69,27 @@ def test_classes_have_equal_vectors_and_one_order():
 def test_inline_and_unclosed():
     source = "<article><p><b>One<i>two</i> three<br>four<p>five <span class='ad'>no</span>six<ul><li>a<li>b</ul>tail</article>"
     assert extract_block([source]) == ["Onetwo three four\nfive six\na\nb\ntail"]
+
+
+def test_lines_of_the_template_go_whatever_their_names():
+    rng = random.Random(5)
+    line = lambda n: " ".join(text_of(rng, n).split())
+    bodies = [[line(6), *[line(30) for _ in range(1 + i % 3)]] for i in range(9)]
+    sources = [
+        "<body><article><h1>" + b[0] + "</h1><div class='xq7'>Read our magazine</div><p>" + "<p>".join(b[1:])
+        + "<div>Seen by <b>many</b></div></article></body>"
+        for b in bodies
+    ]
+    assert extract_block(sources) == ["\n".join(b) for b in bodies]
+    # One page, and copies of one article, have no template: nothing of the article goes.
+    whole = "\n".join([bodies[0][0], "Read our magazine", *bodies[0][1:], "Seen by many"])
+    assert extract_block(sources[:1]) == [whole]
+    assert extract_block(sources[:1] * 8) == [whole] * 8
+
+
+def test_classes_out_of_order_or_crossing_are_dropped():
+    assert token_classes([list("abcd"), list("abdc"), list("abcd")])[0] in (list("abc"), list("abd"))
+    assert token_classes([list("xyxy"), list("xyyx"), list("xy")]) == []
+    # k and l come on two pages of three, around c of the wider class.
+    assert token_classes([list("abkcld"), list("abcd"), list("abkcld")]) == [list("abcd")]
+    assert ["k", "l"] in token_classes([list("abklcd"), list("abcd"), list("abklcd")])
