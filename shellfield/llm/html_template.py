@@ -22,7 +22,7 @@ from shellfield.llm.common import stage
 
 BLOCK_PAGES = 64
 BLOCK_BYTES = 16 << 20
-LEAST_PAGES = 3  # different pages that tell a template's lines from an article's
+LEAST_PAGES = 8  # different pages that tell a template's lines from an article's
 
 # Elements of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +44,15 @@ NAMES = set(
     "navbar navigation menu menus topbar footer foot masthead comment comments commentlist disqus reply replies respond "
     "skip login search".split()
 )
+# What a name says of the form of an element, not of its contents.
+FORMS = set(
+    "area bar block box button buttons container icons inner item items link links list panel section slot unit wrap wrapper "
+    "articles posts stories content".split()
+)
+# Elements of running text: inside an article their names say nothing.
+PROSE = set(
+    "h1 h2 h3 h4 h5 h6 p pre blockquote table thead tbody tfoot tr td th caption figure figcaption dl dt dd li img hr br".split()
+)
 MAIN_NAMES = set("article content post entry story main".split())
 # An element in the list is closed by the start of one in its set.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
@@ -77,7 +86,7 @@ class Page:
         self.breaks: list[int] = []  # places where a block starts or ends
         self.cells: list[int] = []
         self.has_main = False
-        self._dropped: dict[Element, bool] = {}
+        self.settle(None, None)
         stack: list[Element] = []
         at, place = 0, 0
         raw = None
@@ -140,27 +149,81 @@ class Page:
             return {}
         return {m[0].lower(): entities.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(body[1])}
 
+    def settle(self, container: str | None, repeated: set | None) -> None:
+        """From now on the article is in ``container``; ``repeated`` are the kinds that the template repeats, if it is known."""
+        self._container = container if container and container.rpartition("/")[2].split(".")[0] not in ("html", "body") else None
+        self._repeated = repeated
+        self._dropped: dict[Element, bool] = {}
+        self._inside: dict[Element, bool] = {}
+
+    def _in_article(self, element: Element | None) -> bool:
+        if element is None or self._container is None:
+            return False
+        known = self._inside.get(element)
+        if known is None:
+            known = self._inside[element] = element.path == self._container or self._in_article(element.parent)
+        return known
+
     def dropped(self, element: Element | None) -> bool:
         """Whether an element or one around it holds no article text."""
         if element is None:
             return False
         known = self._dropped.get(element)
         if known is None:
-            known = self._dropped[element] = boilerplate(element) or self.dropped(element.parent)
+            inside = self._in_article(element.parent)
+            own = foreign(element, self._repeated) if inside else boilerplate(element)
+            known = self._dropped[element] = own or self.dropped(element.parent)
         return known
 
 
+def kind_of(element: Element) -> tuple[str, str]:
+    """What tells elements of one kind over the pages of a host: the path, and the id without numbers."""
+    return element.path, re.sub(r"\d+", "", element.attributes.get("id", "")).lower()
+
+
+def repeated_kinds(pages: list[Page]) -> set[tuple[str, str]]:
+    """The kinds of elements that at least half of the pages have, and two at least."""
+    support = Counter(kind for page in pages for kind in {kind_of(e) for e in page.elements})
+    return {kind for kind, n in support.items() if 2 * n >= len(pages) and n > 1}
+
+
+def _whole_name(token: str) -> bool:
+    parts = set(re.findall(r"[a-z]+", token))
+    return bool(parts & NAMES) and parts <= NAMES | FORMS
+
+
+def foreign(element: Element, repeated: set | None) -> bool:
+    """Whether an element inside the article's container is none of its text.
+
+    By name it is if a whole class or id says so and the template repeats the element; a page
+    without others to hold it against goes by its classes alone. Names of headings, paragraphs and the like do not count.
+    """
+    if _boilerplate_by_role(element):
+        return True
+    if element.name in PROSE or element.holds_main or element.name in ("html", "body", "main", "header"):
+        return False
+    a = element.attributes
+    if repeated is None:
+        return any(map(_whole_name, a.get("class", "").lower().split()))
+    return kind_of(element) in repeated and any(map(_whole_name, f"{a.get('class', '')} {a.get('id', '')}".lower().split()))
+
+
 def _names(element: Element) -> set[str]:
     return set(_PART.findall((element.attributes.get("class", "") + " " + element.attributes.get("id", "")).lower()))
 
 
-def boilerplate(element: Element) -> bool:
+def _boilerplate_by_role(element: Element) -> bool:
     a = element.attributes
     if element.name in NOT_TEXT or a.get("role", "").lower() in ROLES:
         return True
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+    return bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
+
+
+def boilerplate(element: Element) -> bool:
+    """Whether an element outside of an article holds none of its text, by its role and parts of its names."""
+    if _boilerplate_by_role(element):
         return True
     if element.name in ("html", "body", "article", "main") and not _names(element) & {"comment", "comments"}:
         return False
@@ -366,10 +429,14 @@ def extract_block(sources: list[str | None]) -> list[str]:
         has(page, container) and (not page.has_main or container.rpartition("/")[2].startswith(("article", "main")))
         for page in pages
     ]
-    template = template_lines([page for page, fit in zip(pages, fits) if fit], container)
-    return [
-        main_text(page, container, template) if fit else main_text(page, main_path([page])) for page, fit in zip(pages, fits)
-    ]
+    fitting = [page for page, fit in zip(pages, fits) if fit]
+    repeated = repeated_kinds(fitting) if len(fitting) > 1 else None
+    own = {}
+    for i, page in enumerate(pages):
+        own[i] = container if fits[i] else main_path([page])
+        page.settle(own[i], repeated if fits[i] else None)
+    template = template_lines(fitting, container)
+    return [main_text(page, own[i], template if fits[i] else frozenset()) for i, page in enumerate(pages)]
 
 
 def _extract(table: pa.Table) -> pa.Table:
@@ -394,7 +461,7 @@ def extract_main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_by
     text is the article: character references are decoded, blanks inside a block become one, blocks
     are joined by a line break in page order. Menus, headers and footers of the page, sidebars,
     notices, adverts, forms, scripts, styles and comments of readers are left out, and so are whole lines
-    of the template: those that at least half of a block's different pages have (three pages at least).
+    of the template: those that at least half of a block's different pages have (eight pages at least).
 
     Defined cases: null and empty pages, and pages without an article's text, give an empty text.
     A null url, or one without a host, belongs to the host with the empty name. Repeated rows are extracted each. Cut pages

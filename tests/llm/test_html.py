@@ -93,3 +93,20 @@ def test_classes_out_of_order_or_crossing_are_dropped():
     # k and l come on two pages of three, around c of the wider class.
     assert token_classes([list("abkcld"), list("abcd"), list("abkcld")]) == [list("abcd")]
     assert ["k", "l"] in token_classes([list("abklcd"), list("abcd"), list("abklcd")])
+
+
+def test_names_inside_an_article_drop_nothing_of_it():
+    rng = random.Random(6)
+    line = lambda n: " ".join(text_of(rng, n).split())
+    sources, expected = [], []
+    for i in range(8):
+        a = [line(9) for _ in range(6)]
+        more = [line(9)] if i == 3 else []
+        sources.append(
+            f"<body><div id='search-box'>{line(4)}</div><article><h1>{a[0]}</h1><h2 id='related-work'>{a[1]}</h2>"
+            f"<section id='search-algorithms'><p>{a[2]}</p><p class='notice'>{a[3]}</p></section><h2 id='menu'>{a[4]}</h2>"
+            f"<div class='share-bar'>{line(5)}</div><div id='reply-{i}'>{line(5)}</div><p>{a[5]}</p>"
+            + "".join(f"<section id='search'><p>{m}</p></section>" for m in more) + "</article></body>"
+        )
+        expected.append("\n".join(a + more))
+    assert extract_block(sources) == expected
