@@ -2,7 +2,7 @@
 
 Documents that fail a base rule are rejected. Of the others, a vector of transformed statistics is
 held against a minimum-covariance-determinant (MCD) estimate of its language and source: location
-and scatter of the three quarters of the rows whose own scatter is smallest, found by
+and scatter of the half of the rows whose own scatter is smallest, found by
 concentration steps over all rows of the group.
 """
 
@@ -27,7 +27,7 @@ BAD_SIDE = (0, 1, 1, 1)
 HALF_CHI2 = 3.3566939800333224  # median of the chi-square distribution with four degrees of freedom
 CUTOFF = 60.0
 LEAST_ROWS = 100
-KEPT_SHARE = 0.75
+KEPT_SHARE = 0.5  # up to half of a group may be copies of one bad text
 STEPS = 3
 SALTS = 64
 

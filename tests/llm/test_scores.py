@@ -178,6 +178,17 @@ def test_quality_drops_rows(spark):
     assert sorted(map(repr, (r.doc_id for r in left.collect()))) == sorted(map(repr, keep))
 
 
+def test_quality_rejects_junk_that_is_a_third_of_its_group(spark):
+    import random
+
+    rng = random.Random(9)
+    junk = " ".join(w + "#$%" for w in text_of(rng, 60).split())
+    rows = [(i, junk if i % 3 == 0 else text_of(rng, 40 + i % 50), "en", "src0") for i in range(330)]
+    verdict = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows)).collect()}
+    assert not any(verdict[i] for i in range(0, 330, 3))
+    assert all(verdict[i] for i in range(330) if i % 3)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "a b c", "en", "s")] * 3])
 def test_quality_of_tiny_tables(spark, rows):
     got = quality.judge(frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)).collect()
