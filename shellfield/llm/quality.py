@@ -25,7 +25,7 @@ TOLERANCE = (0.1, 0.25, 0.05, 0.05)
 # The side on which a statistic is bad: 0 means both.
 BAD_SIDE = (0, 1, 1, 1)
 HALF_CHI2 = 3.3566939800333224  # median of the chi-square distribution with four degrees of freedom
-CUTOFF = 60.0
+CUTOFF = 18.46682695290317  # 0.999 quantile of the chi-square distribution with four degrees of freedom
 LEAST_ROWS = 100
 KEPT_SHARE = 0.5  # up to half of a group may be copies of one bad text
 STEPS = 3

@@ -189,6 +189,20 @@ def test_quality_rejects_junk_that_is_a_third_of_its_group(spark):
     assert all(verdict[i] for i in range(330) if i % 3)
 
 
+def test_quality_rejects_plain_outliers(spark):
+    import random
+
+    rng = random.Random(10)
+    rows = [(i, text_of(rng, 40 + i % 50), "en", "src0") for i in range(200)]
+    plain = text_of(rng, 200).split()
+    marked = " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(plain))
+    assert 0.04 < marked.count("#") / len(marked.replace(" ", "")) < 0.06
+    rows += [(1000, marked, "en", "src0"), (1001, " ".join(w + w for w in plain), "en", "src0"), (1002, " ".join(plain), "en", "src0")]
+    verdict = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows)).collect()}
+    assert not verdict[1000] and not verdict[1001] and verdict[1002]
+    assert all(verdict[i] for i in range(200))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "a b c", "en", "s")] * 3])
 def test_quality_of_tiny_tables(spark, rows):
     got = quality.judge(frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)).collect()
