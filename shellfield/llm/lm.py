@@ -5,7 +5,7 @@ P(word | history) = P(class | history) * P(word | class).
 Words are put into classes: one for the end of a text, a few for rare words (told by
 spelling), the others of frequent words by language and frequency. P(class | history) is a
 maximum-entropy model over hashed features of the history: the last word, the last two
-words, and the one before the last alone (a skip). P(word | class) is its relative frequency, which is the
+words, and skips over one and two words. P(word | class) is its relative frequency, which is the
 maximum-entropy solution for the feature "the word itself"; classes of rare words add one to each
 count and keep one place for a word that was never seen.
 
@@ -29,7 +29,7 @@ N_CLASSES, RARE_CLASSES = 32, 8
 END_CLASS = 0
 MOST_FREQUENT = 1 << 17  # words in the broadcast table at most
 FEATURE_BITS = 16
-FEATURES = 3
+FEATURES = 4
 STEP = 16384  # tokens in a gradient step
 RATE = 0.5
 ROUNDS = ((0, 1), (1, 4))  # quarters of the training texts, by hash, in each round
@@ -156,16 +156,17 @@ def feature_rows(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.repeat(np.cumsum(counts) - counts, counts)
     place = np.arange(len(tokens)) - starts
     back = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         before = np.zeros(len(tokens), np.uint64)
         before[k:] = tokens[:-k].astype(np.uint64) + np.uint64(1) if len(tokens) > k else 0
         before[place < k] = 0  # in front of the text
         back.append(before)
-    one, two = back
+    one, two, three = back
     salted = (
         one * np.uint64(4),
         ((one << np.uint64(20)) + two) * np.uint64(4) + np.uint64(1),
         two * np.uint64(4) + np.uint64(2),
+        three * np.uint64(4) + np.uint64(3),
     )
     shift = np.uint64(64 - FEATURE_BITS)
     return np.stack([((x * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.uint16) for x in salted])

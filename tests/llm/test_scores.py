@@ -50,6 +50,13 @@ def test_probabilities_sum_to_one():
         assert math.isclose((10.0**inside).sum(), 1)
 
 
+def test_word_three_back_is_a_feature():
+    rows = lm.feature_rows(np.array([20, 21, 22, 23, 0]), np.array([5]))
+    other = lm.feature_rows(np.array([30, 21, 22, 23, 0]), np.array([5]))
+    changed = rows[:, 3] != other[:, 3]  # of the fourth word only the skip over two words sees the first
+    assert lm.FEATURES == len(rows) == 4 and changed.tolist() == [False, False, False, True]
+
+
 def test_model_beats_unigrams_on_held_out_texts(spark):
     """Two languages with words of their own and a fixed order of words: the history tells the class."""
     import random
