@@ -48,7 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that share text with a benchmark item go; rows are told apart by doc_id and text."""
     row = F.xxhash64("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark)
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, least_words=1)
     found = found.select(F.col("doc_id").alias("found")).distinct()
     return docs.join(found, row == found["found"], "left_anti")
 

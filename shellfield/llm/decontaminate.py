@@ -2,7 +2,7 @@
 
 A mask keeps some of the word positions of a span and ignores the others, so its hash survives
 substitutions at the ignored ones. The masks below have an occurrence in every window of
-13 words with up to two substitutions, wherever those are. Hashes of the test items
+13 to 25 words with up to a fifth of them substituted, wherever those are; a longer one has such a part. Hashes of the test items
 and of the documents are joined, and around each hit the alignment of the two texts is
 checked word by word.
 """
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from shellfield.llm.common import PlainWordHashes, Tokens, as_long, batches, binary_texts, mix, pieces, plain, stage
 
-MASKS = ("11110111", "11001001111", "11111101")
+MASKS = ("11110111", "11001001111", "11111101", "11010000010111", "1110100111", "11100101001001")
 WINDOW = 13
-SHORT_ITEM = 8
+SHORT_ITEM = 8  # shorter items match whole and exactly, where they are asked for
+WHOLE = 100  # added to the length of a pattern that is a whole item
 SHARE = (4, 5)  # of the words of an overlap, at least these parts are equal
 # The filter of the test hashes: 256 bits for each hash, 16 MB at most. Beyond that it only lets more pass.
 BITS_PER_SEED, LEAST_BITS, MOST_BITS = 256, 16, 27
@@ -49,7 +50,14 @@ def _halves(n: int) -> set[int]:
     return {n // 2, n - n // 2}
 
 
-def _item_seeds(source):
+def _item_seeds(least_words: int):
+    def run(source):
+        yield from _seeds_of_items(source, least_words)
+
+    return run
+
+
+def _seeds_of_items(source, least_words: int):
     memo = PlainWordHashes()
     for batch in batches(source):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -69,6 +77,10 @@ def _item_seeds(source):
             keep = (n >= SHORT_ITEM) & (n < WINDOW)
             keep &= ((p == 0) & (length == first)) | ((p == first) & (length == last))
             found.append((row[keep], at[keep], seed[keep], np.full(keep.sum(), length)))
+        for length in range(max(1, least_words), SHORT_ITEM):
+            at, seed = _seeds(tokens, tuple(range(length)), 100 + WHOLE + length)
+            keep = tokens.counts[rows[at]] == length
+            found.append((rows[at][keep], at[keep], seed[keep], np.full(keep.sum(), WHOLE + length)))
         row, at, seed, short = (np.concatenate(x) for x in zip(*found))
         yield pa.RecordBatch.from_arrays(
             [
@@ -114,7 +126,7 @@ def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
 
 def _doc_seeds(held, bits: int, short: list[int]):
     patterns = [(_offsets(m), salt) for salt, m in enumerate(MASKS)]
-    patterns += [(tuple(range(length)), 100 + length) for length in short]
+    patterns += [(tuple(range(code % WHOLE)), 100 + code) for code in short]
 
     def run(source):
         memo = PlainWordHashes()
@@ -157,7 +169,7 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
 
     Word i of the item lies on word i + shift of the document. An overlap is a run of at
     least 13 aligned words of which at least four fifths are equal. A shorter item has to be there
-    whole, with one word changed at most.
+    whole, with one word changed at most, one of less than 8 words without any change.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     need = min(WINDOW, len(item))
@@ -165,7 +177,8 @@ def overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, in
         return None
     equal = item[low:high] == doc[low + shift : high + shift]
     if len(item) < WINDOW:  # one substitution leaves a half without any, which is what the seeds of short items find
-        return (0, len(item), int(equal.sum())) if equal.sum() >= len(item) - 1 else None
+        changed = 1 if len(item) >= SHORT_ITEM else 0
+        return (0, len(item), int(equal.sum())) if equal.sum() >= len(item) - changed else None
     sums = np.concatenate([[0], np.cumsum(SHARE[1] * equal.astype(np.int64) - SHARE[0])])
     least = np.minimum.accumulate(sums)
     good = np.flatnonzero(sums[need:] >= least[: len(sums) - need]) + need
@@ -199,13 +212,13 @@ def _verify(source):
         )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = SHORT_ITEM) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words, n_equal): documents that share text with items.
 
     One row for each document and test item with an overlap: at least 13 aligned words
     (positions in words from 0), four fifths of them equal, case-folded and without
     punctuation around. Items of 8 to 12 words have to be there whole, with one word
-    changed at most. Shorter items are too short to tell from chance and match nothing.
+    changed at most, shorter ones whole and exactly. Items of less than ``least_words`` words match nothing.
 
     Defined cases: null and blank texts on either side match nothing. A row whose
     doc_id or item_id is null is compared like any other and carries the null. Of rows that share
@@ -222,11 +235,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.distinct().withColumn("item", F.xxhash64("item_id", "item_text"))
     items = stage(items, "items")
     seeds = stage(
-        items.select("item", "item_text").mapInArrow(_item_seeds, "seed long, item_id long, item_at int, short int"),
+        items.select("item", "item_text").mapInArrow(_item_seeds(least_words), "seed long, item_id long, item_at int, short int"),
         "seeds",
     )
     held, bits = seed_filter(seeds)
-    short = sorted(r[0] for r in seeds.select("short").distinct().collect() if r[0])  # 4, 5 and 6 at most
+    short = sorted(r[0] for r in seeds.select("short").distinct().collect() if r[0])  # lengths 4 to 6 of halves and 1 to 7 of whole items
     held = spark.sparkContext.broadcast(held)
     named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = named.filter("text is not null").mapInArrow(

@@ -91,3 +91,27 @@ def test_empty_tables(spark):
     assert contaminated(docs, items).count() == 0
     assert contaminated(some, items).count() == 0
     assert contaminated(docs, spark.createDataFrame([(1, "a b c d e f g h i j", 1, "x")], ITEMS)).count() == 0
+
+
+def test_masks_cover_a_fifth_of_any_window():
+    masks = [(sum(1 << i for i, c in enumerate(m) if c == "1"), len(m)) for m in MASKS]
+    for n in range(WINDOW, 2 * WINDOW):  # a longer window is two of these sizes, one with its share or less
+        hits = [bits << o for bits, span in masks for o in range(n - span + 1)]
+        for gone in itertools.combinations(range(n), n // 5):
+            lost = sum(1 << i for i in gone)
+            assert any(not h & lost for h in hits), (n, gone)
+
+
+def test_every_fourth_word_changed_and_short_items(spark):
+    rng = random.Random(12)
+    item, short = text_of(rng, 15), "alpha beta gamma"
+    changed = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(item.split()))
+    docs = [
+        (1, text_of(rng, 9) + " " + changed + " " + text_of(rng, 5), "en", "s"),
+        (2, "so Alpha, beta GAMMA! it is", "en", "s"),
+        (3, "alpha beta other gamma", "en", "s"),
+    ]
+    items = spark.createDataFrame([(1, item, 1, "x"), (2, short, 1, "x")], ITEMS)
+    pairs = lambda **k: sorted((r.doc_id, r.item_id) for r in contaminated(frame(spark, docs), items, **k).collect())
+    assert pairs() == [(1, 1)]
+    assert pairs(least_words=1) == [(1, 1), (2, 2)]
