@@ -219,7 +219,7 @@ def dummy_baseline(spark, sf):
 # follow from them, and that the model is better than the larger class.
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SETTINGS = forest.ForestSettings(depth=8, features=2)
+SETTINGS = forest.ForestSettings(features=2)
 
 
 def line_rows(spark, sf):

@@ -238,3 +238,9 @@ def test_two_forests_count_by_trees(spark):
     joined = both.join(one, "id").join(two, "id")
     worst = joined.agg(F.max(F.abs(F.col("score") - (F.col("s1") * 6 + F.col("s2") * 3) / 9))).first()[0]
     assert worst < 1e-9
+
+
+def test_forest_queries_grow_whole_trees():
+    from shellfield.queries import learning
+
+    assert (learning.SETTINGS.trees, learning.SETTINGS.depth, learning.SETTINGS.finetune_trees) == (200, 0, 200)
