@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shellfield.llm.chat import format_conversations, masked_texts, read_back
 from shellfield.llm.decontaminate import contaminated
+from shellfield.llm.filter_audit import audit_text_filters
 from shellfield.llm.html_template import extract_main_text
 from shellfield.llm.licenses import scan_licenses
 from shellfield.llm.line_runs import drop_frequent_lines
@@ -171,5 +172,47 @@ def op10_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT doc_id, part,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)::INT AS mask
+  FROM w),
+m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE l.quality = 1) AS good, count(*) FILTER (WHERE l.toxic = 1) AS bad
+  FROM f LEFT JOIN labels l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT substr('ABCDE', i + 1, 1) AS c, 1 << i AS b FROM range(5) AS t(i)),
+o AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM x p, x q, x r, x s, x t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND p.b | q.b | r.b | s.b | t.b = 31),
+g AS (
+  SELECT filter_order, i::INT AS step, bits[i] AS own, coalesce(list_sum(bits[1 : i - 1]), 0)::INT AS earlier
+  FROM o, range(1, 6) AS t(i)),
+c AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & earlier <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & earlier = 0 AND mask & own <> 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM m, g GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM c
+"""
+
+
+@registry.query("op12_filter_audit", AUDIT_SQL)
+def op12_filter_audit(spark, folder):
+    return audit_text_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = registry.queries
 ORACLES = registry.oracles
