@@ -14,6 +14,7 @@ from shellfield.llm.lm import score
 from shellfield.llm.mixing import mix
 from shellfield.llm.near_dups import near_duplicates
 from shellfield.llm.quality import judge
+from shellfield.llm.spelling import corpus_words, variants
 from shellfield.llm.substrings import remove_repeated_windows
 from shellfield.queries.base import Registry
 
@@ -214,5 +215,51 @@ def op12_filter_audit(spark, folder):
     return audit_text_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)),
+counted AS (SELECT doc_id, w, count(*) AS k FROM runs GROUP BY doc_id, w),
+t AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+hashed AS (
+  SELECT w, k, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+      string_split(doc_id::VARCHAR || ':' || w, ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))),
+    lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1])), 4294967295) AS h
+  FROM counted, t WHERE doc_id IS NOT NULL
+  UNION ALL SELECT w, k, 1 FROM counted WHERE doc_id IS NULL),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2)
+      ELSE w END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS a, y.word AS b, y.n AS n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+best AS (
+  SELECT a, count(*)::BIGINT AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS n FROM pairs GROUP BY a),
+forms AS (
+  SELECT w.word, w.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN c.n >= 2 * w.n THEN c.b END AS form,
+    CASE WHEN c.n >= 2 * w.n THEN c.n END AS form_n
+  FROM words w LEFT JOIN best c ON c.a = w.word),
+walk AS (
+  SELECT word, word AS root, form AS onward FROM forms
+  UNION ALL SELECT walk.word, forms.word, forms.form FROM walk JOIN forms ON forms.word = walk.onward)
+SELECT forms.word, forms.form, walk.root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN walk ON walk.word = forms.word AND walk.onward IS NULL
+"""
+
+
+@registry.query("op13_spelling_variants", SPELLING_SQL)
+def op13_spelling_variants(spark, folder):
+    return variants(corpus_words(table(spark, folder, "documents"), least_length=5, least_count=3), least_length=5)
+
+
 QUERIES = registry.queries
 ORACLES = registry.oracles
