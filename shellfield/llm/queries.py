@@ -11,6 +11,7 @@ from shellfield.llm.html_template import extract_main_text
 from shellfield.llm.licenses import scan_licenses
 from shellfield.llm.line_runs import drop_frequent_lines
 from shellfield.llm.lm import score
+from shellfield.llm.metric_join import jaccard_components
 from shellfield.llm.mixing import mix
 from shellfield.llm.near_dups import near_duplicates
 from shellfield.llm.quality import judge
@@ -173,6 +174,16 @@ def op10_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+JOIN_SQL = SHINGLE_SQL.replace("i + 3]", "i + 4]").replace("len(w) - 3, 1)", "len(w) - 4, 1)").replace(
+    ", m.component_id, d.doc_id = m.component_id AS kept", ", m.component_id"
+)
+
+
+@registry.query("op11_jaccard_metric_join", JOIN_SQL)
+def op11_jaccard_metric_join(spark, folder):
+    return jaccard_components(table(spark, folder, "documents"), size=5, percent=80)
+
+
 AUDIT_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
