@@ -5,14 +5,14 @@
 2. A word has one gram at each place: the shortest of the lengths in ``LENGTHS`` that is not
    frequent. Which gram that is depends on its own characters alone, so an edit changes only
    the grams that lie over it.
-3. From that comes a bound for each word: at most a of its m grams are affected by one edit, a being the
-   largest number of grams over one character. Words one edit apart share m - a grams, so
-   they share one of the a + 1 rarest of each, and only those are posted.
-4. A list holds words with the same gram at places that one edit allows, of one length
-   or of two that follow each other. Lists are merged, and the pairs in them verified.
-
-Two words of lengths c and c or c + 1 are compared by grams of less than c characters,
-which leaves each word at least one gram that no single edit affects: nothing is missed.
+3. From that comes a bound for each word: of any of its grams, one edit affects at most as many as lie over
+   one character. A word asks with so few grams that this bound is still less than their
+   number: the two rarest of which none lies over a character of the other. One of them stays whatever the edit.
+4. Every word is listed under all its grams, by place and length of the word, and the lists of the grams that
+   a word asks with are merged: who is in one of them and passes verification is one edit away.
+
+Two words of lengths c and c or c + 1 are compared by grams of less than c characters, so that each word
+has two grams that lie apart: nothing is missed.
 """
 
 from __future__ import annotations
@@ -23,18 +23,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellfield.llm.common import batches, discard, mix, pieces, plain, stage
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LENGTHS = (3, 4, 5, 6, 8, 10, 13, 16, 20)
+LENGTHS = (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 17, 20)
 FIRST_LENGTHS = 3  # so many lengths are counted in the first pass over the words
 LEAST_LENGTH = 4
-RARE = 64
-DICTIONARY = 1 << 21  # grams at most, of 8 bytes each
+KNOWN, OFTEN = 32, 512
+DICTIONARY = 1 << 20  # grams at most, of 16 bytes each
 LIST_WORDS = 4096
+PAIRS = 1_000_000  # compared at a time
 HELD_WORDS = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _START, _END = 1, 2
@@ -127,16 +129,24 @@ class Words:
         return mix(value + np.asarray(length, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _frequent(dictionary: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    if not len(dictionary):
-        return np.zeros(len(grams), bool)
-    at = np.searchsorted(dictionary, grams)
-    at[at == len(dictionary)] = 0
-    return dictionary[at] == grams
+class Grams:
+    """Known grams: sorted hashes and how many places have each; often is the count above which a gram has to grow."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, often: int):
+        order = np.argsort(grams)
+        self.grams, self.counts, self.often = grams[order], counts[order], often
+
+    def counted(self, grams: np.ndarray) -> np.ndarray:
+        """The counts of grams, 0 of unknown ones."""
+        if not len(self.grams):
+            return np.zeros(len(grams), np.int64)
+        at = np.searchsorted(self.grams, grams)
+        at[at == len(self.grams)] = 0
+        return np.where(self.grams[at] == grams, self.counts[at], 0)
 
 
 def _count_grams(steps: range, dictionary):
-    """Grams of the lengths LENGTHS[steps] with their number of places, from words whose shorter grams are frequent."""
+    """Grams of the lengths LENGTHS[steps] with their number of places; a longer one only where the one before is known."""
 
     def run(source):
         for batch in batches(source):
@@ -145,7 +155,7 @@ def _count_grams(steps: range, dictionary):
             for step in steps:
                 fits = place + LENGTHS[step] <= words.ends[word]
                 if step == steps[0] and step:
-                    fits[fits] = _frequent(dictionary.value, words.grams(place[fits], LENGTHS[step - 1]))
+                    fits[fits] = dictionary.value.counted(words.grams(place[fits], LENGTHS[step - 1])) > 0
                 place, word = place[fits], word[fits]
                 gram, n = np.unique(words.grams(place, LENGTHS[step]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
@@ -154,52 +164,68 @@ def _count_grams(steps: range, dictionary):
 
 
 def gram_dictionary(words: DataFrame):
-    """The frequent grams of all words as a broadcast sorted array of hashes, at most ``DICTIONARY`` of them.
+    """The frequent grams of all words as broadcast ``Grams``, at most ``DICTIONARY`` of them.
 
-    A gram is frequent if it stands at more than ``rare`` places. ``rare`` is 64, and more for a
-    vocabulary with so many places that there could be more than ``DICTIONARY`` frequent grams.
+    Known are those at more than ``KNOWN`` places; more for a vocabulary with so many places that there
+    could be more than ``DICTIONARY`` of them. A gram at more than ``OFTEN`` places, and 16 times as many as
+    have to be for a known one, has to grow.
     """
     sc = words.sparkSession.sparkContext
     places = words.agg(F.sum(F.length("word"))).first()[0] or 0
-    rare = max(RARE, places * len(LENGTHS) // DICTIONARY + 1)
-    found = np.empty(0, np.uint64)
+    known = max(KNOWN, places * len(LENGTHS) // DICTIONARY + 1)
+    often = max(OFTEN, known * (OFTEN // max(KNOWN, 1)))
+    grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     for steps in (range(FIRST_LENGTHS), range(FIRST_LENGTHS, len(LENGTHS))):
-        counted = words.select("word").mapInArrow(_count_grams(steps, sc.broadcast(found)), "gram long, n long")
-        more = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > rare).select("gram")
-        more = more.toArrow().column("gram").to_numpy().view(np.uint64)  # at most places * lengths / rare
-        found = np.unique(np.concatenate([found, more]))
-    return sc.broadcast(found)
+        so_far = sc.broadcast(Grams(grams, counts, often))
+        counted = words.select("word").mapInArrow(_count_grams(steps, so_far), "gram long, n long")
+        more = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > known)
+        more = more.toArrow()  # at most places * lengths / known
+        grams = np.concatenate([grams, more.column("gram").to_numpy().view(np.uint64)])
+        counts = np.concatenate([counts, more.column("n").to_numpy()])
+    return sc.broadcast(Grams(grams, counts, often))
 
 
-def decompose(words: Words, dictionary: np.ndarray, most: np.ndarray):
-    """(place, word, gram, length, frequent) of the gram at each place; ``most`` bounds the lengths for each word.
+def decompose(words: Words, dictionary: Grams, most: np.ndarray):
+    """(place, word, gram, length, count) of the gram at each place; ``most`` bounds the lengths for each word.
 
-    A gram that is frequent grows to the next length. Where the word ends before that, the gram takes
-    in all up to the end, and counts as frequent.
+    A gram that is frequent grows to the next length. Where the word ends before that, the gram takes in all up to
+    the end. count is what the dictionary knows of the gram, or of the last one that it has grown from.
     """
     place, word = words.places()
     length = np.full(len(place), LENGTHS[0], np.int64)
     gram = words.grams(place, length)
-    frequent = _frequent(dictionary, gram)
-    growing = np.flatnonzero(frequent)
+    count = dictionary.counted(gram)
+    growing = np.flatnonzero(count > dictionary.often)
     for step in LENGTHS[1:]:
         growing = growing[most[word[growing]] >= step]
         left = words.ends[word[growing]] - place[growing]
         length[growing] = np.minimum(left, step)
         gram[growing] = words.grams(place[growing], length[growing])
         growing = growing[left >= step]
-        hit = _frequent(dictionary, gram[growing])
-        frequent[growing] = hit
-        growing = growing[hit]
-    return place, word, gram, length, frequent
+        count[growing] = dictionary.counted(gram[growing])
+        growing = growing[count[growing] > dictionary.often]
+    return place, word, gram, length, count
 
 
-def affected(words: Words, place, word, length) -> np.ndarray:
-    """How many grams of each word one edit can affect: the most that lie over one character."""
-    change = np.zeros(int(words.ends[-1]) + 1 if len(words.ends) else 1, np.int64)
-    np.add.at(change, place, 1)
-    np.add.at(change, place + length, -1)
-    return np.maximum.reduceat(np.cumsum(change), words.starts) if len(words.starts) else change[:0]
+def asked(words: Words, place, word, length, cost) -> np.ndarray:
+    """The two grams of each word that lie apart and cost least together, as indexes into ``place``.
+
+    One edit affects grams over one character only, so at most one of the two.
+    """
+    cost = np.minimum(cost, (1 << 20) - 1).astype(np.int64)
+    end = place + length
+    order = np.lexsort((end, word))
+    # The least cost so far and where, in each word: later words have smaller codes, so the minimum starts anew.
+    code = (-(word[order].astype(np.int64)) << 48) + (cost[order] << 28) + order
+    least = np.minimum.accumulate(code)
+    before = np.searchsorted(end[order], place, side="right") - 1  # ends rise over all words
+    same = (before >= 0) & (word[order[np.maximum(before, 0)]] == word)
+    later = np.flatnonzero(same)
+    found = least[before[later]] + (word[later].astype(np.int64) << 48)
+    earlier, total = found & ((1 << 28) - 1), (found >> 28) + cost[later]
+    pick = np.lexsort((later, total, word[later]))
+    first = np.unique(word[later[pick]], return_index=True)[1]
+    return np.sort(np.concatenate([later[pick][first], earlier[pick][first]]))
 
 
 def _longest(classes: np.ndarray) -> np.ndarray:
@@ -208,95 +234,154 @@ def _longest(classes: np.ndarray) -> np.ndarray:
     return lengths[np.maximum(np.searchsorted(lengths, classes) - 1, 0)]
 
 
-def _post(dictionary, least_length: int):
-    """Words -> postings (class, key, role, often, word, n): role 0 in the class of its length, 1 in the one below."""
+# A longer word is listed at the place of a gram and at the one before: the edit is behind the gram, or before it.
+ASKS, SAME, LONGER, MOVED = 0, 1, 2, 3
+
+
+def _post(dictionary, least_length: int, only_often: bool = False):
+    """Words -> postings (class, key, role, left, right, word, n).
+
+    A word asks in the class of its length with two grams, is listed there with all, and in the class below with
+    all, each once at its own place and once at the one before. left and right are hashes of all up to the gram's
+    end and of all from its start. ``only_often`` leaves just the lists of frequent grams.
+    """
 
     def run(source):
         for batch in batches(source):
-            texts = batch.column(0).to_pylist()
-            words = Words(texts)
-            for role in (0, 1):
-                classes = words.lengths - role
-                place, word, gram, length, frequent = decompose(words, dictionary.value, _longest(classes))
-                few = affected(words, place, word, length) + 1
-                order = np.lexsort((place, gram, frequent, word))
-                place, word, gram, frequent = place[order], word[order], gram[order], frequent[order]
-                first = np.searchsorted(word, np.arange(len(texts)))
-                take = (np.arange(len(word)) - first[word] < few[word]) & (classes[word] >= least_length)
-                place, word, gram, frequent = place[take], word[take], gram[take], frequent[take]
-                for shift in range(role + 1):
-                    at = place - words.starts[word] - shift
-                    key = mix(gram + mix(at.astype(np.uint64) * np.uint64(_BASE) + classes[word].astype(np.uint64)))
+            words = Words(batch.column(0).to_pylist())
+            for role in (SAME, LONGER):
+                classes = words.lengths - (role == LONGER)
+                place, word, gram, length, count = decompose(words, dictionary.value, _longest(classes))
+                often = count > dictionary.value.often
+                used = np.flatnonzero((classes[word] >= least_length) & (often | (not only_often)))
+                takes = [(role, used)]
+                if role == LONGER:
+                    takes.append((MOVED, used))
+                elif not only_often:
+                    takes.append((ASKS, asked(words, place, word, length, _costs(words, place, word, length, count))))
+                for as_role, take in takes:
+                    w, p = word[take], place[take]
+                    at = p - words.starts[w] - (as_role == MOVED)
+                    key = mix(gram[take] + mix(at.astype(np.uint64) * np.uint64(_BASE) + classes[w].astype(np.uint64)))
+                    left = words.grams(words.starts[w], p + length[take] - words.starts[w])
+                    right = words.grams(p, words.ends[w] - p)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(classes[word]),
+                            pa.array(classes[w]),
                             pa.array(key.view(np.int64)),
-                            pa.array(np.full(len(word), role, np.int32)),
-                            pa.array(frequent),
-                            batch.column(0).take(pa.array(word)),
-                            batch.column(1).take(pa.array(word)),
+                            pa.array(np.full(len(w), as_role, np.int32)),
+                            pa.array(left.astype(np.uint32).view(np.int32)),
+                            pa.array(right.astype(np.uint32).view(np.int32)),
+                            batch.column(0).take(pa.array(w)),
+                            batch.column(1).take(pa.array(w)),
                         ],
-                        names=["class", "key", "role", "often", "word", "n"],
+                        names=["class", "key", "role", "left", "right", "word", "n"],
                     )
 
     return run
 
 
-def one_edit(chars: np.ndarray, a: np.ndarray, b: np.ndarray, longer: np.ndarray) -> np.ndarray:
-    """Which pairs of rows of ``chars`` are one edit apart; b has one character more than a where ``longer``."""
-    width = chars.shape[1] - 1
-    hit = np.zeros(len(a), bool)
-    step = max(1, 4_000_000 // (width + 1))
-    for k in range(0, len(a), step):
-        x, y, more = chars[a[k : k + step]], chars[b[k : k + step]], longer[k : k + step]
-        other = x[:, :width] != y[:, :width]
-        near = other.sum(1) == 1
-        if more.any():
-            other = other[more]
-            head = np.where(other.any(1), other.argmax(1), width)
-            other = (x[more, :width] != y[more, 1:])[:, ::-1]
-            tail = np.where(other.any(1), other.argmax(1), width)
-            near[more] = head + tail >= width
-        hit[k : k + step] = near
-    return hit
+def _costs(words: Words, place, word, length, count) -> np.ndarray:
+    """How long the lists of grams are, about: those at either end of a word have one place, others many."""
+    at_end = (place == words.starts[word]) | (place + length == words.ends[word])
+    return np.maximum(count, KNOWN // 2) * np.where(at_end, 6, 1)
+
+
+class Packed:
+    """Words of c characters, and some of c + 1, in whole 64-bit numbers: 8, 4 or 2 characters each, by the largest."""
+
+    def __init__(self, texts: pa.StringArray, c: int):
+        padded = pa.concat_arrays([pc.utf8_rpad(texts, c + 1, "\0")])  # a copy without an offset
+        joined = padded.buffers()[2].to_pybytes().decode("utf-8")
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        self.bits = next(b for b in (8, 16, 32) if int(chars.max(initial=0)) < 1 << b)
+        codes = chars.reshape(-1, c + 1).astype(f"u{self.bits // 8}")
+        own, moved = codes[:, :c], codes[:, 1:]
+        full = -(-c * self.bits // 64) * (64 // self.bits)
+        self.own, self.moved = (
+            np.ascontiguousarray(np.pad(x, ((0, 0), (0, full - c)))).view(np.uint64).T.copy() for x in (own, moved)
+        )
+        one = np.uint64(sum(1 << k for k in range(0, 64, self.bits)))
+        self.high = one << np.uint64(self.bits - 1)
+
+    def _other(self, x: np.ndarray) -> np.ndarray:
+        """The highest bit of each character that is not zero."""
+        rest = ~self.high
+        return (((x & rest) + rest) | x) & self.high
+
+    def replaced(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of words of c characters differ in exactly one."""
+        n = np.zeros(len(a), np.int64)
+        for own in self.own:
+            n += np.bitwise_count(self._other(own[a] ^ own[b]))
+        return n == 1
+
+    def inserted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which words b of c + 1 characters are the words a with one more: all behind the first other one moves by one."""
+        fits, parted = np.ones(len(a), bool), np.zeros(len(a), bool)
+        for own, moved in zip(self.own, self.moved):
+            x = own[a]
+            other, behind = self._other(x ^ own[b]), x ^ moved[b]
+            first = (other & (~other + np.uint64(1))) >> np.uint64(self.bits - 1)
+            fits &= np.where(parted, behind == 0, (other == 0) | (behind < first))
+            parted |= other != 0
+        return fits
 
 
 def _merge(source):
-    """Postings sorted by (class, key, left, right, role) -> pairs of words that are one edit apart."""
+    """Postings sorted by (class, key, part, role) -> pairs of words that are one edit apart.
+
+    One edit leaves all on one side of a gram as it is, so only pairs with an equal side are looked at.
+    """
 
     def pairs(table: pa.Table):
         table = table.combine_chunks()
-        classes = table.column(0).to_numpy()
-        ids = [table.column(i).to_numpy() for i in range(4)]
-        role = table.column(4).to_numpy()
-        text = table.column(5).to_pylist()
+        classes, role = table.column(0).to_numpy(), table.column(3).to_numpy()
         new = np.ones(len(role), bool)
-        new[1:] = np.any([x[1:] != x[:-1] for x in ids], axis=0)
-        end = np.append(np.flatnonzero(new)[1:], len(role))[np.cumsum(new) - 1]
-        for c in np.unique(classes).tolist():
-            rows = np.flatnonzero(classes == c)
-            low = rows[0]
-            joined = "".join([text[r].ljust(c + 1, "\0") for r in rows.tolist()])
-            chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, c + 1)
-            active, d = rows[(role[rows] == 0) & (rows + 1 < end[rows])], 1
-            while len(active):
-                near = one_edit(chars, active - low, active + d - low, role[active + d] == 1)
-                a = active[near]
-                if len(a):
-                    for x, y in ((a, a + d), (a + d, a)):
+        new[1:] = np.any([x[1:] != x[:-1] for x in (table.column(i).to_numpy() for i in range(3))], axis=0)
+        group = np.cumsum(new) - 1
+        # Lists that nobody asks for are left out.
+        used = np.bincount(group, role == ASKS)[group] > 0
+        table, classes, role = table.filter(pa.array(used)), classes[used], role[used]
+        if not len(role):
+            return
+        group = group[used].astype(np.uint64) << np.uint64(32)
+        text = table.column(6).combine_chunks()
+        packs = {}
+        for side, kept in ((4, LONGER), (5, MOVED)):
+            # List and side in one number: those who ask find the listed ones with all equal on that side.
+            code = group | table.column(side).to_numpy().view(np.uint32)
+            listed = np.flatnonzero((role == SAME) | (role == kept))
+            listed = listed[np.argsort(code[listed], kind="stable")]
+            asking = np.flatnonzero(role == ASKS)
+            low = np.searchsorted(code[listed], code[asking], side="left")
+            many = np.searchsorted(code[listed], code[asking], side="right") - low
+            asking, low, many = asking[many > 0], low[many > 0], many[many > 0]
+            for c in np.unique(classes[asking]).tolist():
+                first, last = (int(np.searchsorted(classes, c, x)) for x in ("left", "right"))
+                packed = packs[c] = packs.get(c) or Packed(text.slice(first, last - first), c)
+                own = np.flatnonzero(classes[asking] == c)
+                step = np.cumsum(many[own]) // PAIRS
+                for some in np.split(own, np.flatnonzero(np.diff(step)) + 1):
+                    n = many[some]
+                    a = np.repeat(asking[some], n)
+                    b = listed[np.arange(len(a)) + np.repeat(low[some] - (np.cumsum(n) - n), n)]
+                    more = role[b] == kept
+                    near = np.empty(len(a), bool)
+                    near[~more] = packed.replaced(a[~more] - first, b[~more] - first)
+                    near[more] = packed.inserted(a[more] - first, b[more] - first)
+                    a, b = a[near], b[near]
+                    for x, y in ((a, b), (b, a)) if len(a) else ():
                         x, y = pa.array(x), pa.array(y)
                         yield pa.RecordBatch.from_arrays(
-                            [table.column(5).take(x).combine_chunks(), table.column(5).take(y).combine_chunks()]
-                            + [table.column(6).take(y).combine_chunks()],
+                            [text.take(x), text.take(y), table.column(7).take(y).combine_chunks()],
                             names=["word", "near", "near_n"],
                         )
-                d += 1
-                active = active[active + d < end[active]]
 
     held: list[pa.RecordBatch] = []
     for batch in batches(source):
         # All but the last list are whole; that one waits for the next batch.
-        ids = [batch.column(i).to_numpy() for i in range(4)]
+        ids = [batch.column(i).to_numpy() for i in range(3)]
         last = np.all([x == x[-1] for x in ids], axis=0)
         cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         if cut:
@@ -315,38 +400,28 @@ def near_words(words: DataFrame, least_length: int = 5) -> DataFrame:
 
     ``words(word, n)`` has each word once; all have ``least_length`` (four at least) code points or more.
 
-    Scale: a word is posted under the few rarest of its grams, twice or three times each. A list of a gram that is
-    not frequent has at most as many words as ``gram_dictionary`` calls rare; the others are counted,
-    and cut into blocks of two parts each, so that all pairs meet and no task holds a whole long list.
+    Scale: a word is listed about three times for each of its characters, and asks twice. A list of a gram that is
+    not frequent has at most ``OFTEN`` words, or what ``gram_dictionary`` makes of it; the others are counted,
+    and long ones dealt out in parts, each of which those that ask come to.
     """
     if least_length < LEAST_LENGTH:
         raise ValueError(f"words need {LEAST_LENGTH} code points or more")
     dictionary = gram_dictionary(words)
-    posted = stage(
-        words.select("word", "n").mapInArrow(
-            _post(dictionary, least_length),
-            "class long, key long, role int, often boolean, word string, n long",
-        ),
-        "postings",
-    )
-    lists = posted.filter("often").groupBy("class", "key").agg(F.count("*").alias("m")).filter(F.col("m") > LIST_WORDS)
-    lists = stage(lists.select("class", "key", F.ceil(F.col("m") / LIST_WORDS).cast("long").alias("parts")), "lists")
-    columns = ["class", "key", "left", "right", "role", "word", "n"]
-    rows = posted.withColumns({"left": F.lit(0).cast("long"), "right": F.lit(0).cast("long")}).select(columns)
-    if lists.take(1):
-        part = F.pmod(F.xxhash64("word"), F.col("parts"))
-        blocks = F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("parts") - 1),
-            lambda o: F.struct(F.least(part, o).alias("left"), F.greatest(part, o).alias("right")),
-        )
-        long = posted.join(lists, ["class", "key"]).withColumn("block", F.explode(blocks))
-        long = long.withColumns({"left": F.col("block.left"), "right": F.col("block.right")}).select(columns)
-        rows = rows.join(lists, ["class", "key"], "left_anti").select(columns).union(long)
-    by = ["class", "key", "left", "right"]
-    sorted_rows = rows.repartition(*by).sortWithinPartitions(*by, "role")
-    found = sorted_rows.mapInArrow(_merge, "word string, near string, near_n long").distinct()
-    found = stage(found, "near")
-    discard(posted, lists)
+    schema = "class long, key long, role int, left int, right int, word string, n long"
+    posted = words.select("word", "n").mapInArrow(_post(dictionary, least_length), schema)
+    often = words.select("word", "n").mapInArrow(_post(dictionary, least_length, True), schema)
+    long = often.groupBy("class", "key").agg(F.count("*").alias("m")).filter(F.col("m") > LIST_WORDS)
+    long = stage(long.select("class", "key", F.ceil(F.col("m") / LIST_WORDS).cast("long").alias("parts")), "lists")
+    by = ["class", "key", "part"]
+    rows = posted.withColumn("part", F.lit(0).cast("long"))
+    if long.take(1):
+        last = F.coalesce("parts", F.lit(1)) - 1
+        own = F.pmod(F.xxhash64("word"), last + 1)
+        parts = F.when(F.col("role") == ASKS, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array(own))
+        rows = posted.join(long, ["class", "key"], "left").withColumn("part", F.explode(parts))
+    rows = rows.select(*by, "role", "left", "right", "word", "n").repartition(*by).sortWithinPartitions(*by, "role")
+    found = stage(rows.mapInArrow(_merge, "word string, near string, near_n long").distinct(), "near")
+    discard(long)
     return found
 
 

@@ -77,10 +77,11 @@ def found(df):
     return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
 
 
-@pytest.mark.parametrize("rare,longest_list", [(64, 4096), (3, 4096), (1, 5)])
+@pytest.mark.parametrize("rare,longest_list", [(512, 4096), (1, 5)])
 def test_against_all_pairs(spark, monkeypatch, rare, longest_list):
     """With frequent grams that have to grow, and lists cut into blocks."""
-    monkeypatch.setattr(spelling, "RARE", rare)
+    monkeypatch.setattr(spelling, "OFTEN", rare)
+    monkeypatch.setattr(spelling, "KNOWN", min(rare, 32))
     monkeypatch.setattr(spelling, "LIST_WORDS", longest_list)
     count = vocabulary(rare)
     got = variants(spark.createDataFrame(sorted(count.items()), "word string, n long").repartition(3))
@@ -89,35 +90,34 @@ def test_against_all_pairs(spark, monkeypatch, rare, longest_list):
     assert any(r[1] and r[2] != r[1] for r in expected)
 
 
-def test_every_word_keeps_an_unaffected_gram():
-    """The bound: one edit changes at most as many grams as ``affected`` says, and never all of them."""
+def test_one_asked_gram_is_left_by_every_edit():
+    """The two grams lie apart, and the other word has one of them where an edit can have moved it."""
     import numpy as np
 
     rng = random.Random(4)
-    texts = list(vocabulary(11, 200))
+    texts = [t for t in vocabulary(11, 200) if len(t) < 40]
     words = spelling.Words(texts)
-    frequent = np.unique(np.concatenate([words.grams(p[0][p[0] + k <= words.ends[p[1]]], k) for k in (3, 4, 5) for p in [words.places()]]))
+    parts = [words.grams(p[0][p[0] + k <= words.ends[p[1]]], k) for k in (3, 4, 5) for p in [words.places()]]
+    known = spelling.Grams(*np.unique(np.concatenate(parts), return_counts=True), 1)
 
     def grams(text, most):
         one = spelling.Words([text])
-        place, word, gram, length, _ = spelling.decompose(one, frequent, np.array([most]))
-        return sorted(gram.tolist()), int(spelling.affected(one, place, word, length)[0])
+        place, word, gram, length, count = spelling.decompose(one, known, np.array([most]))
+        ask = spelling.asked(one, place, word, length, spelling._costs(one, place, word, length, count))
+        return list(zip(place.tolist(), gram.tolist(), (place + length).tolist())), ask.tolist()
 
-    for text in texts[:150]:
+    for text in texts:
         at = rng.randrange(len(text))
         for other in (text[:at] + text[at + 1 :], text[:at] + "x" + text[at:], text[:at] + "x" + text[at + 1 :]):
-            c = min(len(text), len(other))
-            if c < 4:
+            short, long = sorted((text, other), key=len)
+            if len(short) < 5:
                 continue
-            most = int(spelling._longest(np.array([c]))[0])
-            (x, bound), (y, _) = grams(text, most), grams(other, most)
-            assert bound < len(x)
-            assert len(set(x) & set(y)) > 0
-            left = list(x)
-            for g in y:
-                if g in left:
-                    left.remove(g)
-            assert len(left) <= bound
+            most = int(spelling._longest(np.array([len(short)]))[0])
+            (own, ask), (listed, _) = grams(short, most), grams(long, most)
+            first, second = (own[i] for i in ask)
+            assert first[2] <= second[0] or second[2] <= first[0]
+            places = {(p - shift, g) for p, g, _ in listed for shift in range(len(long) - len(short) + 1)}
+            assert {first[:2], second[:2]} & places
 
 
 def test_words_of_a_corpus(spark):
@@ -141,6 +141,27 @@ def test_long_chains_of_forms(spark):
     assert got == {w: "w37" for w, _ in chain}
 
 
+@pytest.mark.parametrize("letters", ["ab", "abé" + "".join(chr(0x4E00 + k) for k in range(300))])
+@pytest.mark.parametrize("c", [5, 8, 9, 17])
+def test_packed_words(letters, c):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(c)
+    texts = []
+    for _ in range(400):
+        base = rng.choice(texts)[:c] if texts and rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(c))
+        at = rng.randrange(c)
+        base = base.ljust(c, "a")
+        texts.append(rng.choice([base[:at] + rng.choice(letters) + base[at + 1 :], base[:at] + rng.choice(letters) + base[at:]]))
+    packed = spelling.Packed(pa.array(texts), c)
+    a, b = (x.ravel() for x in np.meshgrid(*[[i for i, t in enumerate(texts) if len(t) == k] for k in (c, c)]))
+    assert packed.replaced(a, b).tolist() == [one_edit(texts[i], texts[j]) for i, j in zip(a, b)]
+    a, b = (x.ravel() for x in np.meshgrid(*[[i for i, t in enumerate(texts) if len(t) == k] for k in (c, c + 1)]))
+    expected = [one_edit(texts[i], texts[j]) for i, j in zip(a, b)]
+    assert packed.inserted(a, b).tolist() == expected and any(expected)
+
+
 def test_short_words_are_refused(spark):
     with pytest.raises(ValueError):
         variants(spark.createDataFrame([("abc", 3)], "word string, n long"), least_length=3)
