@@ -76,24 +76,23 @@ class LineRuns:
         self.levels = []
 
 
-def drop_frequent_lines(
+def cut_frequent_lines(
     docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 3
 ) -> DataFrame:
-    """Each row of ``docs`` with all its columns, and kept_text, n_lines, n_dropped.
+    """(row, cut) for each row of ``docs``: its columns as one struct, and kept_text, n_lines, n_dropped as another.
 
     A line goes if its key (blanks stripped at both ends, A-Z lower-cased) has at least
     ``min_chars`` code points and at least ``min_docs`` documents have it. The result does not
     depend on ``n_batches`` and ``fanout``.
 
     Defined cases: null and empty texts have one empty line. Rows with the same doc_id are
-    one document, also those with a null doc_id, and lose their lines all the same. Columns
-    with other names, even n_lines, are replaced only if they have one of the three names above.
+    one document, also those with a null doc_id, and lose their lines all the same. Other columns are
+    carried inside of the struct, whatever their names.
 
     Scale: hashes are moved, and texts once to meet the hashes they lose. Counts are summed
     before they are shuffled; the join of lines with frequent keys is one that Spark
     splits where a key is hot.
     """
-    base = docs.drop("kept_text", "n_lines", "n_dropped")
     keys = plain(docs, "doc_id", "text").select(
         "doc_id",
         F.explode(
@@ -119,19 +118,31 @@ def drop_frequent_lines(
     )
     hit = stage(hit, "hits")
     discard(keys, frequent)
-    lines = lines_of(F.col("text"))
-    left = F.filter(lines, lambda x: ~F.array_contains(F.col("frequent_keys"), key_hashes(line_key(x))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Always by shuffle: a broadcast at small sizes would say nothing about large ones.
-    joined = base.join(hit.hint("merge"), base["doc_id"].eqNullSafe(hit["doc"]), "left")
-    return (
-        joined.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("kept_lines", F.when(F.col("frequent_keys").isNotNull(), left))
-        .withColumn(
-            "kept_text",
-            F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(
-                F.coalesce(F.col("text"), F.lit(""))
-            ),
-        )
-        .withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("kept_lines"), F.lit(0)).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in base.columns], "kept_text", "n_lines", "n_dropped")
+    joined = rows.join(hit.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("doc")), "left")
+    text = F.coalesce("row.text", F.lit(""))
+    lines = lines_of(text)
+    left = F.filter(lines, lambda x: ~F.array_contains(F.col("frequent_keys"), key_hashes(line_key(x))))
+    cut = F.struct(
+        F.coalesce(F.array_join("left", "\n"), text).alias("kept_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(F.col("left").isNotNull(), F.size(lines) - F.size("left")).otherwise(0).cast("long").alias("n_dropped"),
+    )
+    joined = joined.select("row", F.when(F.col("frequent_keys").isNotNull(), left).alias("left"))
+    return joined.select("row", cut.alias("cut"))
+
+
+def drop_frequent_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 3
+) -> DataFrame:
+    """Each row of ``docs`` with all its columns, and kept_text, n_lines, n_dropped of ``cut_frequent_lines``.
+
+    Columns of docs that have one of these three names are replaced; all others stay as they are.
+    """
+    cut = cut_frequent_lines(docs, min_docs, min_chars, n_batches, fanout)
+    new = ("kept_text", "n_lines", "n_dropped")
+    return cut.select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new],
+        *[F.col(f"cut.{c}").alias(c) for c in new],
     )

@@ -39,6 +39,18 @@ def test_lines(spark):
     assert any(d for *_, d, _ in expected)
 
 
+def test_lines_carry_columns_named_as_inner_ones(spark):
+    names = ["kept_lines", "frequent_keys", "doc", "row", "cut", "left", "a", "b", "k", "n", "part"]
+    rows = rows_of(40)
+    docs = spark.createDataFrame(
+        [(r[0], r[1], *[f"{c} {i}" for c in names], 7) for i, r in enumerate(rows)],
+        "doc_id long, text string, " + ", ".join(f"{c} string" for c in names) + ", n_dropped int",
+    )
+    got = drop_frequent_lines(docs, min_docs=10)
+    assert got.columns == ["doc_id", "text", *names, "kept_text", "n_lines", "n_dropped"]
+    assert {tuple(r[c] for c in names) for r in got.collect()} == {tuple(r[c] for c in names) for r in docs.collect()}
+
+
 def brute_windows(rows, size):
     first = {}
     for i, t, *_ in rows:
