@@ -170,6 +170,32 @@ def manifest_missing(spark, sf):
     return m.missing_files(entries, files).select("line_no", "entry", "entry_path")
 
 
+@query(
+    "manifest_problems",
+    _SUPPLIERS
+    + """, files as (select 'root/set/' || s_name || '.pdb' as path, 'set/' || s_name || '.pdb' as tail, s_suppkey % 7 = 0 as hollow
+      from supplier where s_acctbal > 0
+      union all select 'other/set/' || s_name || '.pdb', 'set/' || s_name || '.pdb', false from supplier where s_suppkey % 5 = 0),
+    met as (select e.line_no, count(f.path) as n, count(f.path) filter (where f.path = e.entry_path) as same,
+      bool_or(f.hollow) filter (where f.path = e.entry_path) as same_hollow, bool_or(f.hollow) as hollow
+      from entries e left join files f on f.tail = regexp_extract(e.entry_path, '(set/[^/]*)$', 1) group by 1)
+    select line_no, entry, entry_path, problem from (select e.line_no, entry, entry_path,
+      case when n = 0 then 'absent' when same = 1 then case when same_hollow then 'empty' end
+      when n > 1 then 'ambiguous' when hollow then 'empty' end as problem
+      from entries e join met using (line_no)) where problem is not null""",
+)
+def manifest_problems(spark, sf):
+    """Listed files that are not there, of which there are several that may be meant, or that have no content."""
+    entries = m.parse_manifest(manifest_lines(spark, sf, "supplier"), parent=F.lit("root/lists"))
+    suppliers = v.table(spark, sf, "supplier")
+    name = F.concat(F.lit("set/"), "s_name", F.lit(".pdb"))
+    length = F.when(F.col("s_suppkey") % 7 == 0, 0).otherwise(F.col("s_suppkey")).cast("long").alias("length")
+    files = suppliers.filter("s_acctbal > 0").select(F.concat(F.lit("root/"), name).alias("path"), length)
+    others = suppliers.filter("s_suppkey % 5 = 0").select(F.concat(F.lit("other/"), name).alias("path"), F.lit(1).cast("long").alias("length"))
+    found = st.matched_files(entries, files.union(others)).filter("problem is not null")
+    return found.select("line_no", "entry", "entry_path", "problem")
+
+
 @query(
     "manifest_semijoin",
     _SUPPLIERS
@@ -285,18 +311,32 @@ def feature_scan(spark, sf):
     return t.feature_scan(spark, path, FEATURE_LIKE).withColumnRenamed("chem.atoms", "chem_atoms")
 
 
-@query("feature_discovery", f"select distinct 's' || f || '.pdb_features.csv' as base_name from ({v.POINTS})")
+def add_empty_files(spark, folder):
+    """Adds a feature file without content, as Spark writes a table without rows."""
+    nothing = spark.createDataFrame([], "line string")
+    nothing.write.text(f"{folder}/2/hollow.pdb_features.csv")
+    return folder
+
+
+@query(
+    "feature_discovery",
+    f"""select distinct 's' || f || '.pdb_features.csv' as base_name, false as hollow from ({v.POINTS})
+    union all select 'hollow.pdb_features.csv', true""",
+)
 def feature_discovery(spark, sf):
-    return t.feature_discovery(spark, write_feature_files(spark, sf)).select("base_name")
+    """Files of all structures, and one without content."""
+    found = t.feature_discovery(spark, add_empty_files(spark, write_feature_files(spark, sf)))
+    return found.select("base_name", (F.col("length") == 0).alias("hollow"))
 
 
 @query(
     "feature_file_validity",
     f"""select distinct 's' || f || '.pdb_features.csv' as base_name, case when f % 2 = 1 then 'chem.atoms' else '' end as problem,
-    f % 2 = 0 as valid from ({v.POINTS})""",
+    f % 2 = 0 as valid from ({v.POINTS}) union all select 'hollow.pdb_features.csv', 'empty file', false""",
 )
 def feature_file_validity(spark, sf):
-    return t.file_validity(spark, write_feature_files(spark, sf), [*k.FILE_COLUMNS, "chem.atoms"])
+    folder = add_empty_files(spark, write_feature_files(spark, sf))
+    return t.file_validity(spark, folder, [*k.FILE_COLUMNS, "chem.atoms"])
 
 
 @query("combine_features", f"""select * replace (case when (substr(file_name, 2, length(file_name) - 5)::int) % 2 = 0 then "chem_atoms" end as "chem_atoms") from ({_POINT_ROWS})""")

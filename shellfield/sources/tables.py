@@ -14,11 +14,12 @@ from shellfield import schemas
 from shellfield.functions import constants as k
 from shellfield.functions.scalars import feature_file, strip
 from shellfield.session import release, scratch_path, small_table, stage
-from shellfield.sources.lines import listing, read_lines
+from shellfield.sources.lines import first_lines, listing, read_lines
 
 # A feature file, or one part of a feature file written as a folder.
 FEATURE_PATH = r"([^/=]*_features\.csv)(?:/part-[^/]*)?$"
 
+
 def property_scan(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
     """Property CSV with blanks after commas; keys trimmed, only ``columns`` read."""
     raw = spark.read.csv(path, header=True, schema=schema, ignoreLeadingWhiteSpace=True)
@@ -56,9 +57,9 @@ def feature_scan(
 
 
 def feature_discovery(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature files below ``folder``, single files or folders of parts.
+    """Feature files below ``folder``, single files or folders of parts, with their number of parts and length.
 
-    Spark lists no files of zero length, so an empty file counts as absent.
+    Files without content are listed as well, with a length of 0.
     """
     files = listing(spark, folder).withColumn("base_name", _feature_name(F.col("path")))
     return files.filter("base_name != ''").groupBy("base_name").agg(
@@ -99,12 +100,25 @@ def _lacking(required: Sequence[str]) -> Column:
     return F.array_except(F.array(*[F.lit(c) for c in required]), F.col("names"))
 
 
+# Fixed value: the problem of a feature file without content.
+EMPTY = "empty file"
+
+
 def file_validity(spark: SparkSession, folder: str, required: Sequence[str] = k.FILE_COLUMNS) -> DataFrame:
-    """Every feature file with ``valid`` and ``problem``, the required columns it lacks."""
-    headers = _headers(_feature_lines(spark, folder))
+    """Every feature file with ``valid`` and ``problem``: the required columns it lacks, or that it is empty.
+
+    Only the heads of the files are read. Of a file in parts, parts without content count for nothing.
+    """
+    files = listing(spark, folder).withColumn("base_name", _feature_name(F.col("path"))).filter("base_name != ''")
+    files = stage(files.select("path", "length", "base_name"), "files")
+    names = F.transform(F.split(F.col("line"), ","), lambda c: _known_as(F.btrim(c, F.lit(' "\r'))))
+    heads = first_lines(spark, files.filter("length > 0")).select("path", names.alias("names"))
     lacking = F.array_join(F.array_sort(_lacking(required)), ",")
-    parts = headers.select(_feature_name(F.col("path")).alias("base_name"), lacking.alias("problem"))
-    return parts.groupBy("base_name").agg(F.max("problem").alias("problem")).withColumn("valid", F.col("problem") == "")
+    parts = files.join(heads.select("path", lacking.alias("lacking")), "path", "left")
+    parts = parts.groupBy("base_name").agg(F.max("lacking").alias("lacking"))
+    return parts.select("base_name", F.coalesce("lacking", F.lit(EMPTY)).alias("problem")).withColumn(
+        "valid", F.col("problem") == ""
+    )
 
 
 def combine_features(

@@ -1,10 +1,11 @@
 """A whole run over files, and a second run that skips what is done."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shellfield.functions import scalars
 from shellfield.plans.dataset import extract_dataset
-from shellfield.sources import manifest, structures
+from shellfield.sources import lines, manifest, structures, tables
 from shellfield.streaming.ingest import stream_features
 from tests.records import line
 from tests.test_features import small_structure
@@ -59,6 +60,128 @@ def test_files_with_one_base_name(spark, tmp_path):
     assert {r.file_name for r in two.select("file_name").distinct().collect()} == {"x.pdb"}
 
 
+def layout(tmp_path, names):
+    for name in names:
+        (tmp_path / "pdb" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "pdb" / name).write_text("\n".join(small_structure()))
+
+
+def test_a_wrong_path_reads_no_other_structure(spark, tmp_path):
+    layout(tmp_path, ["a/x.pdb", "b/x.pdb", "b/y.pdb"])
+    (tmp_path / "pdb/b/hollow.pdb").write_text("")
+    (tmp_path / "one.ds").write_text("nowhere/x.pdb\n../else/b/x.pdb\nold/y.pdb\npdb/b/hollow.pdb\npdb/z.pdb\n")
+    run = extract_dataset(spark, str(tmp_path / "one.ds"), str(tmp_path / "pdb"), str(tmp_path / "out"))
+    assert {(r.entry, r.problem) for r in run.missing.collect()} == {
+        ("nowhere/x.pdb", "ambiguous"),
+        ("pdb/b/hollow.pdb", "empty"),
+        ("pdb/z.pdb", "absent"),
+    }
+    read = {r.path.split("/pdb/")[1] for r in spark.read.parquet(str(tmp_path / "out/processed")).collect()}
+    assert read == {"b/x.pdb", "b/y.pdb"}
+
+
+def test_runs_go_by_path(spark, tmp_path):
+    layout(tmp_path, ["a/x.pdb", "b/x.pdb"])
+    (tmp_path / "one.ds").write_text("pdb/a/x.pdb\n")
+    (tmp_path / "two.ds").write_text("pdb/a/x.pdb\npdb/b/x.pdb\n")
+    one = extract_dataset(spark, str(tmp_path / "one.ds"), str(tmp_path / "pdb"), str(tmp_path / "out")).features.count()
+    for _ in range(2):
+        again = extract_dataset(spark, str(tmp_path / "two.ds"), str(tmp_path / "pdb"), str(tmp_path / "out"), skip_existing=True)
+        assert again.features.count() == 2 * one
+
+
+@pytest.mark.parametrize("skip", [True, False])
+def test_a_run_that_fails_midway_is_repeated(spark, tmp_path, monkeypatch, skip):
+    """Features and rejects are written, then the run ends: the next one has every row once."""
+    folder, out = tmp_path / "pdb", str(tmp_path / "out")
+    folder.mkdir()
+    for name in ("a.pdb", "b.pdb"):
+        (folder / name).write_text("\n".join([*small_structure(), line(x="2d")]))
+    (tmp_path / "one.ds").write_text("pdb/a.pdb\n")
+    (tmp_path / "two.ds").write_text("pdb/a.pdb\npdb/b.pdb\n")
+    one = extract_dataset(spark, str(tmp_path / "one.ds"), str(folder), out).features.count()
+
+    write = tables.write_features
+
+    def fails(df, path, **options):
+        write(df, path, **options)
+        raise OSError("lost")
+
+    monkeypatch.setattr(tables, "write_features", fails)
+    with pytest.raises(OSError):
+        extract_dataset(spark, str(tmp_path / "two.ds"), str(folder), out, skip_existing=skip)
+    monkeypatch.undo()
+    kept = {r.base_name for r in spark.read.parquet(f"{out}/processed").collect()}
+    assert kept == {"a.pdb"}
+    run = extract_dataset(spark, str(tmp_path / "two.ds"), str(folder), out, skip_existing=skip)
+    assert run.features.count() == 2 * one
+    assert run.rejected.count() == 2
+
+
+@pytest.mark.parametrize("paths,share", [(1, 0.5), (2, 9.9), (100, 0.5)])
+def test_batches_and_scans_read_the_same(spark, tmp_path, monkeypatch, paths, share):
+    layout(tmp_path, [f"{d}/{n} +%20[1].pdb" for d in "abc" for n in "xyz"])
+    (tmp_path / "pdb/a/hollow.pdb").write_text("")
+    files = tables.listing(spark, str(tmp_path / "pdb"), "*.pdb")
+    assert files.count() == 10 and files.filter("length = 0").count() == 1
+    listed = files.filter("path not like '%/c/%'")
+    expected = sorted(tuple(r) for r in structures.read_files(spark, listed).drop("line_no").collect())
+    monkeypatch.setattr(structures, "BATCH_PATHS", paths)
+    monkeypatch.setattr(structures, "SCAN_SHARE", share)
+    got = structures.read_files(spark, listed, files, str(tmp_path / "pdb"))
+    assert sorted(tuple(r) for r in got.drop("line_no").collect()) == expected and expected
+
+
+def test_first_lines_read_heads_only(spark, tmp_path, monkeypatch):
+    import gzip
+
+    (tmp_path / "long.csv").write_text("a,b\r\n" + "1,2\n" * 400_000)
+    (tmp_path / "wide.csv").write_text("c" * 300_000 + "\n1")
+    (tmp_path / "one é.csv").write_text("é")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\nx\n")
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(b"q,r\n" + b"1,2\n" * 1000))
+    files = tables.listing(spark, str(tmp_path))
+    expected = {("long.csv", "a,b"), ("wide.csv", "c" * 300_000), ("one é.csv", "é"), ("blank.csv", ""), ("z.csv.gz", "q,r")}
+    assert {(r.path.rsplit("/", 1)[1], r.line) for r in lines.first_lines(spark, files).collect()} == expected
+    plan = lines.first_lines(spark, files.select("path"))._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan
+    monkeypatch.setattr(lines, "OPENED", ())
+    assert {(r.path.rsplit("/", 1)[1], r.line) for r in lines.first_lines(spark, files).collect()} == expected
+
+
+def test_a_head_does_not_grow_with_its_file(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    (tmp_path / "long.csv").write_text("a,b\n" + "1,2\n" * 400_000)
+    read = []
+
+    class Counted(lines.fs.LocalFileSystem):
+        def open_input_stream(self, *args, **options):
+            stream = super().open_input_stream(*args, **options)
+
+            class Stream:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *failure):
+                    stream.close()
+
+                def read(self, n):
+                    read.append(n)
+                    return stream.read(n)
+
+            return Stream()
+
+    class System:
+        LocalFileSystem = Counted
+
+    monkeypatch.setattr(lines, "fs", System)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"file:{tmp_path}/long.csv"])], names=["path"])
+    assert [b.to_pylist() for b in lines._heads(1000)(iter([batch]))] == [[{"path": f"file:{tmp_path}/long.csv", "line": "a,b"}]]
+    assert read == [1000]
+
+
 def test_stream_keeps_rejects(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
