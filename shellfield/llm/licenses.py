@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of all templates. A text is streamed through it: after
 each word the state gives the longest run of license words that ends there (its matching
-statistic). Long matches of one template that lie close together and in order are
-chained, and a chain that covers enough of the template is a license span.
+statistic), and the state and its suffix links all places in templates that have this run or the end of it. Runs that the
+next word does not continue are matches. Of the matches of one template those that lie close together and in order and
+cover most of it are chained, and a chain that covers enough is a license span.
 """
 
 from __future__ import annotations
@@ -77,6 +78,31 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 
+# What follows on the first part of a notice in its license; the notice as a whole is a template too.
+CONTINUED = {
+    6: "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+    "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
+    "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    1: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+    "You should have received a copy of the GNU General Public License along with this program. If not, see "
+    "<https://www.gnu.org/licenses/>.",
+    2: "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more "
+    "details. You should have received a copy of the GNU Lesser General Public License along with this library.",
+    4: "See the License for the specific language governing permissions and limitations under the License.",
+    7: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+    "disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+    "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    8: "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+}
+assert [TEMPLATES[k][0] for k in CONTINUED] == ["mit", "gpl", "lgpl", "apache", "bsd", "isc"]
+TEMPLATES += tuple((TEMPLATES[k][0], f"{TEMPLATES[k][1]} {rest}") for k, rest in CONTINUED.items())
+
 LEAST_MATCH = 3  # words of a match that may be part of a chain
 MOST_GAP = 6  # words between two matches of a chain
 LEAST_COVERED = 0.6  # of a template, by a chain
@@ -92,8 +118,8 @@ def words(text: bytes) -> list[bytes]:
 class LicenseAutomaton:
     """Suffix automaton of several word sequences.
 
-    States have a length, a suffix link and edges by word; ``at`` gives one place (template,
-    end) of a state, ``where`` every template that has its words, with the end there.
+    States have a length, a suffix link and edges by word; ``where`` gives the places (template, end) whose longest run
+    in the automaton is the state's. The ends of that run, which its suffix links have, are at the same places.
     """
 
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
@@ -106,21 +132,21 @@ class LicenseAutomaton:
         self.phrase_sizes = [len(p) for p in named]
         self.edges: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.where: list[dict[int, int]] = [{}]
-        for number, text in enumerate(texts + named):
-            last, path = 0, []
+        for text in texts + named:
+            last = 0
             for w in text:
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary) + 1))
-                path.append(last)
-            if number < len(texts):
-                self._mark(number, [self.vocabulary[w] for w in text])
+        self.texts = [[self.vocabulary[w] for w in text] for text in texts]
+        # After the last word is in: states that a later one has split off have their places too.
+        self.where: list[list[tuple[int, int]]] = [[] for _ in self.length]
+        for number, text in enumerate(self.texts):
+            self._mark(number, text)
         self.phrases = self._suffix_phrases([[self.vocabulary[w] for w in p] for p in named])
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
         self.edges.append(edges)
-        self.where.append({})
         return len(self.length) - 1
 
     def _extend(self, last: int, word: int) -> int:
@@ -146,15 +172,24 @@ class LicenseAutomaton:
         return copy
 
     def _mark(self, number: int, text: list[int]) -> None:
-        """Notes in every state on the way of a template where the template has its words."""
+        """Notes each place of a template in all states whose runs end there."""
         state = 0
         for end, word in enumerate(text, 1):
-            state = self.edges[state][word]
-            up = state
+            state = up = self.edges[state][word]
             while up > 0:
-                self.where[up].setdefault(number, end)
+                self.where[up].append((number, end))
                 up = self.link[up]
 
+    def places(self, state: int, length: int, least: int) -> dict[tuple[int, int], int]:
+        """The template places where the last words of a run stand, ``least`` at least, each with how many do."""
+        found: dict[tuple[int, int], int] = {}
+        while state > 0 and length >= least:
+            for place in self.where[state]:
+                found.setdefault(place, length)
+            state = self.link[state]
+            length = self.length[state]
+        return found
+
     def _suffix_phrases(self, named: list[list[int]]) -> list[list[int]]:
         """For each state the phrases that its longest run ends with."""
         own: dict[int, list[int]] = {}
@@ -204,41 +239,59 @@ class Scanner:
         places: list[tuple[int, int]] = []
         matches: list[tuple[int, int, int, int]] = []  # template, start, end, start in the template
         for start, end in self.runs(ids):
-            before = (0, 0)
-            for at, state, length in a.stream(ids[start:end].tolist()):
+            own = ids[start:end].tolist()
+            for at, state, length in a.stream(own):
                 for phrase in a.phrases[state]:
                     if a.phrase_sizes[phrase] <= length:
                         places.append((start + at + 1 - a.phrase_sizes[phrase], phrase))
-                if before[1] >= self.least_match and length <= before[1]:  # the run of the word before was maximal
-                    matches += self._matches(start + at, *before)
-                before = (state, length)
-            if before[1] >= self.least_match:
-                matches += self._matches(end, *before)
+                if length < self.least_match:
+                    continue
+                following = own[at + 1] if at + 1 < len(own) else 0
+                for (template, stop), n in a.places(state, length, self.least_match).items():
+                    text = a.texts[template]
+                    if stop == len(text) or text[stop] != following:
+                        matches.append((template, start + at + 1 - n, start + at + 1, stop - n))
         return places, self._chains(matches)
 
-    def _matches(self, end: int, state: int, length: int):
-        return [(t, end - length, end, stop - length) for t, stop in self.automaton.where[state].items()]
-
     def _chains(self, matches):
         spans = []
-        for template in {m[0] for m in matches}:
+        by_template: dict[int, list[tuple[int, int, int]]] = {}
+        for template, *match in matches:
+            by_template.setdefault(template, []).append(tuple(match))
+        for template, mine in by_template.items():
             size = self.automaton.sizes[template]
-            mine = sorted((m[1:] for m in matches if m[0] == template))
-            chain: list[tuple[int, int, int]] = []  # start, end, start in the template
-            for start, end, there in [*mine, (1 << 60, 1 << 60, 0)]:
-                if chain:
-                    last = chain[-1]
-                    reached = last[2] + last[1] - last[0]
-                    over = max(0, last[1] - start, reached - there)  # words that both matches have
-                    if start + over - last[1] <= self.most_gap and over < end - start and there + over >= reached:
-                        chain.append((start + over, end, there + over))
-                        continue
-                    covered = sum(c[1] - c[0] for c in chain) / size
-                    if covered >= self.least_covered:
-                        spans.append((chain[0][0], chain[-1][1], self.automaton.labels[template], min(1.0, covered)))
-                chain = [(start, end, there)]
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted(self._best(sorted(mine)), key=lambda c: (-c[0], c[1], c[2])):
+                if covered / size < self.least_covered:
+                    break
+                if all(end <= s or start >= e for s, e in taken):
+                    taken.append((start, end))
+                    spans.append((start, end, self.automaton.labels[template], covered / size))
         return sorted(spans)
 
+    def _best(self, mine: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """For each match (start, end, start in the template) the words that the best chain up to it covers, and its ends.
+
+        A match follows on another that starts before it, here and in the template, and ends at most ``most_gap``
+        words before it starts; words that both have count once.
+        """
+        best: list[tuple[int, int, int]] = []
+        near = 0
+        reach = np.maximum.accumulate([end for _, end, _ in mine]).tolist()
+        for i, (start, end, there) in enumerate(mine):
+            while reach[near] + self.most_gap < start:  # neither this match nor any before it comes near
+                near += 1
+            choice = (end - start, start, end)
+            for j in range(near, i):
+                s, e, t = mine[j]
+                over = max(0, e - start, t + e - s - there)
+                if s < start and t < there and e < end and start - e <= self.most_gap and over < end - start:
+                    covered = best[j][0] + end - start - over
+                    if covered > choice[0]:
+                        choice = (covered, best[j][1], end)
+            best.append(choice)
+        return best
+
 
 def _scan(automaton, least_match: int, most_gap: int, least_covered: float):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("covered", pa.float64())])

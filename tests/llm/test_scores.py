@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from shellfield.llm import lm, quality
-from shellfield.llm.licenses import PHRASES, LicenseAutomaton, Scanner, scan_licenses, words as license_words
+from shellfield.llm.licenses import PHRASES, TEMPLATES, LicenseAutomaton, Scanner, scan_licenses, words as license_words
 from tests.llm.corpus import SCHEMA, frame, rows_of, text_of, words
 
 
@@ -252,6 +252,74 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_spans(own, least_match=3, most_gap=6, least_covered=0.6):
+    """All common runs of a text and each template by comparing every pair of places, and every chain of them."""
+    spans = []
+    for label, template in TEMPLATES:
+        theirs = license_words(template.encode())
+        runs = []
+        for p in range(len(own)):
+            for q in range(len(theirs)):
+                if own[p] == theirs[q] and (p == 0 or q == 0 or own[p - 1] != theirs[q - 1]):
+                    n = 0
+                    while p + n < len(own) and q + n < len(theirs) and own[p + n] == theirs[q + n]:
+                        n += 1
+                    if n >= least_match:
+                        runs.append((p, p + n, q))
+        runs.sort()
+        chains = {}
+
+        def chain(i):
+            if i not in chains:
+                s, e, t = runs[i]
+                chains[i] = (e - s, s, e)
+                for j, (s0, e0, t0) in enumerate(runs):
+                    over = max(0, e0 - s, t0 + e0 - s0 - t)
+                    if s0 < s and t0 < t and e0 < e and s - e0 <= most_gap and over < e - s:
+                        n = chain(j)[0] + e - s - over
+                        if n > chains[i][0]:
+                            chains[i] = (n, chain(j)[1], e)
+            return chains[i]
+
+        taken = []
+        for n, s, e in sorted((chain(i) for i in range(len(runs))), key=lambda c: (-c[0], c[1], c[2])):
+            if n / len(theirs) >= least_covered and all(e <= a or s >= b for a, b in taken):
+                taken.append((s, e))
+                spans.append((s, e, label, n / len(theirs)))
+    return sorted(spans)
+
+
+def test_changed_notices(spark):
+    """Every 4th, 6th or 8th word of a notice changed: label and score of all common runs in their best chain."""
+    rows = []
+    for label, notice in TEMPLATES:
+        for every in (0, 4, 6, 8):
+            own = notice.split()
+            own = ["other" if every and i % every == every - 1 else w for i, w in enumerate(own)]
+            rows.append((len(rows), "Some words before. " + " ".join(own) + " And some after.", label, every))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, label string, every int")).collect()}
+    for i, text, label, every in rows:
+        expected = brute_spans(license_words(text.encode()))
+        assert [(s.start, s.end, s.label, s.covered) for s in got[i].spans] == expected, (label, every)
+        assert got[i].score == max((s[3] for s in expected), default=0)
+        if every == 0:
+            assert label in got[i].labels.split(",") and got[i].score == 1
+        if every in (6, 8) and len(text.split()) > 30:
+            assert label in got[i].labels.split(","), (label, every)
+    gpl = [got[i].score for i, _, label, every in rows if label == "gpl" and every == 4 and len(rows[i][1].split()) > 30]
+    assert gpl and min(gpl) > 0.6
+
+
+def test_a_long_notice_is_one_span(spark):
+    """Also where a run of it comes twice."""
+    notice = max((t for label, t in TEMPLATES if label == "apache"), key=len)
+    got = scan_licenses(spark.createDataFrame([(1, notice), (2, f"{notice} x y z u v w a b c {notice}")], "doc_id long, text string"))
+    whole = {r.doc_id: [s for s in r.spans if s.covered == 1 and s.end - s.start > 50] for r in got.collect()}
+    size = len(license_words(notice.encode()))
+    assert {(s.start, s.end) for s in whole[1]} >= {(0, size)}
+    assert {(s.start, s.end) for s in whole[2]} >= {(0, size), (size + 9, 2 * size + 9)}
+
+
 def test_matching_statistics():
     """The automaton's lengths are those of a search for each run in every template."""
     import random
