@@ -91,6 +91,11 @@ def hash_below(share: float, seed: str, *keys: Column) -> Column:
     return F.substring(hash_order(seed, *keys), 1, 8) < F.lit(f"{int(share * 2**32):08x}")
 
 
+def hash_unit(seed: str, *keys: Column) -> Column:
+    """A uniform number from 0 up to 1 that the key decides."""
+    return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+
+
 def present(name: str) -> Column:
     """A numeric column as doubles, with NaN as null: both are missing."""
     return F.nanvl(F.col(f"`{name}`").cast("double"), F.lit(None).cast("double"))

@@ -52,7 +52,7 @@ class ForestSettings:
         return cls(**given)
 
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     # Vector columns cannot be assembled from dotted names.
     plain = df.withColumns({f"_f{i}": F.col(f"`{c}`").cast("double") for i, c in enumerate(features)})
     names = [f"_f{i}" for i in range(len(features))]
@@ -66,17 +66,24 @@ def train(
     settings: ForestSettings = ForestSettings(),
     trees: int = 0,
     spread: int = 0,
+    times: str | None = None,
 ) -> RandomForestClassificationModel:
     """A forest on all rows of ``df``.
 
+    ``times`` is a column that says how often each row counts; trees then get all rows instead of samples.
+
     ``spread`` is the number of parts to train on; set it where the input has fewer
     parts than there are cores, such as a single small file.
     """
-    rows = _assembled(df.withColumn("_label", F.col(f"`{label}`").cast("double")), features)
+    rows = assembled(df.withColumn("_label", F.col(f"`{label}`").cast("double")), features)
     weight = {}
     if settings.class_weight:
         rows = with_class_weight(rows, class_weights(df, label), label, "_weight")
         weight = {"weightCol": "_weight"}
+    if times:
+        own = F.col(f"`{times}`").cast("double")
+        rows = rows.withColumn("_weight", F.col("_weight") * own if weight else own)
+        weight = {"weightCol": "_weight"}
     tried = settings.features or 6
     forest = RandomForestClassifier(
         featuresCol="_features",
@@ -85,7 +92,7 @@ def train(
         maxDepth=min(settings.depth, DEEPEST) if settings.depth else DEEPEST,
         featureSubsetStrategy=str(min(tried, len(features))),
         subsamplingRate=settings.bag_percent / 100.0,
-        bootstrap=True,
+        bootstrap=times is None,
         seed=settings.seed,
         maxMemoryInMB=512,
         **weight,
@@ -114,7 +121,7 @@ def predict(
     Several models count as one forest: their probabilities are averaged by
     number of trees.
     """
-    out = _assembled(df, features)
+    out = assembled(df, features)
     trees = sum(m.getNumTrees for m in models)
     total = F.lit(0.0)
     for i, model in enumerate(models):

@@ -193,6 +193,24 @@ def cleaning_impact(df: DataFrame) -> DataFrame:
     return out.withColumn("missing_pct", percentage(F.col("n_missing"), F.col("n")))
 
 
+def rollup_profile(df: DataFrame, levels: Sequence[str], label: str = "class") -> DataFrame:
+    """Rows, rows of class 1, their share and rows with missing values for every level: whole table, file, file and chain, ...
+
+    ``level`` is the number of level columns a row is about; the columns of deeper levels are null there. One
+    pass over the rows makes the counts of the deepest level, and grouping sets sum those.
+    """
+    rows = df.withColumn("_bad", any_missing(df).cast("int"))
+    deepest = rows.groupBy(*[_q(c).alias(c) for c in levels]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(_q(label) == 1).alias("n_class_1"), F.sum("_bad").alias("n_missing")
+    )
+    # A column that a row sums over is told from one with a null value by its mark.
+    level = sum((F.lit(1) - F.grouping(c).cast("int") for c in levels), F.lit(0))
+    out = deepest.rollup(*[_q(c) for c in levels]).agg(
+        level.alias("level"), *[F.sum(c).alias(c) for c in ("n", "n_class_1", "n_missing")]
+    )
+    return out.withColumn("class_1_pct", percentage(F.col("n_class_1"), F.col("n")))
+
+
 def zero_neighbour_profile(
     df: DataFrame, count: str = "chem.atoms", label: str = "class", group: str = "residue_name"
 ) -> DataFrame:

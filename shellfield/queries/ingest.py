@@ -11,6 +11,7 @@ from shellfield.session import scratch_path
 from shellfield.sources import manifest as m, structures as st, tables as t
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
+from shellfield.streaming import ingest as stream
 
 registry = Registry()
 query = registry.query
@@ -105,6 +106,27 @@ def bad_records(spark, sf):
     return st.quarantine(st.parse_records(record_lines(spark, sf))).select("line_no", "record", "reject", "line")
 
 
+@query("stream_records", f"with {_LINES} select record, {_FIELDS}, reject from records")
+def stream_records(spark, sf):
+    """Files landed in two steps and read by a stream that is started three times: every line once, rejects among them."""
+    lines = record_lines(spark, sf)
+    landing, out, state = (scratch_path(spark, name) for name in ("landing", "streamed", "state"))
+    for step in (0, 1, 1):
+        if step == 0 or not landed(spark, f"{landing}/step=1"):
+            part = lines.filter(F.col("line_no") % 3 == 0 if step == 0 else F.col("line_no") % 3 != 0)
+            part.select("line").write.text(f"{landing}/step={step}")
+        query = stream.stream_records(spark, f"{landing}/*", out, state, files_per_batch=2)
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    return spark.read.parquet(out).select("record", *k.RECORD_LAYOUT, "reject")
+
+
+def landed(spark, path):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 # --- manifests ----------------------------------------------------------------
 # Lines with comments, directives, blanks and paths, from page addresses and suppliers.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shellfield.operators import forest, scoring, split
+from shellfield.operators import bagging, forest, importance, scoring, split
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
 from shellfield.session import stage
@@ -282,3 +282,62 @@ def rf_finetune_predict(spark, sf):
     return scored.select(
         "row_key", "class", "is_probability", "follows_score", "beats_larger_class", "is_tree_mean", "trees"
     )
+
+
+BAGS = 10
+_TIMES = " + ".join(
+    f"(cast(concat('0x', substr(md5('1234567/' || b || '|' || row_key), 1, 8)) as bigint) / 4294967296.0::double >= {x})::int"
+    for x in bagging.AT_MOST
+)
+
+
+@query(
+    "rf_out_of_bag",
+    f"""with rows as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as row_key,
+      (l_extendedprice * l_discount > 3000)::int as class from lineitem where substr(md5('0|' || l_orderkey), 1, 8) >= '33333333'),
+    drawn as (select row_key, class, b, {_TIMES} as times from rows, range({BAGS}) t(b))
+    select row_key, class, count(*) filter (where times = 0) as n_out, sum(times)::bigint as n_times,
+      count(*) filter (where times = 0) > 0 as is_scored, true as is_probability, true as near_validation
+    from drawn group by row_key, class""",
+)
+def rf_out_of_bag(spark, sf):
+    """Training rows scored by the bags that do not have them; the accuracy is that of held-out structures, up to 0.02."""
+    rows = line_rows(spark, sf)
+    fit, held = stage(rows.filter("part = 'train'"), "fit"), rows.filter("part = 'validation'")
+    models = bagging.train_bags(fit, FEATURES, ["row_key"], settings=SETTINGS, bags=BAGS)
+    scored = stage(bagging.out_of_bag(fit, models, FEATURES, ["row_key"], SETTINGS), "scored")
+
+    def accuracy(df):
+        return df.filter("score is not null").agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0]
+
+    off = abs(accuracy(scored) - accuracy(forest.predict(held, models, FEATURES)))
+    times = sum((bagging.times_in_bag(["row_key"], b, SETTINGS.seed) for b in range(BAGS)), F.lit(0))
+    return scored.select(
+        "row_key",
+        "class",
+        F.size("out_of").cast("long").alias("n_out"),
+        times.cast("long").alias("n_times"),
+        F.col("score").isNotNull().alias("is_scored"),
+        F.coalesce(F.col("score").between(0, 1), F.lit(True)).alias("is_probability"),
+        F.lit(off <= 0.02).alias("near_validation"),
+    )
+
+
+IMPORTANCE = forest.ForestSettings(trees=20, depth=10, features=2)
+
+
+@query(
+    "permutation_importance",
+    """select c as feature, (select count(*) from lineitem where substr(md5('0|' || l_orderkey), 1, 8) < '33333333') as n,
+      c in ('l_extendedprice', 'l_discount') as leads
+    from (values ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) t(c)""",
+)
+def permutation_importance(spark, sf):
+    """Held-out rows with one column shuffled: the two that make the label matter most."""
+    fit, held = forest_rows(spark, sf)
+    model = forest.train(fit, FEATURES, settings=IMPORTANCE)
+    found = importance.permutation_importance(held, ["row_key"], FEATURES, lambda df: forest.predict(df, [model], FEATURES))
+    # Quantity is a part of the price, so it has some importance too.
+    found = stage(found, "importance")
+    second = found.orderBy(F.desc("importance")).limit(2).agg(F.min("importance")).first()[0]
+    return found.select("feature", "n", (F.col("importance") >= second).alias("leads"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shellfield.operators import cleaning, profile
+from shellfield.operators import cleaning, profile, sketches
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
+from shellfield.session import scratch_path
 
 registry = Registry()
 query = registry.query
@@ -277,3 +278,82 @@ def impute_mean(spark, sf):
 @query("impute_median", _impute_sql("median"))
 def impute_median(spark, sf):
     return _rounded(cleaning.impute_median(doc_points(spark, sf).select("doc_id", "size", "class"), ["size", "class"]))
+
+
+@query(
+    "rollup_profile",
+    f"""with {_POINTS} select file_name, chain_id, (2 - grouping(file_name) - grouping(chain_id))::int as level, count(*) as n,
+    count(*) filter (where class = 1) as n_class_1, count(*) filter (where {_BAD}) as n_missing,
+    100.0::double * count(*) filter (where class = 1) / count(*) as class_1_pct
+    from points group by rollup (file_name, chain_id)""",
+)
+def rollup_profile(spark, sf):
+    """The whole table, each file, and each chain of a file."""
+    out = profile.rollup_profile(doc_points(spark, sf), ["file_name", "chain_id"])
+    return out.withColumns({c: F.col(c).cast("long") for c in ("n", "n_class_1", "n_missing")})
+
+
+# --- sketches -----------------------------------------------------------------
+# Estimates are not SQL. What SQL checks is how many values they are about, and that they are within their bounds.
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount"]
+QUANTILES = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+def sketched_lines(spark, sf):
+    """Line items with 6,000 to a structure, and the sketches of two halves of the structures, added one after the other."""
+    rows = v.table(spark, sf, "lineitem").withColumn("file_name", F.floor(F.col("l_orderkey") / 6000).cast("long"))
+    path = scratch_path(spark, "sketches")
+    for part in (rows.filter("file_name % 2 = 0"), rows):
+        store = sketches.add_sketches(part, path, SKETCHED, ["l_partkey", "l_suppkey"])
+    return rows, store
+
+
+@query(
+    "sketch_quantiles",
+    " union all ".join(
+        f"select '{c}' as feature, {q}::double as quantile, count({c}) as n, true as in_bound from lineitem"
+        for c in SKETCHED
+        for q in QUANTILES
+    ),
+)
+def sketch_quantiles(spark, sf):
+    """Quantiles from merged sketches, with the rank that each has in the exact table: within twice the sketch's rank error."""
+    rows, store = sketched_lines(spark, sf)
+    found = sketches.merged_quantiles(store, QUANTILES)
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in SKETCHED])
+    values = rows.select(F.inline(pairs)).groupBy("name", "x").agg(F.count(F.lit(1)).alias("c"))
+    met = values.join(F.broadcast(found), F.col("name") == F.col("feature"))  # one row for each column and quantile
+    ranks = met.groupBy("feature", "quantile", "value", "n").agg(
+        (F.sum(F.when(F.col("x") < F.col("value"), F.col("c")).otherwise(0)) / F.col("n")).alias("below"),
+        (F.sum(F.when(F.col("x") <= F.col("value"), F.col("c")).otherwise(0)) / F.col("n")).alias("up_to"),
+    )
+    bound = 2 * sketches.rank_error()
+    ok = (F.col("below") - bound <= F.col("quantile")) & (F.col("quantile") <= F.col("up_to") + bound)
+    return ranks.select("feature", "quantile", "n", ok.alias("in_bound"))
+
+
+@query(
+    "sketch_distinct",
+    " union all ".join(
+        f"select '{c}' as column_name, count({c}) as n, count(distinct {c}) as n_distinct, true as in_bound, true as same_merged from lineitem"
+        for c in ("l_partkey", "l_suppkey")
+    ),
+)
+def sketch_distinct(spark, sf):
+    """Distinct counts from merged sketches: within three standard errors of the exact ones, however the rows are parted."""
+    rows, store = sketched_lines(spark, sf)
+    columns = ["l_partkey", "l_suppkey"]
+    found = sketches.merged_distinct(store)
+    other = sketches.structure_sketches(rows.withColumn("file_name", F.col("l_linenumber")), [], columns)
+    other = sketches.merged_distinct(other).select("column", F.col("estimate").alias("other"))
+    exact = rows.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct")) for c in columns])))
+    off = F.abs(F.col("estimate") - F.col("n_distinct"))
+    return found.join(other, "column").join(exact, "column").select(
+        F.col("column").alias("column_name"),
+        "n",
+        "n_distinct",
+        (off <= F.greatest(F.lit(1.0), 3 * sketches.distinct_error() * F.col("n_distinct"))).alias("in_bound"),
+        (F.col("estimate") == F.col("other")).alias("same_merged"),
+    )
