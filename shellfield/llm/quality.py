@@ -22,8 +22,6 @@ REPEAT_WINDOW = 5
 DIMENSIONS = ("word_length", "symbols", "dup_lines", "repeats")
 # Spread that is natural in clean text, added to the estimated scatter (a source of equal texts has none).
 TOLERANCE = (0.1, 0.25, 0.05, 0.05)
-# The side on which a statistic is bad: 0 means both.
-BAD_SIDE = (0, 1, 1, 1)
 HALF_CHI2 = 3.3566939800333224  # median of the chi-square distribution with four degrees of freedom
 CUTOFF = 18.46682695290317  # 0.999 quantile of the chi-square distribution with four degrees of freedom
 LEAST_ROWS = 100
@@ -200,8 +198,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
     Columns: doc_id, lang, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, distance (of rows that pass the base rules), kept. A row is rejected if a base
     rule fails (fewer than 10 words, or more than a fifth of the words in repeated windows), or if its
-    squared distance is over ``cutoff`` and one statistic alone is off by more than a third of
-    that on its bad side: short or long words, symbols, repeated lines, repeated windows.
+    squared distance is over ``cutoff``, whichever statistics are off, one alone or several together.
 
     Defined cases: null and blank texts have no words and fail. Null languages and sources are
     groups of their own. A group with fewer than ``least_rows`` rows is judged by its language,
@@ -234,17 +231,11 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS)
     judged = counted.join(
         chosen, F.col("row.lang").eqNullSafe(F.col("l")) & F.col("row.source").eqNullSafe(F.col("s")), "left"
     )
-    p = len(DIMENSIONS)
-    off = F.lit(False)
-    for i, side in enumerate(BAD_SIDE):
-        gap = F.col("x")[i] - F.col("mean")[i]
-        gap = F.abs(gap) if side == 0 else F.greatest(gap * side, F.lit(0.0))
-        off = off | (gap * gap * F.col("inverse")[i * p + i] > cutoff / 3)
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.withColumn("distance", distance).select(
         "row.doc_id", "row.lang", "row.source", "row.text_hash",
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & off, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))).alias("kept"),
     )
 
 

@@ -147,9 +147,7 @@ def brute_judge(rows, least):
             g = next(g for g in ((0, r[2], r[3]), (1, r[2]), (2,)) if len(groups[g]) >= least or g == (2,))
             mean, inverse = fits[g]
             gap = x[k] - mean
-            bad = [abs(v) if side == 0 else max(v * side, 0) for v, side in zip(gap, quality.BAD_SIDE)]
-            off = any(v * v * inverse[i, i] > quality.CUTOFF / 3 for i, v in enumerate(bad))
-            kept = not (gap @ inverse @ gap > quality.CUTOFF and off)
+            kept = not gap @ inverse @ gap > quality.CUTOFF
         out.append((r[0], *s, kept))
     return out
 
@@ -210,6 +208,24 @@ def test_quality_rejects_plain_outliers(spark):
     assert all(verdict[i] for i in range(200))
 
 
+def test_quality_rejects_rows_off_in_several_statistics_together(spark):
+    """No statistic alone reaches a third of the cutoff, all four together pass it."""
+    import random
+
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, 60 + i % 30), "en", "src0") for i in range(300)]
+    line = "same as the line before it"
+    odd = []
+    for w in text_of(rng, 150).split():
+        odd.append(w + w[:2] if len(odd) % 2 else w)
+    odd = [w + "#" * (i % 29 == 0) for i, w in enumerate(odd)]
+    rows.append((1000, f"{line}\n{line}\n" + " ".join(odd), "en", "src0"))
+    got = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    expected = {r[0]: r[-1] for r in brute_judge(rows, 100)}
+    assert {i: r.kept for i, r in got.items()} == expected
+    assert all(r.kept == (not r.base_failed and r.distance <= quality.CUTOFF) for r in got.values())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "a b c", "en", "s")] * 3])
 def test_quality_of_tiny_tables(spark, rows):
     got = quality.judge(frame(spark, rows) if rows else spark.createDataFrame([], SCHEMA)).collect()
