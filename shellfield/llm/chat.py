@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SLICE = 128  # turns summed together
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
 
 
@@ -36,6 +37,29 @@ def unescape_role(role: Column) -> Column:
     )
 
 
+def running_starts(lengths: Column) -> Column:
+    """The sum of all that is before each element of an array.
+
+    By sums of slices of the array, and in a slice by the elements before: a fold that appends to an array
+    would copy it every time.
+    """
+    last = F.greatest(F.floor((F.size(lengths) - 1) / SLICE), F.lit(0)).cast("int")
+
+    def total(of, start, n):
+        return F.aggregate(F.slice(of, start, n), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    slices = F.transform(F.sequence(F.lit(0), last), lambda k: total(lengths, k * SLICE + 1, F.lit(SLICE)))
+    before = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), total(slices, F.lit(1), k).alias("n")))
+    inside = F.transform(
+        before,
+        lambda s: F.transform(
+            F.slice(lengths, s["k"] * SLICE + 1, F.lit(SLICE)),
+            lambda _, i: s["n"] + total(lengths, s["k"] * SLICE + 1, i),
+        ),
+    )
+    return F.flatten(inside)
+
+
 def format_conversations(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """(conv_id, text, n_turns, n_blocks, loss_spans) for each conv_id of ``turns(conv_id, turn, role, text)``.
 
@@ -48,7 +72,8 @@ def format_conversations(turns: DataFrame, learn: str = "assistant") -> DataFram
     has empty spans. Other columns are ignored. No rows, no conversations.
 
     Scale: one shuffle by conv_id. A formatted conversation is one value, so the turns of
-    one have to meet in one task; they are escaped before and joined as arrays, in linear time.
+    one have to meet in one task; they are escaped before and joined as arrays. Where they start
+    comes from sums of slices, a step for every other turn of a slice of 128 and for every slice.
     """
     row = F.struct(
         F.col("`turn`").alias("turn"),
@@ -76,14 +101,7 @@ def format_conversations(turns: DataFrame, learn: str = "assistant") -> DataFram
     lengths = F.transform(
         "parts", lambda x: (F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).cast("long")
     )
-    # Running starts: the fold carries the starts so far and the end of the last part.
-    starts = F.aggregate(
-        lengths,
-        F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("bigint").alias("end")),
-        lambda acc, n: F.struct(F.array_append(acc["starts"], acc["end"]).alias("starts"), (acc["end"] + n).alias("end")),
-        lambda acc: acc["starts"],
-    )
-    placed = parts.withColumn("starts", starts)
+    placed = parts.withColumn("lengths", lengths).withColumn("starts", running_starts(F.col("lengths")))
     spans = F.transform(
         F.filter(F.arrays_zip("parts", "starts"), lambda z: z["parts"]["learned"]),
         lambda z: F.struct(

@@ -128,7 +128,10 @@ FROM e GROUP BY conv_id
 def op8_chat_format(spark, folder):
     tricky = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    # Two more rows from constants, typed as the table's.
+    both = [F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(tricky).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.inline(F.array(*both)))
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
     formatted = format_conversations(turns.unionByName(more))
     read = formatted.select(
         "conv_id",

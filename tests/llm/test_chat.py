@@ -1,8 +1,11 @@
 """Chat formatting: exact round trip and loss spans."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from shellfield.llm.chat import END, NEXT, START, format_conversations, masked_texts, read_back
+from shellfield.llm.chat import END, NEXT, START, format_conversations, masked_texts, read_back, running_starts
 
 SCHEMA = "conv_id long, turn long, role string, text string, turns string, parts int, n_turns string, `a.b` int"
 
@@ -38,5 +41,20 @@ def test_round_trip(spark):
         assert r.text.count(NEXT) == r.n_turns - r.n_blocks
 
 
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_running_starts(spark, n):
+    lengths = [(7 * i) % 13 for i in range(n)]
+    df = spark.createDataFrame([(lengths,)], "lengths array<bigint>").select(running_starts(F.col("lengths")).alias("s"))
+    assert df.first().s == [sum(lengths[:i]) for i in range(n)]
+
+
+def test_a_conversation_of_many_turns(spark):
+    rows = [(1, i, ("user", "assistant")[i % 3 == 0], f"text {i}") for i in range(30_000)]
+    start = time.time()
+    (r,) = format_conversations(table(spark, rows)).select(F.size("loss_spans").alias("n"), "n_turns").collect()
+    assert (r.n, r.n_turns) == (10_000, 30_000)
+    assert time.time() - start < 60
+
+
 def test_empty(spark):
     assert format_conversations(table(spark, [])).count() == 0
