@@ -8,6 +8,7 @@ from shellfield.operators import cleaning, profile, sketches
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
 from shellfield.session import scratch_path
+from shellfield.sources import tables
 
 registry = Registry()
 query = registry.query
@@ -293,6 +294,44 @@ def rollup_profile(spark, sf):
     return out.withColumns({c: F.col(c).cast("long") for c in ("n", "n_class_1", "n_missing")})
 
 
+# --- sinks --------------------------------------------------------------------
+
+
+@query(
+    "analysis_files",
+    f"""with {_POINTS}
+    select 'summary_stats' as file, 'Total Points' as name, count(*) as n from points
+    union all select 'summary_stats', 'Unique Proteins', count(distinct file_name) from points
+    union all select 'summary_stats', 'Unique Chains', count(distinct chain_id) from points
+    union all select 'summary_stats', 'Unique Residues', count(distinct (chain_id, residue_number))
+      filter (where chain_id is not null and residue_number is not null) from points
+    union all select 'feature_stats', 'size', count(size) from points union all select 'feature_stats', 'neighbours', count(neighbours) from points
+    union all select 'chain_counts', chain_id, count(*) from points where chain_id is not null group by chain_id
+    union all select 'residue_counts', residue_name, count(*) from points where residue_name is not null group by residue_name""",
+)
+def analysis_files(spark, sf):
+    """The four analysis files of a run, written and read back as text."""
+    path = scratch_path(spark, "analysis")
+    profile.write_analysis(profile.analyse(doc_points(spark, sf).drop("doc_id", "class")), path)
+
+    def read(name, key, value):
+        rows = spark.read.csv(f"{path}/{name}", header=True)
+        return rows.select(F.lit(name).alias("file"), F.col(key).alias("name"), F.col(value).cast("long").alias("n"))
+
+    stats = read("feature_stats", "feature", "count").filter("name in ('size', 'neighbours')")
+    counts = read("chain_counts", "chain_id", "n").union(read("residue_counts", "residue_name", "n"))
+    return read("summary_stats", "metric", "value").union(stats).union(counts)
+
+
+@query("replace_table", f"with {_POINTS} select doc_id, file_name, size from points where not {_BAD}")
+def replace_table(spark, sf):
+    """A stored table cleaned over itself: what is read is what is overwritten."""
+    path = scratch_path(spark, "points")
+    doc_points(spark, sf).select("doc_id", "file_name", "size", "class").write.parquet(path)
+    tables.replace_table(spark.read.parquet(path).dropna().drop("class"), path)
+    return spark.read.parquet(path)
+
+
 # --- sketches -----------------------------------------------------------------
 # Estimates are not SQL. What SQL checks is how many values they are about, and that they are within their bounds.
 
