@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
 The documents of a source are put into a shuffled order, one after the other, and their words
-are cut into blocks of equal size. The mix is a sequence of slots; slot i goes to the source
-whose interval of cumulative weights holds the i-th point of the golden-ratio sequence, so every
+are cut into blocks of equal size. The mix is a sequence of slots of one block; slot i goes to the source
+whose interval of cumulative weights, by blocks, holds the i-th point of the golden-ratio sequence, so every
 stretch of the schedule is close to the weights. The r-th slot of a source takes
 its block r, and starts over when the blocks are used up.
 """
@@ -66,12 +66,34 @@ def running(df: DataFrame, groups: list[str], chunk: str, order: list, value) ->
     )
 
 
+def schedule(aimed: DataFrame) -> DataFrame:
+    """``aimed(source, source_size, target, n)`` with what each source has in the schedule.
+
+    block is its size of a block: a 512th of its target, between 1 and 2048 words, so that a small source does not cut
+    the others into small pieces. Of all n_slots it has those whose point is from low up to high; the interval is as
+    wide as its number of blocks is large.
+    """
+    block = F.greatest(F.lit(1), F.least(F.lit(2048), F.floor(F.col("target") / 512))).cast("long")
+    upper = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
+    sized = aimed.withColumn("block", block).withColumn("wanted", F.col("target") / F.col("block"))
+    end = F.sum("wanted").over(upper.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("wanted").over(Window.partitionBy())
+    return sized.select(
+        F.row_number().over(upper).alias("sid"),
+        "source", "source_size", "target", "n", "block",
+        F.try_divide(end - F.col("wanted"), total).alias("low"),
+        F.try_divide(end, total).alias("high"),
+        F.lead(F.lit(False), 1, True).over(upper).alias("last"),
+        F.ceil(total).cast("long").alias("n_slots"),
+        F.ceil(F.col("source_size") / F.col("block")).cast("long").alias("n_blocks"),
+    )
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row of ``docs(doc_id, source, text)``.
 
-    ``taken`` is the number of the document's words in the mix, repeats counted. All words of
-    the mix lie in blocks of one size: a 512th of the smallest positive target, between 1
-    and 2048 words. A source takes its target up to a few blocks, and no document more than ``most`` times
+    ``taken`` is the number of the document's words in the mix, repeats counted. All words of a
+    source lie in blocks of one size: a 512th of its target, between 1 and 2048 words. A source takes its target up to a few blocks, and no document more than ``most`` times
     its size.
 
     Defined cases: null and blank texts have size 0 and take nothing. Null is a source of
@@ -94,25 +116,9 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     aimed = targets(per_source.select("source", "source_size"), share, most, weights).join(
         per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))
     )
-    upper = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
-    end = F.sum("target").over(upper.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("target").over(Window.partitionBy())
-    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
-    block = F.greatest(F.lit(1), F.least(F.lit(2048), F.floor(smallest / 512))).cast("long")
-    aimed = aimed.select(
-        F.row_number().over(upper).alias("sid"),
-        "source", "source_size", "target", "n",
-        F.try_divide(end - F.col("target"), total).alias("low"),
-        F.try_divide(end, total).alias("high"),
-        F.lead(F.lit(False), 1, True).over(upper).alias("last"),
-        block.alias("block"),
-        F.ceil(total / block).cast("long").alias("n_slots"),
-        F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"),
-    )
-    aimed = stage(aimed, "targets")
+    aimed = stage(schedule(aimed), "targets")
 
-    first = aimed.agg(F.max("n_slots"), F.max("block")).first()
-    n_slots, words = (first[0] or 0), (first[1] or 1)
+    n_slots = aimed.agg(F.max("n_slots")).first()[0] or 0
     spark = docs.sparkSession
     point = (F.col("id") + 0.5) * F.lit(GOLDEN)
     slots = spark.range(n_slots).select("id", (point - F.floor(point)).alias("point"))
@@ -137,7 +143,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     )
 
     placed = sized.join(
-        aimed.select(F.col("source").alias("s"), "sid", "source_size", "target", "n"),
+        aimed.select(F.col("source").alias("s"), "sid", "source_size", "target", "n", "block"),
         F.col("source").eqNullSafe(F.col("s")),
     ).drop("s")
     n_chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / DOC_CHUNK))
@@ -149,15 +155,18 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     pieces = (
         placed.filter("size > 0")
         .select(
-            "row", "sid", "before", "size",
+            "row", "sid", "before", "size", "block",
             F.explode(
-                F.sequence(F.floor(F.col("before") / words), F.floor((F.col("before") + F.col("size") - 1) / words))
+                F.sequence(
+                    F.floor(F.col("before") / F.col("block")),
+                    F.floor((F.col("before") + F.col("size") - 1) / F.col("block")),
+                )
             ).alias("block_id"),
         )
         .withColumn(
             "part",
-            F.least(F.col("before") + F.col("size"), (F.col("block_id") + 1) * words)
-            - F.greatest(F.col("before"), F.col("block_id") * words),
+            F.least(F.col("before") + F.col("size"), (F.col("block_id") + 1) * F.col("block"))
+            - F.greatest(F.col("before"), F.col("block_id") * F.col("block")),
         )
     )
     got = (

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shellfield.llm.mixing import mix, targets
+from shellfield.llm.mixing import mix, schedule, targets
 from tests.llm.corpus import SCHEMA, frame, rows_of, words
 
 
@@ -57,6 +57,20 @@ def test_mix(spark):
         assert abs(taken[n] - aim[s]) <= max(10, 0.02 * aim[s]), (s, n, aim[s], taken[n])
 
 
+def test_a_tiny_source_leaves_the_blocks_of_others_alone(spark):
+    sizes = {"big": 50_000_000, "tiny": 3, "mid": 90_000, None: 0}
+    aimed = targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).selectExpr("*", "1L as n")
+    got = {r.source: r for r in schedule(aimed).collect()}
+    aim = brute_targets(sizes)
+    assert got["big"].block == 2048 and got["tiny"].block == 1 and got[None].block == 1
+    slots = got["big"].n_slots
+    assert slots < aim["big"] / 2048 + 2 * 1024 + 10
+    points = sorted(((i + 0.5) * 0.6180339887498949) % 1 for i in range(slots))
+    for s, r in got.items():
+        dealt = sum(r.low <= x < r.high for x in points)
+        assert abs(dealt * r.block - aim[s]) <= max(6 * r.block, 0.01 * aim[s]), s
+
+
 def test_mix_of_small_tables(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mix(frame(spark, [(1, None, None, None), (2, "", "en", "a")])).collect()
