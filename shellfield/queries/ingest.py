@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -397,3 +399,16 @@ def missing_features(spark, sf):
     counts = df.agg(*[(F.lit(0).cast("long") if c in absent else F.count(c)).alias(c) for c in expected])
     rows = [F.struct(F.lit(c).alias("feature"), F.lit(c not in absent).alias("found"), F.col(c).alias("present")) for c in expected]
     return counts.select(F.inline(F.array(*rows)))
+
+
+@query(
+    "bucketed_rates",
+    f"""select file_name, count(*) as n, count(*) filter (where class = 1) as n_class_1 from ({_POINT_ROWS})
+    where (substr(file_name, 2, length(file_name) - 5)::int) % 3 <> 1 group by file_name""",
+)
+def bucketed_rates(spark, sf):
+    """Points stored in buckets of structures, and the rates of those that a manifest lists."""
+    rows = point_rows(spark, sf)
+    listed = rows.filter("f % 3 <> 1").select(F.concat(F.lit("sets/"), "file_name").alias("line")).distinct()
+    stored = t.store_bucketed(rows.drop("f", "chem.atoms"), f"points_{uuid.uuid4().hex}", scratch_path(spark, "bucketed"), 16)
+    return m.rates_by_structure(stored, m.parse_manifest(listed))

@@ -53,6 +53,17 @@ def listed_only(features: DataFrame, manifest: DataFrame, file_name: str = "file
     return features.join(small_table(names), file_name, "left_semi")
 
 
+def rates_by_structure(features: DataFrame, manifest: DataFrame, label: str = "class", file_name: str = "file_name") -> DataFrame:
+    """Rows and rows of class 1 of every structure that a manifest lists.
+
+    Listed names come to the features, not the other way round: a table in buckets of structures is not shuffled,
+    neither for the join nor for the counts.
+    """
+    names = manifest.select(F.col("base_name").alias(file_name)).distinct().hint("merge")
+    rows = features.join(names, file_name, "left_semi")
+    return rows.groupBy(file_name).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{label}`") == 1).alias("n_class_1"))
+
+
 def not_yet_done(manifest: DataFrame, valid_files: DataFrame, output_name: str = "base_name") -> DataFrame:
     """Entries without a valid feature file; ``valid_files`` holds the names of valid ones."""
     done = valid_files.select(F.col(output_name).alias("output_name")).distinct()

@@ -175,6 +175,20 @@ def write_features(df: DataFrame, path: str, layout: str = "clustered", fmt: str
     release(staged)
 
 
+def store_bucketed(
+    df: DataFrame, table: str, path: str, buckets: int, structure: str = "file_name", mode: str = "error"
+) -> DataFrame:
+    """``df`` as the table ``table`` in files below ``path``, in buckets of structures, sorted inside of each.
+
+    What is grouped by structure, or joined with another table by structure, needs no shuffle of these rows then: a manifest, a list
+    of done structures and the like are dealt out to the buckets. Set ``buckets`` to the tasks that such a join should
+    have, about 128 MB of the table to each. A structure lies in one bucket; use ``write_features`` where single ones are huge.
+    """
+    rows = df.repartition(buckets, F.col(f"`{structure}`"))
+    rows.write.bucketBy(buckets, structure).sortBy(structure).option("path", path).mode(mode).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write ``df`` over ``path`` even if ``df`` reads from it.
 

@@ -167,3 +167,25 @@ def test_names_that_differ_by_case_only(spark, tmp_path):
     write(tmp_path, "b", "chem.atomS,chem.atoms\n0.25,4\n")
     rows = t.combine_features(spark, str(tmp_path), kind, required=["chem.atoms"]).collect()
     assert sorted(tuple(r) for r in rows) == [(3.0, 0.5), (4.0, 0.25)]
+
+
+def test_bucketed_features_are_not_shuffled(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("s"), F.col("id") % 40, F.lit(".pdb")).alias("file_name"), (F.col("id") % 3 == 0).cast("int").alias("class"))
+    stored = t.store_bucketed(rows, f"points_{tmp_path.name}", str(tmp_path / "points"), 16)
+    listed = m.parse_manifest(spark.createDataFrame([(f"a/s{i}.pdb",) for i in range(0, 60, 2)], "line string"))
+    got = m.rates_by_structure(stored, listed)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("SortMergeJoin") :].split("\n")
+    features = [line for line in scan if "FileScan" in line]
+    assert len(features) == 1 and "Bucketed: true" in features[0]
+    # One exchange for the listed names to be distinct by and to meet the buckets; none between the scan, the join and the counts.
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    between = plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
+    assert "Exchange" not in between
+    expected = {}
+    for i in range(3000):
+        if i % 40 % 2 == 0:
+            n, ones = expected.get(f"s{i % 40}.pdb", (0, 0))
+            expected[f"s{i % 40}.pdb"] = (n + 1, ones + (i % 3 == 0))
+    assert {r.file_name: (r.n, r.n_class_1) for r in got.collect()} == expected
+    spark.sql(f"drop table points_{tmp_path.name}")
