@@ -63,8 +63,12 @@ def listing(spark: SparkSession, folder: str, glob: str | None = None) -> DataFr
     return files
 
 
-def _all_paths(spark: SparkSession, folder: str, bytes_a_task: int = 1 << 30) -> DataFrame:
-    """(path) of all files below ``folder`` but hidden ones."""
+def _all_paths(spark: SparkSession, folder: str, bytes_a_task: int = 1 << 22) -> DataFrame:
+    """(path) of all files below ``folder`` but hidden ones.
+
+    Every record of the input format carries the whole list of its task's files, so a task's time grows with
+    the square of its files: tasks are kept to few small files, and a larger file is a task of its own.
+    """
     jvm = spark._jvm
     conf = jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
     conf.set("mapreduce.input.fileinputformat.input.dir.recursive", "true")
@@ -86,6 +90,7 @@ def _all_paths(spark: SparkSession, folder: str, bytes_a_task: int = 1 << 30) ->
 # File systems that tasks can open by themselves.
 OPENED = ("file", "hdfs", "s3", "s3a", "gs")
 HEAD_BYTES = 1 << 16
+HEADS_A_TASK = 500
 
 
 def first_lines(spark: SparkSession, files: DataFrame, head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -98,7 +103,9 @@ def first_lines(spark: SparkSession, files: DataFrame, head_bytes: int = HEAD_BY
     scheme = F.coalesce(F.nullif(F.regexp_extract("path", "^([A-Za-z0-9+.-]+):", 1), F.lit("")), F.lit("file"))
     if files.filter(~scheme.isin(*OPENED)).take(1):
         return _first_lines_by_scan(spark, files)
-    return files.select("path").repartition("path").mapInArrow(_heads(head_bytes), "path string, line string")
+    # Paths are few bytes, so that tasks merged by size would each open thousands of files.
+    tasks = -(-files.count() // HEADS_A_TASK) or 1
+    return files.select("path").repartition(tasks, "path").mapInArrow(_heads(head_bytes), "path string, line string")
 
 
 def _heads(head_bytes: int):

@@ -198,3 +198,17 @@ def test_paths_fold_at_any_depth(spark):
     given = [("/a/b/../x.pdb",), (deep,), ("../../x",), ("./a/./b",), ("/../x",)]
     got = [r[0] for r in spark.createDataFrame(given, "p string").select(scalars.normalise_path(F.col("p"))).collect()]
     assert got == ["/a/x.pdb", "x.pdb", "../../x", "a/b", "/../x"]
+
+
+def test_files_are_listed_and_opened_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A task's records each carry the list of its files, so that few tasks for many files take quadratic time."""
+    for n in range(60):
+        (tmp_path / f"{n}_features.csv").write_text("a,b\n" + "1" * 300_000 + "\n")
+    (tmp_path / "none_features.csv").write_text("")
+    paths = lines._all_paths(spark, str(tmp_path))
+    held = paths.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 61 and max(r["count"] for r in held) <= 20
+    monkeypatch.setattr(lines, "HEADS_A_TASK", 10)
+    files = tables.listing(spark, str(tmp_path))
+    heads = lines.first_lines(spark, files).select("line", F.spark_partition_id().alias("task")).collect()
+    assert [r.line for r in heads] == ["a,b"] * 60 and len({r.task for r in heads}) >= 5
