@@ -11,11 +11,13 @@ from shellfield.functions import constants as k
 from shellfield.functions.chemistry import radius_of
 from shellfield.functions.geometry import XYZ, golden_turn, spiral_height, unit_normal
 from shellfield.operators.spatial import hot_cells, not_covered
-from shellfield.session import small_table, stage
+from shellfield.session import dealt, small_table, stage
 
 EXPOSED_FIRST = 1.0
 EXPOSED_SECOND = 0.5
 FEW_POINTS = 1000
+# An atom has about 30 points.
+ATOMS_A_TASK = 50_000
 
 
 def heavy_atoms(atoms: DataFrame) -> DataFrame:
@@ -48,6 +50,7 @@ def shell(
         *[F.col(c).alias(f"c{c}") for c in XYZ],
         radius.alias("r"),
     )
+    sized = dealt(sized, ATOMS_A_TASK)
     n = F.greatest(F.lit(10), F.floor(F.lit(float(density)) * F.col("r") * F.col("r")).cast("int"))
     points = sized.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     height = spiral_height(F.col("k"), F.col("n"))

@@ -80,6 +80,17 @@ def release(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def dealt(df: DataFrame, rows_a_task: int) -> DataFrame:
+    """``df`` in even parts of about ``rows_a_task`` rows, and at least two for each core.
+
+    A file is read by no more tasks than it has row groups, which may be one; this goes before
+    work that is much larger than its input. Parts of less than 1,000 rows are not made.
+    """
+    rows = df.count()
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task))
+    return df.repartition(max(1, min(parts, -(-rows // 1000))))
+
+
 # A table is broadcast up to this many rows, beyond that it is joined by shuffle.
 SMALL_ROWS = 100_000
 

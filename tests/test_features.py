@@ -216,3 +216,12 @@ def test_parsed_files_end_to_end(spark, tmp_path):
     table = extract.extract_features(st.atoms(records), st.hetatms(records))
     counts = {r.file_name: r["count"] for r in table.groupBy("file_name").count().collect()}
     assert set(counts) == {"a.pdb", "c.pdb"} and counts["a.pdb"] == counts["c.pdb"]
+
+
+def test_shells_are_made_by_all_cores(spark):
+    """Atoms come from one part, as from a file with one row group."""
+    atoms = spark.range(0, 8000, 1, 1).selectExpr("'a' as file_name", "id as line_no", "double(id) as x", "0D as y", "0D as z", "'C' as element")
+    points = surface.shell(atoms, ["file_name"], "line_no")
+    held = points.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 8000 * 32 and len(held) > 1
+    assert max(r["count"] for r in held) <= 2000 * 32
