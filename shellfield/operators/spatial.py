@@ -30,6 +30,8 @@ PLACE = (*CELL, PART)
 
 # Candidate pairs that one cell, or one part of a hot cell, may have.
 CELL_WORK = 200_000_000
+# Joins with doubled radius that ``nearest`` makes before it goes through the hierarchy of cells.
+RINGS = 3
 
 
 def _cells(points: DataFrame, edge: float, coords: Sequence[str]) -> DataFrame:
@@ -285,8 +287,8 @@ def nearest(
 ) -> DataFrame:
     """Nearest row at any distance, null only for keys without rows and points without a place.
 
-    One join settles all points with a row within ``radius``. The others go down a
-    hierarchy of occupied cells (see ``_nearest_cells``) and meet only the rows of the
+    One join settles all points with a row within ``radius``, and one each those within twice
+    and four times of it. The others go down a hierarchy of occupied cells (see ``_nearest_cells``) and meet only the rows of the
     cells that can hold the nearest one. Rows whose coordinates are null, NaN or infinite
     have no place and are left out.
     """
@@ -299,12 +301,17 @@ def nearest(
     found = points.filter(~_finite(coords)).select(points.columns).withColumns(nothing)
     found = found.unionByName(placed.join(keyed, list(on), "left_anti").select(points.columns).withColumns(nothing))
     near = placed.join(keyed, list(on), "left_semi").select(points.columns)
-    hot = hot_cells(near, rows, on, radius, radius, coords)
-    ring = stage(nearest_within(near, rows, on, radius, order, attributes, coords=coords, hot=hot), "ring")
-    found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))
-    far = ring.filter(F.col("nearest_d").isNull()).select(points.columns)
-    if far.isEmpty():
-        return found
+    far = near
+    for n in range(RINGS):
+        # Far points are fewer, so their cells are wider, which means fewer copies of the rows.
+        reach = radius * 2**n
+        edge = reach if n == 0 else 2 * reach
+        hot = hot_cells(far, rows, on, reach, edge, coords)
+        ring = stage(nearest_within(far, rows, on, reach, order, attributes, edge, coords, hot=hot), "ring")
+        found = found.unionByName(ring.filter(F.col("nearest_d").isNotNull()))
+        far = ring.filter(F.col("nearest_d").isNull()).select(points.columns)
+        if far.isEmpty():
+            return found
     far = stage(far.withColumn("far_id", F.monotonically_increasing_id()), "far")
     sites = rows.groupBy(*dict.fromkeys([*on, *coords])).agg(F.min(F.struct(order, *attributes)).alias("own"))
     sites = _cells(sites, radius, coords)

@@ -213,3 +213,18 @@ def test_nearest_far_away_and_without_a_place(spark):
         else:
             best = min((math.dist((g.x, g.y, g.z), q[2:]), q[1]) for q in good)
             assert g.nearest_d == pytest.approx(best[0]) and g.nearest_id == best[1]
+
+
+def test_points_between_rows_do_not_go_through_the_hierarchy(spark, monkeypatch):
+    """Up to four times the radius, a fixed number of joins does."""
+    monkeypatch.setattr(spatial, "_nearest_cells", lambda *_: pytest.fail("hierarchy"))
+    r = random.Random(3)
+    rows = [("f", i, *[r.uniform(-20, 20) for _ in range(3)]) for i in range(400)]
+    points = [("f", i, *[r.uniform(-19, 19) for _ in range(3)]) for i in range(300)]
+    schema = "f string, id int, x double, y double, z double"
+    got = spatial.nearest(
+        spark.createDataFrame(points, schema.replace("id", "p")), spark.createDataFrame(rows, schema), ["f"], 2.0, "id", []
+    ).collect()
+    best = {q[1]: min((math.dist(q[2:], a[2:]), a[1]) for a in rows) for q in points}
+    assert {b[0] > 2 for b in best.values()} == {True, False} and max(best.values())[0] < 8
+    assert {g.p: g.nearest_id for g in got} == {n: b[1] for n, b in best.items()}
