@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,9 @@ from shellfield.functions.scalars import hash_unit
 from shellfield.operators import forest
 from shellfield.operators.forest import ForestSettings
 
+# Forests in training at the same time.
+AT_A_TIME = 2
+
 # The chance that a row is drawn at most k times when as many rows are drawn as there are (Poisson, mean 1).
 AT_MOST = (
     0.36787944117144233,
@@ -28,14 +33,19 @@ AT_MOST = (
 
 def times_in_bag(key: Sequence[str], bag: int, seed: int) -> Column:
     """How often a bag has a row, by a hash of the row's key: 0 for about 37 of 100 rows, once on average."""
-    drawn = hash_unit(f"{seed}/{bag}", *[F.col(f"`{c}`") for c in key])
-    return sum(((drawn >= limit).cast("int") for limit in AT_MOST), F.lit(0))
+    # In an array of one value, so that the hash is taken once and not for every limit.
+    drawn = F.array(_drawn(key, bag, seed))
+    return F.transform(drawn, lambda x: sum(((x >= limit).cast("int") for limit in AT_MOST), F.lit(0)))[0]
+
+
+def _drawn(key: Sequence[str], bag: int, seed: int) -> Column:
+    return hash_unit(f"{seed}/{bag}", *[F.col(f"`{c}`") for c in key])
 
 
 def bags_without(key: Sequence[str], bags: int, seed: int) -> Column:
     """The numbers of the bags that do not have a row."""
     return F.filter(
-        F.array(*[F.when(times_in_bag(key, b, seed) == 0, F.lit(b)) for b in range(bags)]), lambda x: x.isNotNull()
+        F.array(*[F.when(_drawn(key, b, seed) < AT_MOST[0], F.lit(b)) for b in range(bags)]), lambda x: x.isNotNull()
     )
 
 
@@ -50,14 +60,17 @@ def train_bags(
     """As many forests as bags, ``settings.trees`` trees in all; each on the rows of its bag, counted as often as it has them.
 
     ``key`` must identify a row. The trees of a bag see the same rows and differ in the features they try.
+    Two forests are trained at a time: a pass over small nodes leaves cores idle.
     """
-    models = []
-    for b in range(bags):
+
+    def one(b: int) -> RandomForestClassificationModel:
         trees = settings.trees * (b + 1) // bags - settings.trees * b // bags
         rows = df.withColumn("_times", times_in_bag(key, b, settings.seed)).filter("_times > 0")
         own = replace(settings, seed=settings.seed + b)
-        models.append(forest.train(rows, features, label, own, trees, times="_times"))
-    return models
+        return forest.train(rows, features, label, own, trees, times="_times")
+
+    with ThreadPool(AT_A_TIME) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(one), range(bags))
 
 
 def out_of_bag(

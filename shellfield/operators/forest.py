@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellfield.operators.split import class_weights, with_class_weight
+from shellfield.session import dealt
 
 # Spark grows trees to depth 30 at most; 0 in the settings means "unlimited".
 DEEPEST = 30
+ROWS_A_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -72,8 +74,8 @@ def train(
 
     ``times`` is a column that says how often each row counts; trees then get all rows instead of samples.
 
-    ``spread`` is the number of parts to train on; set it where the input has fewer
-    parts than there are cores, such as a single small file.
+    ``spread`` is the number of parts to train on. By default the rows are dealt out evenly over all
+    cores, as a file with few row groups has most of its rows in few parts.
     """
     rows = assembled(df.withColumn("_label", F.col(f"`{label}`").cast("double")), features)
     weight = {}
@@ -95,11 +97,12 @@ def train(
         bootstrap=times is None,
         seed=settings.seed,
         maxMemoryInMB=512,
+        cacheNodeIds=True,  # else every pass walks down every tree for every row
         **weight,
     )
     columns = ["_features", "_label", *(["_weight"] if weight else [])]
     rows = rows.select(*columns)
-    return forest.fit(rows.repartition(spread) if spread else rows)
+    return forest.fit(rows.repartition(spread) if spread else dealt(rows, ROWS_A_TASK))
 
 
 def finetune(

@@ -40,8 +40,8 @@ def permutation_importance(
     """(feature, n, accuracy, shuffled_accuracy, importance), largest importance first.
 
     ``predict`` adds ``prediction`` to rows with the features. Values of a feature move among the rows by a
-    cyclic step in a random order of the rows, another step for each feature: one join on (feature, rank) for all
-    features, and one pass of the model over the rows and their shuffled copies.
+    cyclic step in a random order of the rows, another step for each feature: one join on rank for all
+    features, copies made after it, and one pass of the model over the rows and their shuffled copies.
     """
     rows = ranked(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, *features, label])]), key, seed)
     rows = stage(rows, "rows")
@@ -51,12 +51,15 @@ def permutation_importance(
     plain = rows.select("rank", F.col(f"`{label}`").alias("_label"), values.alias("_values"))
     moved = plain.select("rank", F.posexplode("_values").alias("_feature", "_value"))
     moved = moved.select("_feature", F.pmod(F.col("rank") + steps[F.col("_feature")], F.lit(max(n, 1))).alias("rank"), "_value")
-    copies = plain.withColumn("_feature", F.explode(F.array(*[F.lit(j) for j in range(len(features))])))
-    shuffled = copies.join(moved, ["_feature", "rank"]).withColumn(
-        "_values", F.transform("_values", lambda x, i: F.when(i == F.col("_feature"), F.col("_value")).otherwise(x))
+    # A rank gets one value of each feature.
+    moved = moved.groupBy("rank").agg(
+        F.array(*[F.max(F.when(F.col("_feature") == j, F.col("_value"))) for j in range(len(features))]).alias("_moved")
+    )
+    numbers = F.array(*[F.lit(j) for j in range(-1, len(features))])
+    every = plain.join(moved, "rank").withColumn("_feature", F.explode(numbers))
+    every = every.withColumn(
+        "_values", F.transform("_values", lambda x, i: F.when(i == F.col("_feature"), F.col("_moved")[i]).otherwise(x))
     )
-    every = plain.withColumn("_feature", F.lit(-1)).select("_feature", "_label", "_values")
-    every = every.union(shuffled.select("_feature", "_label", "_values"))
     every = every.select("_feature", "_label", *[F.col("_values")[j].alias(c) for j, c in enumerate(features)])
     scored = predict(every)
     right = F.avg((F.col("prediction") == F.col("_label")).cast("double"))

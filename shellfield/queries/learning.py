@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shellfield.operators import bagging, forest, importance, scoring, split
 from shellfield.queries import views as v
 from shellfield.queries.base import Registry
-from shellfield.session import stage
+from shellfield.session import dealt, stage
 
 registry = Registry()
 query = registry.query
@@ -231,11 +231,10 @@ def line_rows(spark, sf):
 
 
 def forest_rows(spark, sf):
-    """Training rows in at least as many parts as there are cores, and rows to score."""
+    """Training rows, and rows to score in parts for all cores."""
     rows = line_rows(spark, sf)
     fit = rows.filter("part = 'train'").select("l_linestatus", *FEATURES, "class")
-    cores = spark.sparkContext.defaultParallelism
-    return (fit if fit.rdd.getNumPartitions() >= cores else fit.repartition(cores)), rows.filter("part = 'validation'")
+    return fit, dealt(rows.filter("part = 'validation'"), forest.ROWS_A_TASK)
 
 
 def judged(scored):
@@ -303,7 +302,8 @@ _TIMES = " + ".join(
 def rf_out_of_bag(spark, sf):
     """Training rows scored by the bags that do not have them; the accuracy is that of held-out structures, up to 0.02."""
     rows = line_rows(spark, sf)
-    fit, held = stage(rows.filter("part = 'train'"), "fit"), rows.filter("part = 'validation'")
+    fit, held = (dealt(rows.filter(F.col("part") == part), forest.ROWS_A_TASK) for part in ("train", "validation"))
+    fit = stage(fit, "fit")
     models = bagging.train_bags(fit, FEATURES, ["row_key"], settings=SETTINGS, bags=BAGS)
     scored = stage(bagging.out_of_bag(fit, models, FEATURES, ["row_key"], SETTINGS), "scored")
 

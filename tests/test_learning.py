@@ -244,3 +244,22 @@ def test_forest_queries_grow_whole_trees():
     from shellfield.queries import learning
 
     assert (learning.SETTINGS.trees, learning.SETTINGS.depth, learning.SETTINGS.finetune_trees) == (200, 0, 200)
+
+
+def test_training_rows_are_dealt_out_evenly(spark, monkeypatch):
+    """All rows come from one of many parts, as from a file with one row group; nodes of rows are cached."""
+    seen = []
+
+    class Classifier(forest.RandomForestClassifier):
+        def fit(self, rows):
+            counts = rows.groupBy(F.spark_partition_id()).count().collect()
+            seen.append((self.getCacheNodeIds(), sorted(r["count"] for r in counts)))
+            return super().fit(rows)
+
+    monkeypatch.setattr(forest, "RandomForestClassifier", Classifier)
+    rows = spark.range(0, 64_000, 1, 64).filter("id < 1000").union(spark.range(1000, 4000, 1, 1))
+    rows = rows.selectExpr("id", "double(id % 7) as a", "double(id % 11) as b", "int(id % 7 > 3) as class")
+    settings = forest.ForestSettings(trees=2, depth=3, features=2)
+    forest.train(rows, ["a", "b"], settings=settings)
+    cached, counts = seen[0]
+    assert cached and sum(counts) == 4000 and len(counts) > 1 and counts[-1] < 2000

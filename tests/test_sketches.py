@@ -108,3 +108,18 @@ def test_votes_come_from_bags_without_the_row(spark):
     unseen = sum(r.prediction == r["class"] for r in scored) / len(scored)
     seen = forest.predict(df, models, names).agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0]
     assert unseen < 0.6 < seen
+
+
+def test_shuffled_copies_are_made_after_the_join(spark):
+    """The model's rows come from one join of as many rows as there are, not of one copy for each feature."""
+    plans = []
+
+    def rule(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return rows.withColumn("prediction", (F.col("a") > 3).cast("int"))
+
+    df = spark.range(100).selectExpr("id", "double(id % 7) as a", "double(id % 5) as b", "int(id % 7 > 3) as class")
+    got = importance.permutation_importance(df, ["id"], ["a", "b"], rule).collect()
+    assert [(r.feature, r.n, r.accuracy) for r in got] == [("a", 100, 1.0), ("b", 100, 1.0)]
+    plan = plans[0]
+    assert plan.count("Join") == 1 and "Union" not in plan and "explode" in plan[: plan.index("Join")]
