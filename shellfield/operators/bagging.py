@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shellfield.functions.scalars import hash_unit
+from shellfield.functions.scalars import hash_order
 from shellfield.operators import forest
 from shellfield.operators.forest import ForestSettings
+from shellfield.session import release
 
 # Forests in training at the same time.
 AT_A_TIME = 2
@@ -35,17 +36,23 @@ def times_in_bag(key: Sequence[str], bag: int, seed: int) -> Column:
     """How often a bag has a row, by a hash of the row's key: 0 for about 37 of 100 rows, once on average."""
     # In an array of one value, so that the hash is taken once and not for every limit.
     drawn = F.array(_drawn(key, bag, seed))
-    return F.transform(drawn, lambda x: sum(((x >= limit).cast("int") for limit in AT_MOST), F.lit(0)))[0]
+    return F.transform(drawn, lambda x: sum(((x >= _text(limit)).cast("int") for limit in AT_MOST), F.lit(0)))[0]
 
 
 def _drawn(key: Sequence[str], bag: int, seed: int) -> Column:
-    return hash_unit(f"{seed}/{bag}", *[F.col(f"`{c}`") for c in key])
+    """The uniform number of ``hash_unit`` as the eight digits that it is made from."""
+    return F.substring(hash_order(f"{seed}/{bag}", *[F.col(f"`{c}`") for c in key]), 1, 8)
+
+
+def _text(limit: float) -> Column:
+    """The least digits whose number is not below ``limit``."""
+    return F.lit(f"{math.ceil(limit * 2**32):08x}")
 
 
 def bags_without(key: Sequence[str], bags: int, seed: int) -> Column:
     """The numbers of the bags that do not have a row."""
     return F.filter(
-        F.array(*[F.when(_drawn(key, b, seed) < AT_MOST[0], F.lit(b)) for b in range(bags)]), lambda x: x.isNotNull()
+        F.array(*[F.when(_drawn(key, b, seed) < _text(AT_MOST[0]), F.lit(b)) for b in range(bags)]), lambda x: x.isNotNull()
     )
 
 
@@ -60,17 +67,32 @@ def train_bags(
     """As many forests as bags, ``settings.trees`` trees in all; each on the rows of its bag, counted as often as it has them.
 
     ``key`` must identify a row. The trees of a bag see the same rows and differ in the features they try.
-    Two forests are trained at a time: a pass over small nodes leaves cores idle.
+    Two forests are trained at a time: a pass over small nodes leaves cores idle. Large tables are grouped, for all bags in one pass.
     """
+    n = df.count()
+    groups = None
+    if n * settings.trees > forest.CACHED:
+        known = forest.levels(df, features)
+        more = {f"t{b}": times_in_bag(key, b, settings.seed) for b in range(bags)}
+        sums = {t: F.sum(t) for t in more} | {f"c{b}": F.count_if(F.col(f"t{b}") > 0) for b in range(bags)}
+        groups = forest.grouped(df, features, label, known, n, sums, more)
+        if groups is not None:
+            number, classes = groups.count(), forest.class_count(groups)
 
     def one(b: int) -> RandomForestClassificationModel:
         trees = settings.trees * (b + 1) // bags - settings.trees * b // bags
+        if groups is not None:
+            weighted, own = forest.with_weights(groups, settings, f"c{b}"), replace(settings, seed=settings.seed + b)
+            return forest.train_grouped(weighted, features, known, own, trees, f"t{b}", classes, number)
         rows = df.withColumn("_times", times_in_bag(key, b, settings.seed)).filter("_times > 0")
         own = replace(settings, seed=settings.seed + b)
         return forest.train(rows, features, label, own, trees, times="_times")
 
     with ThreadPool(AT_A_TIME) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(one), range(bags))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(one), range(bags), 1)
+    if groups is not None:
+        release(groups)
+    return models
 
 
 def out_of_bag(
@@ -84,14 +106,12 @@ def out_of_bag(
 
     Rows that every bag has are without score and prediction.
     """
-    out = forest.assembled(df, features).withColumn("out_of", bags_without(key, len(models), settings.seed))
+    out = df.withColumn("out_of", bags_without(key, len(models), settings.seed))
+    out = forest.with_probabilities(out, models, features)
     total, trees = F.lit(0.0), F.lit(0)
     for b, model in enumerate(models):
-        model = model.copy()
-        model.setFeaturesCol("_features").setProbabilityCol(f"_p{b}").setRawPredictionCol(f"_r{b}").setPredictionCol(f"_y{b}")
-        out = model.transform(out)
         mine = F.array_contains("out_of", b).cast("int") * model.getNumTrees
-        total, trees = total + vector_to_array(F.col(f"_p{b}"))[1] * mine, trees + mine
+        total, trees = total + F.col(f"_p{b}") * mine, trees + mine
     out = out.withColumn("score", F.when(trees > 0, total / trees))
     out = out.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
-    return out.drop("_features", *[f"_{n}{b}" for b in range(len(models)) for n in "pry"])
+    return out.drop(*[f"_p{b}" for b in range(len(models))])

@@ -26,9 +26,10 @@ def class_distribution(df: DataFrame, label: str = "class") -> DataFrame:
     ).withColumn("class_1_pct", percentage(F.col("class_1"), F.col("total")))
 
 
-def class_weights(df: DataFrame, label: str = "class") -> DataFrame:
-    """Balanced weights n / (k * n_c), one row per class."""
-    counts = df.filter(_q(label).isNotNull()).groupBy(_q(label).alias(label)).agg(F.count(F.lit(1)).alias("n"))
+def class_weights(df: DataFrame, label: str = "class", times: str | None = None) -> DataFrame:
+    """Balanced weights n / (k * n_c), one row per class. ``times`` is a column that says how many rows a row stands for."""
+    number = F.sum(_q(times)) if times else F.count(F.lit(1))
+    counts = df.filter(_q(label).isNotNull()).groupBy(_q(label).alias(label)).agg(number.alias("n"))
     every = Window.partitionBy(F.lit(1))
     weight = F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))
     return counts.withColumn("weight", weight)

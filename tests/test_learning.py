@@ -263,3 +263,90 @@ def test_training_rows_are_dealt_out_evenly(spark, monkeypatch):
     forest.train(rows, ["a", "b"], settings=settings)
     cached, counts = seen[0]
     assert cached and sum(counts) == 4000 and len(counts) > 1 and counts[-1] < 2000
+
+
+class Fits:
+    """Notes rows, trees and settings of every fit."""
+
+    def __init__(self, monkeypatch):
+        self.seen = seen = []
+
+        class Classifier(forest.RandomForestClassifier):
+            def fit(self, rows):
+                seen.append((rows.count(), self.getNumTrees(), self.getBootstrap(), self.getCacheNodeIds()))
+                return super().fit(rows)
+
+        monkeypatch.setattr(forest, "RandomForestClassifier", Classifier)
+
+
+def few_values(spark, n=6000):
+    rows = spark.range(n).selectExpr("id", "double(id % 7) as a", "double(id % 11) / 4 as `b.c`")
+    return rows.withColumn("class", ((F.col("a") + 4 * F.col("`b.c`") + F.col("id") % 3) > 9).cast("int"))
+
+
+def test_large_tables_are_trained_by_equal_rows(spark, monkeypatch):
+    """No fit gets more rows than there are different ones, every tree has its own draw, and cells give what the trees give."""
+    fits = Fits(monkeypatch)
+    monkeypatch.setattr(forest, "CACHED", 1000)
+    rows, names = few_values(spark), ["a", "b.c"]
+    model = forest.train(rows, names, settings=forest.ForestSettings(trees=5, features=1))
+    assert model.getNumTrees == 5 and len(fits.seen) == 5
+    assert all(n <= 154 and trees == 1 and not (draws or cached) for n, trees, draws, cached in fits.seen)
+    assert len({tree.toDebugString for tree in model.trees}) > 1
+    assert forest.importances(model, names, spark).count() == 2
+    by_cell = forest.predict(rows, [model], names).select("id", "class", "score", "prediction")
+    levels, model.levels = model.levels, None
+    by_tree = forest.predict(rows, [model], names).select("id", F.col("score").alias("other"))
+    both = by_cell.join(by_tree, "id")
+    assert both.filter("abs(score - other) > 1e-9").count() == 0 and both.count() == 6000
+    assert both.filter("prediction = class").count() > 5000
+    assert levels == [[float(i) for i in range(7)], [i / 4 for i in range(11)]]
+    model.levels = levels
+    with pytest.raises(Exception, match="null"):
+        forest.predict(rows.withColumn("a", F.lit(None).cast("double")), [model], names).collect()
+
+
+def test_draws_of_equal_rows_are_those_of_single_rows(spark, monkeypatch):
+    """n equal rows are drawn n times in the mean, with variance n."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": [400] * 50, "seed": list(range(50))}, pa.schema([("n", pa.int64()), ("seed", pa.int64())]))
+    (out,) = forest._draws(100, 1.0)([batch])
+    drawn = np.array([out.column(f"t{t}").to_pylist() for t in range(100)])
+    assert abs(drawn.mean() - 400) < 2 and abs(drawn.var() - 400) < 40
+    assert out.schema.names[:2] == ["n", "t0"]
+
+
+def test_bags_of_equal_rows_give_the_same_forest(spark, monkeypatch):
+    rows, names = few_values(spark).withColumn("times", F.col("id") % 3), ["a", "b.c"]
+    rows = rows.filter("times > 0")
+    settings = forest.ForestSettings(trees=4, depth=5, features=1)
+    plain = forest.train(rows, names, settings=settings, times="times")
+    monkeypatch.setattr(forest, "CACHED", 1000)
+    fits = Fits(monkeypatch)
+    less = forest.train(rows, names, settings=settings, times="times")
+    assert [n for n, *_ in fits.seen] and all(n <= 154 for n, *_ in fits.seen)
+    one = forest.predict(rows, [plain], names).select("id", "score")
+    two = forest.predict(rows, [less], names).select("id", F.col("score").alias("other"))
+    assert one.join(two, "id").filter("abs(score - other) > 1e-9").count() == 0
+
+
+def test_tables_of_different_rows_are_trained_in_slices(spark, monkeypatch):
+    fits = Fits(monkeypatch)
+    monkeypatch.setattr(forest, "CACHED", 6000)
+    rows = points(spark, 3000, 40)
+    model = forest.train(rows, ["chem.atoms", "b", "c"], settings=forest.ForestSettings(trees=5, depth=3, features=2))
+    assert model.getNumTrees == 5 and [(n, trees, draws) for n, trees, draws, _ in fits.seen] == [(3000, 2, True)] * 2 + [(3000, 1, True)]
+    assert forest.predict(rows, [model], ["chem.atoms", "b", "c"]).filter("prediction = class").count() > 2400
+
+
+def test_levels_are_all_values_or_quantiles(spark):
+    rows = spark.range(10_000).selectExpr(
+        "double(id % 32) as few", "double(id) as many", "if(id % 2 = 0, null, double('NaN')) as none", "if(id = 5, 100.0D, 1.0D) as rare"
+    )
+    few, many, none, rare = forest.levels(rows, ["few", "many", "none", "rare"])
+    assert few == [float(i) for i in range(32)] and none == [] and rare == [1.0, 100.0]
+    assert len(many) == 32 and all(abs(v - (i + 0.5) * 312.5) < 5 for i, v in enumerate(many))
+    placed = forest._placed(spark.createDataFrame([(0.0,), (0.5,), (0.51,), (99.0,), (None,), (float("nan"),)], "few double"), ["few"], [few])
+    assert [r._l0 for r in placed.collect()] == [0, 0, 1, 31, None, None]
