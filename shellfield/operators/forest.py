@@ -31,9 +31,9 @@ LEVELS = 32
 WORTH = 8
 # Cells of all levels up to which a forest is evaluated once for each cell: 16 bytes each, broadcast.
 GRID = 1 << 20
-# Trees in training at the same time, each in few tasks.
+# Fits on equal rows at the same time, each in few tasks, of so many rows times trees.
 AT_A_TIME = 16
-GROUPS_A_TASK = 200_000
+GROUPS_A_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -152,8 +152,7 @@ def _classifier(settings: ForestSettings, features: Sequence[str], trees: int, b
         bootstrap=bootstrap,
         seed=settings.seed,
         maxMemoryInMB=512,
-        cacheNodeIds=bootstrap or trees > 1,  # else every pass walks down every tree for every row
-        **more,
+        **{"cacheNodeIds": True, **more},  # else every pass walks down every tree for every row
     )
 
 
@@ -257,7 +256,8 @@ def train_grouped(
     told = F.col("_label").alias("_label", metadata={"ml_attr": {"type": "nominal", "num_vals": classes}})
     rows = assembled(rows, features).select("_features", told, "_weight")
     # Spark takes a sample to find thresholds if there are more rows than the square of maxBins: none is to be left out.
-    more = {"weightCol": "_weight", "maxBins": max(LEVELS, math.isqrt(number) + 1)}
+    # Few rows are sooner taken down their trees again than their nodes are kept.
+    more = {"weightCol": "_weight", "maxBins": max(LEVELS, math.isqrt(number) + 1), "cacheNodeIds": False}
     rows = rows.repartition(max(1, -(-number * trees // GROUPS_A_TASK))).persist()
     try:
         model = _classifier(settings, features, trees, False, more).fit(rows)

@@ -3,30 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellfield.functions.scalars import hash_order
-from shellfield.session import fetched, release, stage
+from shellfield.session import release, stage
 
 
 def ranked(df: DataFrame, key: Sequence[str], seed: str = "0") -> DataFrame:
     """``df``, staged, with ``rank``: its place from 0 on in a random order that the key alone decides.
 
     Rows are dealt out by ranges of a hash and numbered inside of each; the numbers of rows before each
-    range, one row for a task, are joined. ``key`` must identify a row.
+    range, one for a task, are added. ``key`` must identify a row.
     """
-    rows = df.withColumn("_order", hash_order(seed, *[F.col(f"`{c}`") for c in key]))
     names = [F.col(f"`{c}`") for c in key]
+    rows = df.withColumn("_order", F.xxhash64(F.lit(seed), *names))
     rows = rows.repartitionByRange("_order", *names).sortWithinPartitions("_order", *names)
     low = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     rows = stage(rows.drop("_order").withColumns({"_part": F.spark_partition_id(), "_in_part": low}), "ranked")
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    out = rows.join(fetched(offsets), "_part").withColumn("rank", F.col("_before") + F.col("_in_part"))
-    return out.drop("_part", "_in_part", "_before")
+    counts = dict(rows.groupBy("_part").count().collect())
+    sizes = [counts.get(part, 0) for part in range(max(counts, default=0) + 1)]
+    before = F.lit([0, *accumulate(sizes)]).cast("array<long>")
+    out = rows.withColumn("rank", before[F.col("_part")] + F.col("_in_part")).drop("_part", "_in_part")
+    out.staged_path = rows.staged_path
+    return out
 
 
 def permutation_importance(
@@ -44,7 +45,6 @@ def permutation_importance(
     features, copies made after it, and one pass of the model over the rows and their shuffled copies.
     """
     rows = ranked(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*key, *features, label])]), key, seed)
-    rows = stage(rows, "rows")
     n = rows.count()
     steps = F.array(*[F.lit((j + 1) * n // (len(features) + 1)) for j in range(len(features))])
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in features])

@@ -123,3 +123,43 @@ def test_shuffled_copies_are_made_after_the_join(spark):
     assert [(r.feature, r.n, r.accuracy) for r in got] == [("a", 100, 1.0), ("b", 100, 1.0)]
     plan = plans[0]
     assert plan.count("Join") == 1 and "Union" not in plan and "explode" in plan[: plan.index("Join")]
+
+
+def test_bags_of_a_large_table_are_grouped_in_one_pass(spark, monkeypatch):
+    """Fits get equal rows once, draws may be staged, and the forests are those of single rows."""
+    df = spark.range(4000).selectExpr("id", "double(id % 7) as a", "double(id % 5) as b", "int((id % 7 + id % 3) > 4) as class")
+    names, settings = ["a", "b"], forest.ForestSettings(trees=8, depth=5, features=1)
+    drawn = bagging.with_draws(df, ["id"], 4, settings.seed)
+    told = drawn.select("_drawn", F.array(*[bagging.times_in_bag(["id"], b, settings.seed) for b in range(4)]).alias("told"))
+    assert told.filter("_drawn <> told").count() == 0
+    plain = bagging.train_bags(df, names, ["id"], settings=settings, bags=4)
+    fits = []
+
+    class Classifier(forest.RandomForestClassifier):
+        def fit(self, rows):
+            fits.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(forest, "CACHED", 1000)
+    monkeypatch.setattr(forest, "RandomForestClassifier", Classifier)
+    models = bagging.train_bags(drawn, names, ["id"], settings=settings, bags=4)
+    assert len(fits) == 4 and all(n <= 70 for n in fits)
+    one = bagging.out_of_bag(df, plain, names, ["id"], settings).select("id", "out_of", "score")
+    two = bagging.out_of_bag(drawn, models, names, ["id"], settings).selectExpr("id", "out_of as o", "score as s")
+    both = one.join(two, "id")
+    assert both.count() == 4000 and both.filter("out_of <> o or not (score <=> s or abs(score - s) < 1e-9)").count() == 0
+
+
+def test_ranks_are_written_once(spark, monkeypatch):
+    """Rows are staged once, with short numbers to sort by, and found again when all is done."""
+    written = []
+
+    def kept(df, name, stage=importance.stage):
+        written.append((name, "md5" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return stage(df, name)
+
+    monkeypatch.setattr(importance, "stage", kept)
+    df = spark.range(500).selectExpr("id", "double(id % 7) as a", "int(id % 7 > 3) as class")
+    got = importance.permutation_importance(df, ["id"], ["a"], lambda x: x.withColumn("prediction", (F.col("a") > 3).cast("int"))).collect()
+    assert [(r.feature, r.n, r.accuracy) for r in got] == [("a", 500, 1.0)] and got[0].importance > 0.3
+    assert written == [("ranked", False), ("found", False)]
