@@ -9,6 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,17 @@ def bags_without(key: Sequence[str], bags: int, seed: int) -> Column:
     )
 
 
+def with_draws(df: DataFrame, key: Sequence[str], bags: int, seed: int) -> DataFrame:
+    """Adds ``_drawn``: how often each bag has the row, as ``times_in_bag`` says. Where it is staged, nothing is hashed again."""
+    digits = {f"_d{b}": F.conv(_drawn(key, b, seed), 16, 10).cast("double") for b in range(bags)}
+    limits = [-math.inf, *[limit * 2.0**32 for limit in AT_MOST], math.inf]
+    out = Bucketizer(
+        splitsArray=[limits] * bags, inputCols=list(digits), outputCols=[f"_t{b}" for b in range(bags)], handleInvalid="keep"
+    ).transform(df.withColumns(digits))
+    drawn = F.array(*[F.col(f"_t{b}").cast("int") for b in range(bags)])
+    return out.withColumn("_drawn", drawn).drop(*digits, *[f"_t{b}" for b in range(bags)])
+
+
 def train_bags(
     df: DataFrame,
     features: Sequence[str],
@@ -66,16 +78,17 @@ def train_bags(
 ) -> list[RandomForestClassificationModel]:
     """As many forests as bags, ``settings.trees`` trees in all; each on the rows of its bag, counted as often as it has them.
 
-    ``key`` must identify a row. The trees of a bag see the same rows and differ in the features they try.
+    ``key`` must identify a row. ``df`` may have the column of ``with_draws``. The trees of a bag see the same rows and differ in the features they try.
     Two forests are trained at a time: a pass over small nodes leaves cores idle. Large tables are grouped, for all bags in one pass.
     """
     n = df.count()
     groups = None
     if n * settings.trees > forest.CACHED:
         known = forest.levels(df, features)
-        more = {f"t{b}": times_in_bag(key, b, settings.seed) for b in range(bags)}
-        sums = {t: F.sum(t) for t in more} | {f"c{b}": F.count_if(F.col(f"t{b}") > 0) for b in range(bags)}
-        groups = forest.grouped(df, features, label, known, n, sums, more)
+        drawn = df if "_drawn" in df.columns else with_draws(df, key, bags, settings.seed)
+        times = {b: F.col("drawn")[b] for b in range(bags)}
+        sums = {f"t{b}": F.sum(t) for b, t in times.items()} | {f"c{b}": F.count_if(t > 0) for b, t in times.items()}
+        groups = forest.grouped(drawn, features, label, known, n, sums, {"drawn": F.col("_drawn")})
         if groups is not None:
             number, classes = groups.count(), forest.class_count(groups)
 
@@ -84,11 +97,12 @@ def train_bags(
         if groups is not None:
             weighted, own = forest.with_weights(groups, settings, f"c{b}"), replace(settings, seed=settings.seed + b)
             return forest.train_grouped(weighted, features, known, own, trees, f"t{b}", classes, number)
-        rows = df.withColumn("_times", times_in_bag(key, b, settings.seed)).filter("_times > 0")
+        times = F.col("_drawn")[b] if "_drawn" in df.columns else times_in_bag(key, b, settings.seed)
+        rows = df.withColumn("_times", times).filter("_times > 0")
         own = replace(settings, seed=settings.seed + b)
         return forest.train(rows, features, label, own, trees, times="_times")
 
-    with ThreadPool(AT_A_TIME) as pool:
+    with ThreadPool(AT_A_TIME if groups is None else min(bags, forest.AT_A_TIME)) as pool:
         models = pool.map(inheritable_thread_target(df.sparkSession)(one), range(bags), 1)
     if groups is not None:
         release(groups)
@@ -106,7 +120,11 @@ def out_of_bag(
 
     Rows that every bag has are without score and prediction.
     """
-    out = df.withColumn("out_of", bags_without(key, len(models), settings.seed))
+    without = bags_without(key, len(models), settings.seed)
+    if "_drawn" in df.columns:
+        numbers = F.array(*[F.when(F.col("_drawn")[b] == 0, F.lit(b)) for b in range(len(models))])
+        without = F.array_compact(numbers)
+    out = df.withColumn("out_of", without)
     out = forest.with_probabilities(out, models, features)
     total, trees = F.lit(0.0), F.lit(0)
     for b, model in enumerate(models):

@@ -303,7 +303,7 @@ def rf_out_of_bag(spark, sf):
     """Training rows scored by the bags that do not have them; the accuracy is that of held-out structures, up to 0.02."""
     rows = line_rows(spark, sf)
     fit, held = (dealt(rows.filter(F.col("part") == part), forest.ROWS_A_TASK) for part in ("train", "validation"))
-    fit = stage(fit, "fit")
+    fit = stage(bagging.with_draws(fit, ["row_key"], BAGS, SETTINGS.seed), "fit")
     models = bagging.train_bags(fit, FEATURES, ["row_key"], settings=SETTINGS, bags=BAGS)
     scored = stage(bagging.out_of_bag(fit, models, FEATURES, ["row_key"], SETTINGS), "scored")
 
@@ -311,7 +311,7 @@ def rf_out_of_bag(spark, sf):
         return df.filter("score is not null").agg(F.avg((F.col("prediction") == F.col("class")).cast("int"))).first()[0]
 
     off = abs(accuracy(scored) - accuracy(forest.predict(held, models, FEATURES)))
-    times = sum((bagging.times_in_bag(["row_key"], b, SETTINGS.seed) for b in range(BAGS)), F.lit(0))
+    times = sum((F.col("_drawn")[b] for b in range(BAGS)), F.lit(0))
     return scored.select(
         "row_key",
         "class",
